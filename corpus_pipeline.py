@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import quality_model, quality_rules
-from graphloom.llm.common import table
+from graphloom.llm import ngram_join, packing, quality_model, quality_rules
+from graphloom.llm.common import cut, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,16 +18,26 @@ def quality_model_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_model.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules_stage),
     ("quality_model", quality_model_stage),
+    ("ngram_join", ngram_join_stage),
+    ("packing", packing_stage),
 ]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order. The check tool writes each result; here a stage feeds the next directly."""
+    """All stages in order; each result is written to the checkpoint folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else cut(docs), sf_dir)
     return docs
