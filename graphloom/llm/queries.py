@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import ngram_join, packing, quality_model, quality_rules
+from graphloom.llm import ngram_join, packing, pieces, quality_model, quality_rules
 from graphloom.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -30,6 +34,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op6_quality_model": op6_quality_model,
+    "op7_pieces": op7_pieces,
     "op9_ngram_join": op9_ngram_join,
 }
 LLM_ORACLE: dict[str, str] = {}
