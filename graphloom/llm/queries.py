@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import ngram_join, packing, pieces, quality_model, quality_rules
+from graphloom.llm import jpeg, ngram_join, packing, pieces, quality_model, quality_rules
 from graphloom.llm.common import table
 
 
+def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.digests(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jpeg": op1_jpeg,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op6_quality_model": op6_quality_model,
