@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import jpeg, ngram_join, packing, pieces, quality_model, quality_rules
+from graphloom.llm import chat, jpeg, ngram_join, packing, pieces, quality_model, quality_rules
 from graphloom.llm.common import table
 
 
@@ -22,6 +22,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+#: A conversation that says what the template's own control strings say.
+CONTROL_TURNS = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string")))
+
+
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,6 +47,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_chat": op5_chat,
     "op6_quality_model": op6_quality_model,
     "op7_pieces": op7_pieces,
     "op9_ngram_join": op9_ngram_join,
