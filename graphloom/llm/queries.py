@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jpeg, ngram_join, packing, pieces, quality_model, quality_rules
+from graphloom.llm import chat, jpeg, langid, ngram_join, packing, pieces, quality_model, quality_rules
 from graphloom.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,6 +49,7 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
+    "op2_langid": op2_langid,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
