@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jpeg, langid, ngram_join, packing, pieces, quality_model, quality_rules
+from graphloom.llm import chat, jpeg, langid, ngram_join, packing, page_text, pieces, quality_model, quality_rules
 from graphloom.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -55,6 +59,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_quality_model": op6_quality_model,
     "op7_pieces": op7_pieces,
+    "op8_page_text": op8_page_text,
     "op9_ngram_join": op9_ngram_join,
 }
 LLM_ORACLE: dict[str, str] = {}
