@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,12 @@ def made_pages(n: int = TRAIN_PAGES, seed: int = SEED) -> list[tuple[str, list[t
     return [maker.page() for _ in range(n)]
 
 
+@cache
+def default_field() -> Field:
+    """The field trained on made pages; the same in every process."""
+    return train(made_pages())
+
+
 def main_text(html: str | None, field: Field) -> str:
     page = blocks(html or "")
     return "\n".join(b.text for b, keep in zip(page, field.decode(page), strict=True) if keep)
@@ -196,7 +203,7 @@ def main_text(html: str | None, field: Field) -> str:
 
 def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
-    field = field or train(made_pages())
+    field = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

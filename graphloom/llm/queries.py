@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jpeg, langid, ngram_join, packing, page_text, pieces, quality_model, quality_rules
+from graphloom.llm import chat, jpeg, katz, langid, ngram_join, packing, page_text, pieces, quality_model, quality_rules
 from graphloom.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
     "op2_langid": op2_langid,
@@ -61,5 +65,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pieces": op7_pieces,
     "op8_page_text": op8_page_text,
     "op9_ngram_join": op9_ngram_join,
+    "op10_katz": op10_katz,
 }
 LLM_ORACLE: dict[str, str] = {}
