@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
+from graphloom.functions import types as Y
 from graphloom.operators import degree, duplicates, filters, recursion
-from graphloom.sources import views
+from graphloom.plans import report
+from graphloom.sources import graph_json, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -350,3 +352,60 @@ def round2(spark, sf):
 @query("djb2_hash", "select c_custkey, printf('%08x', list_reduce(list_prepend(cast(5381 as bigint), list_transform(string_split(c_name, ''), lambda x: cast(ascii(x) as bigint))), lambda h, c: xor((h * 33) & 4294967295, c))) h from customer")
 def djb2_hash(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", S.djb2(F.col("c_name")).alias("h"))
+
+
+_UNION = "{\"kind\":\"union\",\"members\":[{\"kind\":\"primitive\",\"name\":\"string\"},{\"kind\":\"literal\",\"value\":\"%s\"},{\"kind\":\"array\",\"elementType\":{\"kind\":\"primitive\",\"name\":\"number\"}}]}"
+
+
+def _type_rows(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    return p.select("p_partkey", F.format_string(_UNION, "p_brand").alias("t"))
+
+
+@query("canonical_types", "select p_partkey, '\"' || p_brand || '\" | number[] | string' canonical, 'string | \"' || p_brand || '\" | number[]' readable from part")
+def canonical_types(spark, sf):
+    return _type_rows(spark, sf).select("p_partkey", Y.canonical_type(F.col("t")).alias("canonical"), Y.readable_type(F.col("t")).alias("readable"))
+
+
+@query("form_fields", "select p_partkey, '{\"kind\": \"text\", \"name\": \"value\", \"label\": \"value (one of: ' || p_brand || ', string)\", \"required\": true}' field from part")
+def form_fields(spark, sf):
+    return _type_rows(spark, sf).select("p_partkey", Y.form_field(F.col("t")).alias("field"))
+
+
+@query("graph_roundtrip", views.duck("thin", " select id, file_path || '#module:' || name node_key, (select count(*) from e where src = id) calls from n where kind = 'module'"))
+def graph_roundtrip(spark, sf):
+    """The thin view's modules and their outgoing edges, through a JSON document and back."""
+    n, e = graph(spark, sf, "thin")
+    key = F.concat("file_path", F.lit("#module:"), "name")
+    modules = n.where("kind = 'module'").withColumn("node_key", key)
+    doc = F.to_json(F.struct("kind", F.col("node_key").alias("id"), "name", F.col("file_path").alias("filePath"), F.array().cast("array<string>").alias("exports")))
+    out = e.join(modules.select(F.col("id").alias("src"), F.col("node_key").alias("a")), "src")
+    call = F.to_json(F.struct(F.lit("call").alias("kind"), F.col("a").alias("from"), F.col("dst").cast("string").alias("to"), F.lit(1).alias("line")))
+    g = graph_json.Graph(
+        spark.createDataFrame([("1.0", "", "/p")], "version string, generated_at string, project_root string"), spark.createDataFrame([], "seq int, path string"),
+        modules.select("node_key", "node_seq", doc.alias("doc")), out.select("edge_seq", call.alias("doc")), spark.createDataFrame([], "problem string"),
+    )
+    back = graph_json.from_text(spark, graph_json.to_text(g))
+    counts = back.edges.groupBy(F.col("src").alias("node_key")).agg(F.count(F.lit(1)).alias("calls"))
+    return back.nodes.join(counts, "node_key", "left").join(modules.select("id", "node_key").withColumnRenamed("id", "number"), "node_key").select(F.col("number").alias("id"), "node_key", F.coalesce("calls", F.lit(0)).alias("calls"))
+
+
+@query("dot_edges", views.duck("sparse", _GROUPS.replace("select distinct src, dst, edge_count, dominant_kind, first_seq from p", r""", q as (select distinct src, dst, edge_count, dominant_kind, first_seq from p)
+ select 4 section, first_seq a, cast(0 as bigint) b, '  "' || src || '" -> "' || dst || '" [id="' || replace(replace(rtrim(to_base64(cast(src as varchar)::blob || '\x00'::blob || cast(dst as varchar)::blob), '='), '+', '-'), '/', '_') || '", weight=' ||
+ case dominant_kind when 'call' then 4 when 'inherits' then 3 when 'import' then 2 else 1 end || case when edge_count > 1 then ', label="×' || edge_count || '"' else '' end || '];' line from q""")))
+def dot_edges(spark, sf):
+    return report.dot_edges(views.edges(spark, sf, "sparse"))
+
+
+@query("dot_lines")
+def dot_lines(spark, sf):
+    n, e = graph(spark, sf, "thin")
+    return report.dot_lines(n, e, entry_ids(n))
+
+
+@query("import_pages", "select page_id, count(*) links from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) h from pages) group by 1")
+def import_pages(spark, sf):
+    """Links of pages, as import edges out of a module."""
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("h"))
+    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
