@@ -68,3 +68,26 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_katz": op10_katz,
 }
 LLM_ORACLE: dict[str, str] = {}
+
+_CONTROL = r"(<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\])"
+#: Turns by role with the template's own characters; a backslash or a control string in a text costs one more.
+LLM_ORACLE["op5_chat"] = rf"""
+with c as (select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') text from conversations
+           union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+ e as (select *, row_number() over (partition by conv_id order by turn nulls first, "role", text) k,
+   case "role" when 'system' then 18 when 'user' then 18 when 'assistant' then 6 else 17 + length("role") end
+   + length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(replace(text, '\', '\\'), '{_CONTROL}')) chars from c)
+select conv_id, count(*) n_turns, sha256(string_agg("role" || chr(10) || text || chr(10), '' order by k)) turns_sha256,
+ cast(coalesce(sum(length(text)) filter ("role" = 'assistant'), 0) as bigint) loss_chars, sha256(coalesce(string_agg(text, '' order by k) filter ("role" = 'assistant'), '')) loss_sha256,
+ cast(sum(chars) as bigint) formatted_chars, regexp_full_match(string_agg("role" || ',', '' order by k), '(system,)?(user,assistant,)+') "valid"
+from e group by conv_id"""
+
+LLM_ORACLE["op9_ngram_join"] = r"""
+with recursive t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+ s as (select doc_id, unnest(list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) g from t),
+ n as (select doc_id, count(*) c from s group by 1),
+ p as (select a.doc_id x, b.doc_id y, count(*) k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+ l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where k >= 0.8 * (nx.c + ny.c - k) - 1e-9),
+ r as (select x a, y b from l union select r.a, l.y from r join l on l.x = r.b),
+ m as (select a, min(b) b from r group by 1), q as (select x, count(*) c from l group by 1)
+select t.doc_id, least(t.doc_id, coalesce(m.b, t.doc_id)) class_id, coalesce(q.c, 0) n_links from t left join m on m.a = t.doc_id left join q on q.x = t.doc_id"""
