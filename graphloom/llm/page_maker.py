@@ -125,10 +125,10 @@ class PageMaker:
             add(self.share())
         for _ in range(self.r.randrange(1, 12)):
             add(self.content(), True)
-            if self.chance(0.08):
+            if self.chance(0.12):
                 add(self.one(self.advert, self.side, self.notice, self.advert, self.form, self.menu)())
-        if self.chance(0.1):
-            add(self.one(self.comments, self.share, self.side)())
+        if self.chance(0.2):
+            add(self.one(self.comments, self.share, self.side, self.footer)())
         if not self.chance(0.03):
             add(closes)
         for make in (self.share, self.comments, self.side, self.advert, self.form, self.menu, self.notice, self.footer, self.footer):

@@ -42,6 +42,8 @@ ROLES = {
 _ROLE = {w: r for r, words in ROLES.items() for w in words.split()}
 _TAGS = frozenset("article main section div p li ul ol td table blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 nav aside footer header form fieldset dialog dl dt dd a address details".split())
 
+_SHELLS = frozenset("article main section nav aside footer header form dialog".split())
+
 
 def _bucket(n: int) -> int:
     return min(9, n.bit_length())
@@ -61,6 +63,9 @@ def features(page: list[Block]) -> list[list[str]]:
                 if r:
                     roles.add(r)
         near = [e.tag for e in b.path if e.tag in _TAGS]
+        inner = next((sorted({_ROLE[w] for w in e.words if w in _ROLE}) for e in reversed(b.path) if any(w in _ROLE for w in e.words)), ["-"])
+        f += [f"inner:{r}" for r in inner]
+        f.append("shell:" + next((t for t in reversed(near) if t in _SHELLS), "-"))
         f += [f"in:{t}" for t in tags]
         f += [f"role:{r}" for r in roles]
         f.append(f"tag:{near[-1] if near else '-'}")
