@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import is_test_path
 from graphloom.operators.degree import fan_metrics
 from graphloom.plans import local
-from graphloom.plans.fixpoint import cut, star_components
+from graphloom.plans.fixpoint import cut, numbered, star_components
 
 PATHS, PATH_NODES, CYCLE_IDS = 25, 10, 10
 
@@ -122,10 +122,15 @@ def components(nodes: DataFrame, edges: DataFrame, small: bool | None = None) ->
 
 def clusters(nodes: DataFrame, edges: DataFrame, entry_ids: DataFrame, small: bool | None = None) -> DataFrame:
     """id, cluster_id, label, has_entrypoint, is_orphan: components with entrypoints first, then by size, then by first node; untouched nodes last."""
+    small = local.is_small(nodes, edges) if small is None else small
     member = components(nodes, edges, small).join(nodes.select("id", "node_seq"), "id").join(entry_ids.select("id").distinct().withColumn("entry", F.lit(True)), "id", "left")
     about = member.where("root IS NOT NULL").groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min("node_seq").alias("first"), F.coalesce(F.bool_or("entry"), F.lit(False)).alias("has_entrypoint"))
-    place = F.row_number().over(W.partitionBy("has_entrypoint").orderBy(F.desc("size"), "first"))
-    about = about.withColumn("k", place)
+    if small:
+        about = about.withColumn("k", F.row_number().over(W.partitionBy("has_entrypoint").orderBy(F.desc("size"), "first")))
+    else:
+        about = numbered(about, F.desc("has_entrypoint"), F.desc("size"), "first")
+        n = about.where("has_entrypoint").count()
+        about = about.withColumn("k", F.col("seq") + 1 - F.when(F.col("has_entrypoint"), 0).otherwise(n))
     name = F.when(F.col("has_entrypoint"), F.concat(F.lit("ep_"), (F.col("k") - 1).cast("string"))).otherwise(F.concat(F.lit("cmp_"), (F.col("k") - 1).cast("string")))
     label = F.when(F.col("has_entrypoint") & (F.col("k") == 1), F.lit("Entrypoint")).when(F.col("has_entrypoint"), F.concat(F.lit("Entrypoint "), F.col("k").cast("string"))).otherwise(F.concat(F.lit("Component "), F.col("k").cast("string")))
     about = about.select("root", name.alias("cluster_id"), label.alias("label"), "has_entrypoint")

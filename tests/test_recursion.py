@@ -110,8 +110,9 @@ def test_k_hop(spark):
 def test_clusters_and_unknown_nodes(spark):
     # 0-1 and 2-3 share the unknown node 9, which connects nothing; 4 is touched by a self-loop only; 5 by nothing
     nodes, edges = made(spark, 6, [(0, 1), (2, 3), (1, 9), (3, 9), (4, 4)], files={2: "src/e.ts"})
-    got = {r["id"]: r["cluster_id"] for r in recursion.clusters(nodes, edges, nodes.where("file_path = 'src/e.ts'").select("id")).collect()}
-    assert got == {2: "ep_0", 3: "ep_0", 0: "cmp_0", 1: "cmp_0", 4: "cmp_1", 5: "orphans"}
+    for small in (True, False):
+        got = {r["id"]: r["cluster_id"] for r in recursion.clusters(nodes, edges, nodes.where("file_path = 'src/e.ts'").select("id"), small).collect()}
+        assert got == {2: "ep_0", 3: "ep_0", 0: "cmp_0", 1: "cmp_0", 4: "cmp_1", 5: "orphans"}
 
 
 def test_star_components(spark):
