@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS_A_TASK = 50_000
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's folder; only where the session names none, in a temporary one."""
@@ -16,11 +18,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with seq: 0, 1, ... in the given order, which must be total. Sorted by ranges; only one count a partition reaches the driver."""
+    s = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    s = cut(s)
+    part = F.shiftrightunsigned("__id", 33)
+    offsets, total = {}, 0
+    for r in s.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():
+        offsets[r["p"]], total = total, total + r["n"]
+    base = F.element_at(F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]), part) if offsets else F.lit(0)
+    return s.withColumn("seq", (base + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("__id")
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u, v) of any orderable type: (node, root), root the least node of the component.
 
     Alternates large-star and small-star steps, which need a number of rounds that grows with the logarithm of the number of nodes;
-    every step is a partially aggregated minimum and one join, so a hub's neighbours need not meet in one task.
+    every step is a partially aggregated minimum and one join. Tasks are as many as the edges call for, not as the session shuffles: the
+    edges shrink from round to round, and empty tasks would leave more files than rows.
     Nodes without an edge, or with a self-loop only, do not appear."""
 
     def directed(e: DataFrame) -> DataFrame:
@@ -41,13 +56,18 @@ def star_components(edges: DataFrame) -> DataFrame:
         r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         return r["n"], r["s"]
 
+    def fitting(e: DataFrame) -> DataFrame:
+        return e.coalesce(max(8, rows // ROWS_A_TASK))
+
     state = cut(edges.where("u <> v").select("u", "v").distinct())
     seen = mark(state)
+    rows = seen[0]
     if not seen[0]:
         return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
-        state = cut(small(large(state)))
+        state = cut(fitting(small(fitting(large(fitting(state))))))
         now = mark(state)
+        rows = now[0]
         if now == seen:
             break
         seen = now
