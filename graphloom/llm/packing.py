@@ -38,7 +38,7 @@ END = 2
 GROUP_WINDOWS = 128
 #: Several small parts to a window come out almost even; larger parts mean fewer cuts and more padding.
 MAX_PART = 512
-PART_ENTRIES = 400_000
+PART_ENTRIES = 100_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -81,7 +81,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.parts: dict[str, list[int]] = {}
-        self.table = WordTable(np.uint32)
+        self.table = WordTable(np.uint32, slots_log2=21)
 
     def chunk(self, text: str) -> list[int]:
         if text.isascii() and text.isalpha() and len(text) < 200:
