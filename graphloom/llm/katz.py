@@ -8,14 +8,20 @@ Tokens are white-space words (A-Z lower-cased) and one END a text; BEGIN is a hi
              = a(h) * P(w)             else; a(h) makes the probabilities of h add up to one exactly
              = P(w)                    if h has no entry at all
 
-The bigram table holds pairs of words whose share of the training tokens is at least `share` (so at most 1/share words: the bound of all that is
-broadcast); other words are predicted, exactly and normalised, by backing off. Unigram counts cover every word.
+The bigram table holds every pair of words of the training texts, unless a caller restricts it to words of a least share of the tokens; what
+it doesn't hold is predicted, exactly and normalised, by backing off. Unigram counts cover every word.
 
-Words are 64-bit hashes. Texts are read in blocks; each block asks for the counts of its distinct rare words and of its distinct
-pairs, by buckets; the buckets add up what all blocks saw in training texts (that is the table, partitioned) and answer in the order
-asked; answers and the block's own state meet again by block, where each token is evaluated recursively. A hot history is split over
-buckets in proportion to its count, so no bucket or block grows with a key, and nothing but the frequent words, their
-backoff weights and a few count-of-count sums ever reaches the driver.
+Words are 64-bit hashes, pairs of them too. Texts are read in blocks; each block asks for the counts of its distinct pairs, by buckets; the
+buckets add up what all blocks saw in training texts (that is the table, partitioned) and answer in the order asked; answers and the block's
+own state meet again by block, where each token is evaluated recursively. Words of a share of `hot` or more (at most 1/hot of them: the bound
+of all that is broadcast) are told apart, for where their pairs go:
+
+    frequent h, frequent w   to buckets of h, over which a hot h is split in proportion to its count
+    any h, rare w            to the bucket of w, which so knows c(w), and passes sums for each h on to the bucket of h
+    rare h, frequent w       to the bucket of h, where these sums and its own give what a(h) takes; a block asks for it by h
+
+So no bucket or block grows with a key, and nothing but the frequent words, their backoff weights and a few count-of-count sums ever reaches
+the driver.
 
 Defined results: null and empty texts consist of END; repeated rows are scored (and, in training, counted) each; without training texts
 every probability is 1; an empty table gives an empty result.
@@ -23,6 +29,7 @@ every probability is 1; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +42,7 @@ from graphloom.llm.textbatch import TextBatch, chunks, mix
 
 U = np.uint64
 K = 5
-SHARE = 5e-6
+HOT = 5e-6
 BLOCK_BYTES = 1 << 21
 END, BEGIN = U(1), U(2)
 PLACES = 20  # bits of a frequent word's index
@@ -53,6 +60,20 @@ def unpack(data: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def squeeze(a: np.ndarray) -> bytes:
+    """Unsigned numbers in as many planes as the largest needs, after the number of planes; deflated, as checkpoints aren't compressed."""
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + zlib.compress(pack(a, width), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    return unpack(zlib.decompress(data[1:]), data[0]).astype(np.int64)
+
+
+def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(h) * U(0x9E3779B97F4A7C15) + w)
+
+
 class Tokens:
     """A block's tokens: hash, owner, and whether the owner trains."""
 
@@ -135,20 +156,37 @@ class Words:
 
 
 class Asked:
-    """What a block asks: distinct rare words and distinct pairs, each in order of bucket."""
+    """What a block asks: distinct rare words after their histories, distinct pairs of frequent words, and distinct rare histories with the
+    frequent words after them, each in order of bucket."""
 
     def __init__(self, t: Tokens, words: Words, buckets: int):
         at = words.index(t.word)
-        before = np.concatenate([[words.begin], at[:-1]])
-        before[t.first] = words.begin
+        before, last = np.concatenate([[words.begin], at[:-1]]), np.concatenate([[BEGIN], t.word[:-1]])
+        before[t.first], last[t.first] = words.begin, BEGIN
         self.at, self.before = at, before
         self.rare = np.flatnonzero(at < 0)
         self.pair = np.flatnonzero((at >= 0) & (before >= 0))
-        self.word, self.word_of, self.word_bucket = self._sort(t.word[self.rare], lambda u: mix(u) % U(buckets))
+        self.led = np.flatnonzero((at >= 0) & (before < 0))
+        after_rare, place = np.flatnonzero(before < 0), np.full(len(at), -1)
+        self.history, place[after_rare], self.history_bucket = self._sort(last[after_rare], lambda u: mix(u) % U(buckets))
+
+        h, w = last[self.rare], t.word[self.rare]
+        _, first, of = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
+        bucket = (mix(w[first]) % U(buckets)).astype(np.int64)
+        order = np.lexsort((w[first], bucket))
+        to = np.empty(len(order), np.int64)
+        to[order] = np.arange(len(order))
+        first = first[order]
+        self.word, self.word_after, self.word_of, self.word_bucket = w[first], h[first], to[of], bucket[order]
+        self.word_before, self.word_history = before[self.rare][first], place[self.rare][first]
+
         key = before[self.pair].astype(np.uint64) << U(PLACES) | at[self.pair].astype(np.uint64)
         self.key, self.key_of, self.key_bucket = self._sort(key, lambda u: self._bucket(u, words, buckets))
+        self.led_key, self.led_of = np.unique(place[self.led] << PLACES | at[self.led], return_inverse=True)
+        self.led_bucket = self.history_bucket[self.led_key >> PLACES]
         self.word_count = np.bincount(self.word_of, t.train[self.rare], len(self.word)).astype(np.int64)
         self.key_count = np.bincount(self.key_of, t.train[self.pair], len(self.key)).astype(np.int64)
+        self.led_count = np.bincount(self.led_of, t.train[self.led], len(self.led_key)).astype(np.int64)
 
     @staticmethod
     def _bucket(key: np.ndarray, words: Words, buckets: int) -> np.ndarray:
@@ -200,56 +238,129 @@ def _sums(table: DataFrame, column: str) -> list[int]:
     return [int(v or 0) for v in got]
 
 
-def frequent(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Words counted `least` times or more: at most N / least of them."""
+def frequent(table: DataFrame, least: float, end: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Words counted `least` times or more, at most N / least of them, and END if asked for."""
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = unpack(c, 8)
-                keep = c >= least
-                yield pa.RecordBatch.from_arrays([pa.array([unpack(w, 8)[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["words", "counts"])
+                w, c = unpack(w, 8), unpack(c, 8)
+                keep = (c >= least) | end & (w == END)
+                yield pa.RecordBatch.from_arrays([pa.array([w[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["words", "counts"])
 
     got = table.select("words", "counts").mapInArrow(pick, "words binary, counts binary").toArrow()
     return tuple(np.frombuffer(b"".join(got[c].to_pylist()), np.uint64) for c in ("words", "counts"))
 
 
-def answers(rows: DataFrame, words, uni: Unigrams, buckets: int) -> DataFrame:
-    """Rows of two kinds: answers (block, kind, bucket, data: counts in the order asked), and, without a block, sums over the bigram table of
-    each history: data (their indexes), types (by count 1..K+1 joined), tokens, seen (sum of P(w))."""
+ANSWER = "block long, kind int, bucket long, data binary, more binary, types binary, tokens binary, seen binary, rest array<long>"
+_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary()), ("more", pa.binary()), ("types", pa.binary()), ("tokens", pa.binary()), ("seen", pa.binary()), ("rest", pa.list_(pa.int64()))])
+
+
+def _answer(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, _ANSWER)
+
+
+def _sums_by(h: np.ndarray, c: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Types by count 1..K+1, tokens and sum of P(w) of each of n histories, from their pairs."""
+    return np.array([np.bincount(h[c == r], minlength=n) for r in range(1, K + 2)]), np.bincount(h, c, n).astype(np.int64), np.bincount(h, p, n).astype(np.float64)
+
+
+def _told(types: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> dict:
+    return {"types": squeeze(types.reshape(-1)), "tokens": squeeze(tokens), "seen": seen.tobytes()}
+
+
+def answers(rows: DataFrame, words, uni: Unigrams, buckets: int, whole: bool) -> DataFrame:
+    """Rows of two sorts: answers (block, kind, bucket, data: counts of pairs in the order asked, more: of kind 0, counts of their words), and,
+    without a block, sums over the bigram table of each history: data, types, tokens, seen. Of kind 1, data are indexes of frequent words; of kind 3
+    they are hashes, and bucket is theirs."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block, t in _blocks(batches):
             a = Asked(t, words.value, buckets)
-            out = [(0, k, block, pack(a.word[s], 8), pack(a.word_count[s], 4)) for k, s in _by_bucket(a.word_bucket)]
-            out += [(1, k, block, pack(a.key[s], 5), pack(a.key_count[s], 4)) for k, s in _by_bucket(a.key_bucket)]
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "block", "keys", "counts"])
+            out = [(0, k, block, pack(a.word[s], 8), pack(a.word_after[s], 8), squeeze(a.word_count[s])) for k, s in _by_bucket(a.word_bucket)]
+            out += [(1, k, block, squeeze(a.key[s]), None, squeeze(a.key_count[s])) for k, s in _by_bucket(a.key_bucket)]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "block", "keys", "after", "counts"])
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
         kind, bucket = key[0].as_py(), key[1].as_py()
-        width = 5 if kind else 8
-        asked = [unpack(x, width) for x in t["keys"].to_pylist()]
-        u, of = np.unique(np.concatenate(asked), return_inverse=True)
-        c = np.bincount(of, np.concatenate([unpack(x, 4) for x in t["counts"].to_pylist()]).astype(float)).astype(np.int64)
+        asked = [unsqueeze(x).astype(np.uint64) if kind else unpack(x, 8) for x in t["keys"].to_pylist()]
+        w = np.concatenate(asked)
+        count = np.concatenate([unsqueeze(x) for x in t["counts"].to_pylist()]).astype(float)
+        after = None if kind else np.concatenate([unpack(x, 8) for x in t["after"].to_pylist()])
+        u, first, of = np.unique(w if kind else pair_hash(after, w), return_index=True, return_inverse=True)
+        c = np.bincount(of, count).astype(np.int64)
         ends = np.cumsum([len(x) for x in asked])
-        data = [pack(c[of[e - len(x) : e]], 5) for x, e in zip(asked, ends.tolist(), strict=True)]
-        blocks, types, tokens, seen = t["block"].to_pylist(), [None] * len(data), [None] * len(data), [None] * len(data)
+        at = [slice(e - len(x), e) for x, e in zip(asked, ends.tolist(), strict=True)]
+        out = [{"block": b, "kind": kind, "bucket": bucket, "data": squeeze(c[of[s]])} for b, s in zip(t["block"].to_pylist(), at, strict=True)]
+        held = c > 0
         if kind:
-            held = c > 0
             h, back = np.unique((u[held] >> U(PLACES)).astype(np.int64), return_inverse=True)
-            c, w = c[held], (u[held] & U((1 << PLACES) - 1)).astype(np.int64)
-            by = [np.bincount(back[c == r], minlength=len(h)) for r in range(1, K + 2)]
-            blocks.append(None)
-            data.append(pack(h, 4))
-            types.append(b"".join(pack(x, 4) for x in by))
-            tokens.append(np.bincount(back, c, len(h)).astype(np.float64).tobytes())
-            seen.append(np.bincount(back, uni.p(words.value.count[w]), len(h)).astype(np.float64).tobytes())
-        n = len(data)
-        return pa.table({"block": pa.array(blocks, pa.int64()), "kind": pa.array([kind] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int64()), "data": pa.array(data, pa.binary()), "types": pa.array(types, pa.binary()), "tokens": pa.array(tokens, pa.binary()), "seen": pa.array(seen, pa.binary())})
+            p = uni.p(words.value.count[(u[held] & U((1 << PLACES) - 1)).astype(np.int64)])
+            out.append({"kind": 1, "bucket": bucket, "data": pack(h, 4), **_told(*_sums_by(back, c[held], p, len(h)))})
+            return _answer(out)
+        _, word = np.unique(w, return_inverse=True)
+        cw = np.bincount(word, count).astype(np.int64)[word]
+        for x, s in zip(out, at, strict=True):
+            x["more"] = squeeze(cw[s])
+        if whole:
+            h, back = np.unique(after[first[held]], return_inverse=True)
+            types, tokens, seen = _sums_by(back, c[held], uni.p(cw[first[held]]), len(h))
+            to = (mix(h) % U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            for k, s in _by_bucket(to[order]):
+                i = order[s]
+                out.append({"kind": 3, "bucket": k, "data": pack(h[i], 8), **_told(types[:, i], tokens[i], seen[i])})
+        return _answer(out)
+
+    asked = rows.mapInArrow(ask, "kind int, bucket long, block long, keys binary, after binary, counts binary")
+    return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
+
+
+def histories(rows: DataFrame, sums: DataFrame, words, uni: Unigrams, buckets: int) -> DataFrame:
+    """Answers of kind 2 on rare histories (data: counts of the pairs asked; types, tokens, seen: sums of each history asked) and, without a block,
+    the sums of frequent ones as of kind 1, with rest: the types by count of all rare ones. sums: rows of kind 3."""
 
-    asked = rows.mapInArrow(ask, "kind int, bucket long, block long, keys binary, counts binary")
-    return asked.groupBy("kind", "bucket").applyInArrow(answer, "block long, kind int, bucket long, data binary, types binary, tokens binary, seen binary")
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block, t in _blocks(batches):
+            a = Asked(t, words.value, buckets)
+            out = []
+            for k, s in _by_bucket(a.history_bucket):
+                led = slice(*np.searchsorted(a.led_bucket, [k, k + 1]).tolist())
+                out.append((block, k, pack(a.history[s], 8), squeeze(a.led_key[led] - (s.start << PLACES)), squeeze(a.led_count[led])))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "data", "pairs", "counts"])
+
+    def answer(key: tuple, t: pa.Table) -> pa.Table:
+        rows_ = t.to_pylist()
+        lists = [unpack(x["data"], 8) for x in rows_]
+        h, of = np.unique(np.concatenate(lists), return_inverse=True)
+        n, ends = len(h), np.cumsum([len(x) for x in lists]).tolist()
+        own = [of[e - len(x) : e] for x, e in zip(lists, ends, strict=True)]
+        asks = [(x, i) for x, i in zip(rows_, own, strict=True) if x["block"] is not None]
+        nothing = np.zeros(0, np.int64)
+        keys = [unsqueeze(x["pairs"]) for x, _ in asks]
+        u, pair = np.unique(np.concatenate([nothing, *[i[k >> PLACES] << PLACES | k & ((1 << PLACES) - 1) for k, (_, i) in zip(keys, asks, strict=True)]]), return_inverse=True)
+        c = np.bincount(pair, np.concatenate([nothing, *[unsqueeze(x["counts"]) for x, _ in asks]]), len(u)).astype(np.int64)
+        held = c > 0
+        types, tokens, seen = _sums_by(u[held] >> PLACES, c[held], uni.p(words.value.count[u[held] & ((1 << PLACES) - 1)]), n)
+        for x, i in zip(rows_, own, strict=True):
+            if x["block"] is None:
+                types[:, i] += unsqueeze(x["types"]).reshape(K + 1, -1)
+                tokens[i] += unsqueeze(x["tokens"])
+                seen[i] += np.frombuffer(x["seen"])
+        out, e = [], 0
+        for (x, i), k in zip(asks, keys, strict=True):
+            out.append({"block": x["block"], "kind": 2, "bucket": x["bucket"], "data": squeeze(c[pair[e : e + len(k)]]), **_told(types[:, i], tokens[i], seen[i])})
+            e += len(k)
+        at = words.value.index(h)
+        hot = at >= 0
+        out.append({"kind": 2, "bucket": key[0].as_py(), "data": pack(at[hot], 4), "rest": types[:, ~hot].sum(1).tolist(), **_told(types[:, hot], tokens[hot], seen[hot])})
+        return _answer(out)
+
+    asked = rows.mapInArrow(ask, "block long, bucket long, data binary, pairs binary, counts binary").selectExpr("*", "cast(null as binary) types", "cast(null as binary) tokens", "cast(null as binary) seen")
+    passed = sums.selectExpr("block", "bucket", "data", "cast(null as binary) pairs", "cast(null as binary) counts", "types", "tokens", "seen")
+    return asked.unionByName(passed).groupBy("bucket").applyInArrow(answer, ANSWER)
 
 
 class Backoff:
@@ -257,38 +368,46 @@ class Backoff:
 
     def __init__(self, sums: DataFrame, words: Words):
         n = len(words.word)
-        types, tokens, seen = np.zeros((K + 1, n)), np.zeros(n), np.zeros(n)
+        types, tokens, seen, rest = np.zeros((K + 1, n)), np.zeros(n), np.zeros(n), np.zeros(K + 1)
         for r in sums.toLocalIterator():
             h = unpack(r["data"], 4).astype(np.int64)
-            by = [unpack(r["types"][4 * i * len(h) : 4 * (i + 1) * len(h)], 4) for i in range(K + 1)]
-            np.add.at(tokens, h, np.frombuffer(r["tokens"]))
-            np.add.at(seen, h, np.frombuffer(r["seen"]))
-            for i in range(K + 1):
-                np.add.at(types[i], h, by[i])
-        self.d = discounts([0, *types.sum(1).astype(int).tolist()])
-        c = np.maximum(words.count, 1).astype(float)
+            types[:, h] += unsqueeze(r["types"]).reshape(K + 1, -1)
+            tokens[h] += unsqueeze(r["tokens"])
+            seen[h] += np.frombuffer(r["seen"])
+            rest += r["rest"] or 0
+        self.d = discounts([0, *(types.sum(1) + rest).astype(int).tolist()])
+        self.factor, self.weight = self.rest(words.count, types, tokens, seen)
+
+    def rest(self, count: np.ndarray, types: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Factor and backoff weight of histories that occur count times."""
+        c = np.maximum(count, 1).astype(float)
         off = sum((1 - self.d[r]) * r * types[r - 1] for r in range(1, K + 1))
         left = (c - tokens + off) / c
         has = tokens > 0
         bare = has & (left <= 1e-12)
-        self.factor = np.where(bare, c / (c + 1), 1.0)
         left = np.where(bare, 1 / (c + 1), left)
-        self.weight = np.where(has, left / np.maximum(1 - seen, 1e-300), 1.0)
+        return np.where(bare, c / (c + 1), 1.0), np.where(has, left / np.maximum(1 - seen, 1e-300), 1.0)
 
 
-def scores(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
+def scores(docs: DataFrame, share: float = 0.0, hot: float = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document. With a share (1e-6 or more), the bigram table is
+    restricted to words of that share of the training tokens; hot only says how pairs are dealt."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = _rows(docs)
     table = cut(unigram_table(rows, buckets))
     total = table.agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
     uni = Unigrams(int(total["n"] or 0), int(total["v"] or 0), _sums(table, "small"))
-    hashes, counts = frequent(table, max(share, 1.0 / ((1 << PLACES) - 2)) * uni.N)
+    whole = not share
+    hashes, counts = frequent(table, max(share or hot, 1.0 / ((1 << PLACES) - 2)) * uni.N, whole)
     begins = int(counts[hashes == END].sum()) if (hashes == END).any() else 0
     words = spark.sparkContext.broadcast(Words(hashes, counts, begins, buckets, uni.N))
-    found = cut(answers(rows, words, uni, buckets))
-    model = spark.sparkContext.broadcast(Backoff(found.where("block IS NULL"), words.value))
+    found = cut(answers(rows, words, uni, buckets, whole))
+    sums, told = found.where("block IS NULL AND kind = 1"), found.where("block IS NOT NULL")
+    if whole:
+        led = cut(histories(rows, found.where("kind = 3"), words, uni, buckets))
+        sums, told = sums.unionByName(led.where("block IS NULL")), told.unionByName(led.where("block IS NOT NULL"))
+    model = spark.sparkContext.broadcast(Backoff(sums, words.value))
 
     def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = words.value
@@ -297,46 +416,56 @@ def scores(docs: DataFrame, share: float = SHARE) -> DataFrame:
             a = Asked(t, w, buckets)
             frequent_ = a.at >= 0
             base = np.bincount(t.doc[frequent_], uni.base(w.count[a.at[frequent_]]), t.n)
-            alone = frequent_ & (a.before < 0)
-            score = np.bincount(t.doc[alone], p[a.at[alone]], t.n)
+            score = np.zeros(t.n) if whole else np.bincount(t.doc[a.led], p[a.at[a.led]], t.n)
             n_tokens = np.bincount(t.doc, minlength=t.n)
-            order = np.argsort(a.key_of, kind="stable")
-            data = [
-                np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_valid()).tobytes(), pack(n_tokens, 5), pack(np.bincount(t.doc[frequent_], minlength=t.n), 5), base.tobytes(), score.tobytes(),
-                pack(a.word_of, 4), pack(t.doc[a.rare], 3), pack(a.before[a.rare] + 1, 3),
-                pack(a.key, 5), pack(np.bincount(a.key_of, minlength=len(a.key)), 4), pack(t.doc[a.pair][order], 3),
-            ]
+            data = [np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_valid()).tobytes(), squeeze(n_tokens), squeeze(np.bincount(t.doc[frequent_], minlength=t.n)), base.tobytes(), score.tobytes()]
+            for place, of, n in ((a.rare, a.word_of, len(a.word)), (a.pair, a.key_of, len(a.key)), (a.led, a.led_of, len(a.led_key))):
+                data += [squeeze(np.bincount(of, minlength=n)), squeeze(t.doc[place][np.argsort(of, kind="stable")])]
             held = np.zeros(t.n, bool)
             held[t.doc[~t.train]] = True
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([None], pa.binary()), pa.array([[*data, held.tobytes()]], pa.list_(pa.binary()))], names=["block", "kind", "bucket", "data", "state"])
+            data += [squeeze(a.word_before + 1), squeeze(a.word_history + 1), squeeze(a.key), squeeze(a.led_key), held.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), *[pa.array([None], pa.binary())] * 5, pa.array([data], pa.list_(pa.binary()))], names=["block", "kind", "bucket", "data", "more", "types", "tokens", "seen", "state"])
 
     def evaluate(t: pa.Table) -> pa.Table:
         w, m = words.value, model.value
         t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         kind = t["kind"].to_numpy()
-        told = [np.concatenate([np.zeros(0, np.uint64), *[unpack(x, 5) for x in t["data"].filter(pa.array(kind == k)).to_pylist()]]).astype(np.int64) for k in (0, 1)]
-        states = t["state"].filter(pa.array(kind == -1)).to_pylist()
+        of = lambda k, column: t[column].filter(pa.array(kind == k)).to_pylist()
+        told = lambda k, column: np.concatenate([np.zeros(0, np.int64), *map(unsqueeze, of(k, column))])
+        states = of(-1, "state")
         if len(states) != 1:
             raise ValueError("a block was read differently the second time")
-        ids, valid, n_tokens, n_frequent, base, score, word_of, rare_doc, rare_before, key, times, pair_doc, held = states[0]
-        ids, n_tokens, known = np.frombuffer(ids, np.int64), unpack(n_tokens, 5).astype(np.int64), unpack(n_frequent, 5).astype(np.int64)
+        ids, valid, n_tokens, n_frequent, base, score, *packed, held = states[0]
+        ids, n_tokens, known = np.frombuffer(ids, np.int64), unsqueeze(n_tokens), unsqueeze(n_frequent)
         base, score, n = np.frombuffer(base).copy(), np.frombuffer(score).copy(), len(ids)
-        key, times, pair_doc, rare_doc = (unpack(x, k).astype(np.int64) for x, k in ((key, 5), (times, 4), (pair_doc, 3), (rare_doc, 3)))
-        if len(told[1]) != len(key):
+        word_times, word_doc, key_times, key_doc, led_times, led_doc, before, history, key, led = map(unsqueeze, packed)
+        pairs, of_word = told(0, "data"), told(0, "more")
+        if len(pairs) != len(before) or len(told(1, "data")) != len(key) or whole and len(told(2, "data")) != len(led):
             raise ValueError("an answer is missing")
-        c = told[0][unpack(word_of, 4).astype(np.int64)]
-        known += np.bincount(rare_doc[c > 0], minlength=n)
-        base += np.bincount(rare_doc, uni.base(c), n)
-        before = unpack(rare_before, 3).astype(np.int64) - 1
-        back = np.where(before >= 0, np.log10(m.weight[before]), 0.0)
-        score += np.bincount(rare_doc, np.log10(uni.p(c)) + back, n)
-        h, at, c = key >> PLACES, key & ((1 << PLACES) - 1), told[1]
-        with np.errstate(divide="ignore"):
-            direct = np.log10(m.factor[h] * discounted(c.astype(float), m.d) / np.maximum(w.count[h], 1))
-        value = np.where(c > 0, direct, np.log10(m.weight[h]) + np.log10(uni.p(w.count[at])))
-        score += np.bincount(pair_doc, np.repeat(value, times), n)
+        # what each rare history gives, after one place for none
+        tokens = np.concatenate([[0], told(2, "tokens")])
+        types = np.concatenate([np.zeros((K + 1, 1)), *[unsqueeze(x).reshape(K + 1, -1) for x in of(2, "types")]], 1)
+        seen = np.concatenate([[0.0], *[np.frombuffer(x) for x in of(2, "seen")]])
+        factor, weight = m.rest(tokens, types, tokens, seen)
+
+        def value(c: np.ndarray, cw: np.ndarray, size: np.ndarray, factor: np.ndarray, weight: np.ndarray) -> np.ndarray:
+            with np.errstate(divide="ignore"):
+                direct = np.log10(factor * discounted(c.astype(float), m.d) / np.maximum(size, 1))
+            return np.where(c > 0, direct, np.log10(weight) + np.log10(uni.p(cw)))
+
+        h, at = np.maximum(before - 1, 0), history if whole else np.zeros_like(history)
+        hot = before > 0
+        value_ = value(pairs if whole else np.zeros_like(pairs), of_word, np.where(hot, w.count[h], tokens[at]), np.where(hot, m.factor[h], factor[at]), np.where(hot, m.weight[h], weight[at]))
+        score += np.bincount(word_doc, np.repeat(value_, word_times), n)
+        known += np.bincount(word_doc, np.repeat(of_word > 0, word_times), n).astype(np.int64)
+        base += np.bincount(word_doc, np.repeat(uni.base(of_word), word_times), n)
+        h, at = key >> PLACES, key & ((1 << PLACES) - 1)
+        score += np.bincount(key_doc, np.repeat(value(told(1, "data"), w.count[at], w.count[h], m.factor[h], m.weight[h]), key_times), n)
+        if whole:
+            h, at = (led >> PLACES) + 1, led & ((1 << PLACES) - 1)
+            score += np.bincount(led_doc, np.repeat(value(told(2, "data"), w.count[at], tokens[h], factor[h], weight[h]), led_times), n)
         return pa.table([pa.array(ids, mask=~np.frombuffer(valid, bool)), pa.array(np.frombuffer(held, bool)), pa.array(n_tokens), pa.array(known), pa.array(np.full(n, uni.N)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    told = found.where("block IS NOT NULL").select("block", "kind", "bucket", "data", F.lit(None).cast("array<binary>").alias("state"))
-    own = rows.mapInArrow(state, "block long, kind int, bucket long, data binary, state array<binary>")
+    told = told.select("block", "kind", "bucket", "data", "more", "types", "tokens", "seen", F.lit(None).cast("array<binary>").alias("state"))
+    own = rows.mapInArrow(state, "block long, kind int, bucket long, data binary, more binary, types binary, tokens binary, seen binary, state array<binary>")
     return own.unionByName(told).groupBy("block").applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

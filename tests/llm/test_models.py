@@ -204,6 +204,28 @@ def test_katz(spark, share):
     assert got == want
 
 
+def katz_rows(got):
+    return collections.Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 5), round(x["score"], 5)) for x in got.collect())
+
+
+@pytest.mark.parametrize("hot", [katz.HOT, 0.02, 1.0])
+def test_katz_all_pairs(spark, hot):
+    """However words are dealt, every pair counts."""
+    r = random.Random(7)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=r.randrange(25))) for _ in range(150)] + EDGE
+    rows = list(enumerate(texts))
+    want = collections.Counter((a, *x[:4], round(x[4], 5), round(x[5], 5)) for (a, _), x in zip(rows, katz_oracle(rows, 0)))
+    assert katz_rows(katz.scores(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)) == want
+
+
+def test_katz_rare_pairs_of_many_tokens(spark):
+    """Pairs that occur twice in a million tokens stay in the table."""
+    rows = [(i, "a b c " * 1500 + "x y z " * (i in (3, 40)) + "b x " * (i in (50, 51))) for i in range(220)]
+    want = {a: x[5] for (a, _), x in zip(rows, katz_oracle(rows, 0))}
+    got = {x["doc_id"]: x["score"] for x in katz.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
+
+
 def test_katz_without_training(spark):
     d = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {(x["n_known"], x["train_tokens"], x["score"]) for x in katz.scores(d).collect()} == {(0, 0, 0.0)}
