@@ -90,19 +90,21 @@ class Tokens:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int, Tokens]]:
-    """(doc_ids, block, tokens); the block's name follows from its rows, so reading again gives the same."""
+    """(doc_ids, block, tokens); the block's name follows from its rows and the place of the first, so reading a fixed table again gives the
+    same, and blocks of equal rows have names of their own."""
     for batch in batches:
         for row, part in chunks(batch.column(2), BLOCK_BYTES):
             n = len(part)
             t = Tokens(part, np.asarray(batch.column(1).slice(row, n)))
             ids = batch.column(0).slice(row, n)
             key = mix(np.asarray(ids.fill_null(-1)).astype(np.uint64) + np.bincount(t.doc, minlength=n).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            name = mix(np.array([np.bitwise_xor.reduce(mix(key + np.arange(n, dtype=np.uint64)))]) + t.word[:1])[0]
+            place = mix(np.asarray(batch.column(3).slice(row, 1)).astype(np.uint64) + U(1))
+            name = mix((np.array([np.bitwise_xor.reduce(mix(key + np.arange(n, dtype=np.uint64)))]) + t.word[:1]) ^ place)[0]
             yield ids, int(name >> U(1)), t
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", (fold("doc_id", 10) != 0).alias("train"), F.col("text").cast("binary").alias("text"))
+    return docs.select("doc_id", (fold("doc_id", 10) != 0).alias("train"), F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("place"))
 
 
 def discounts(n: list[int]) -> np.ndarray:

@@ -226,6 +226,13 @@ def test_katz_rare_pairs_of_many_tokens(spark):
     assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_katz_equal_blocks(spark):
+    d = spark.createDataFrame([(i, "a b c") for i in range(30)], "doc_id long, text string").coalesce(1)
+    rows = [(i, "a b c") for i in range(30)] * 3
+    want = collections.Counter((a, *x[:4], round(x[4], 5), round(x[5], 5)) for (a, _), x in zip(rows, katz_oracle(rows, 0)))
+    assert katz_rows(katz.scores(d.unionAll(d).unionAll(d))) == want
+
+
 def test_katz_without_training(spark):
     d = spark.createDataFrame([(i, "a b") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {(x["n_known"], x["train_tokens"], x["score"]) for x in katz.scores(d).collect()} == {(0, 0, 0.0)}
