@@ -74,8 +74,10 @@ class WordTable:
         if len(missing):
             unique, first = np.unique(h[missing], return_index=True)
             if self.count + len(unique) >= len(self.size) or self.used > self.pool_limit:
-                if len(unique) >= len(self.size):
-                    raise MemoryError("a batch has more distinct words than the table has room for")
+                if len(unique) >= len(self.size):  # more than the table has room for: one half after the other
+                    half = len(h) // 2
+                    parts = self.encode(h[:half], make), self.encode(h[half:], lambda at: make(at + half))
+                    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
                 self.reset()
                 return self.encode(h, make)
             self.add(unique, list(make(missing[first])))

@@ -12,6 +12,7 @@ import pytest
 
 from graphloom.llm import chat, jpeg, packing, pieces
 from graphloom.llm.textstats import NAMES, text_stats
+from graphloom.llm.wordtable import WordTable
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [None, "", " \n\t", "a", "a\n\na\na b", "é" * 10, "x " * 100, "one two three four five six seven eight " * 3, "日本語 テスト🙂 x", "a\x1cb\x85c", "#* | <x>", "w" * 5000, " lead", "trail \n", "a  b   c", "a \n b"]
@@ -170,3 +171,14 @@ def test_chat(spark):
     assert got[2]["turns_sha256"] == hashlib.sha256(b"\nx\nassistant\n\nassistant\n\n").hexdigest()
     assert [x["state"] for x in chat.segments(c).where("conv_id = 3 AND part = 0").orderBy("place").collect()] == ["user", "broken"]
     assert chat.digests(c.limit(0)).count() == 0
+
+
+def test_word_table_smaller_than_a_text():
+    """More distinct words at once than the table holds."""
+    r = np.random.default_rng(5)
+    h = r.integers(0, 200, 1000).astype(np.uint64)
+    table = WordTable(np.uint32, slots_log2=4)
+    for part in (h[:3], h, h[:7], h[::-1]):
+        words = lambda at: [[int(x)] * (int(x) % 3 + 1) for x in part[at]]  # noqa: B023, E731
+        got, sizes = table.encode(part, words)
+        assert got.tolist() == [x for y in words(np.arange(len(part))) for x in y] and sizes.tolist() == [int(x) % 3 + 1 for x in part]
