@@ -13,6 +13,8 @@ _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never shown as text of the page.
 HIDDEN = frozenset("head title script style template noscript svg iframe object textarea select option button canvas audio video math".split())
+#: Any other start tag, and text, end the head.
+IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Their content isn't markup.
 RAW = frozenset("script style textarea title iframe noscript template".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -69,6 +71,8 @@ def blocks(html: str) -> list[Block]:
 
     def text(a: int, b: int) -> None:
         nonlocal now
+        if a < b and path and path[-1].tag == "head" and html[a:b].strip(" \t\n\r\f"):
+            leave_head()
         if a >= b or hidden:
             return
         piece = html[a:b]
@@ -97,6 +101,10 @@ def blocks(html: str) -> list[Block]:
             hidden -= e.tag in HIDDEN
             links -= e.tag == "a"
 
+    def leave_head() -> None:
+        while path and path[-1].tag == "head":
+            pop(len(path) - 1)
+
     end = len(html)
     while at < end:
         m = _TOKEN.search(html, at)
@@ -123,6 +131,8 @@ def blocks(html: str) -> list[Block]:
             continue
         if not m[4]:  # the page ends inside a tag
             break
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in BLOCK:
             close()
             for i in range(len(path) - 1, -1, -1):

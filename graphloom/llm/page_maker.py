@@ -13,6 +13,7 @@ _SYLLABLES = "an be ci do er fu ga he in jo ka lu me no or pa qui re so ta un ve
 class PageMaker:
     def __init__(self, seed: int):
         self.r = Random(seed)
+        self.heads = Random(f"heads {seed}")  # of their own, so that the layouts don't depend on it
 
     def one(self, *options):
         return options[self.r.randrange(len(options))]
@@ -106,7 +107,7 @@ class PageMaker:
 
     def page(self) -> tuple[str, list[tuple[int, int]]]:
         """(html, spans of the article)."""
-        parts: list[tuple[str, bool]] = [(f'<!DOCTYPE html><html lang="xx"><head><title>{self.words(1, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head><body>', False)]
+        parts: list[tuple[str, bool]] = [(f'<!DOCTYPE html><html lang="xx"><head><title>{self.words(1, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script>{"</head>" if self.heads.random() < 0.8 else ""}<body>', False)]
         add = lambda html, main=False: parts.append((html, main))
         for make in (self.notice, self.header, self.menu, self.advert, self.side, self.form, self.notice):
             if self.chance(0.4):

@@ -256,6 +256,16 @@ def test_pages(spark):
     assert got[2]["text"] == got[3]["text"] == got[4]["text"] == "" and page_text.extract(p.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<body><p>", "<p>", "<body>", "", "<img src=x>", "\n<meta name=m>\n<div>"])
+def test_head_without_end_tag(start):
+    page = page_text.blocks(f"<!DOCTYPE html><html><head> <title>t</title><link href=x>\n<script>a</script><noscript>n</noscript>{start}One two.<p>Three.")
+    assert [b.text for b in page] == ["One two.", "Three."]
+
+
+def test_made_heads():
+    assert {"</head>" in html for html, _ in page_text.made_pages(60, 3)} == {True, False}
+
+
 def test_field_probabilities_match_brute_force():
     """Viterbi finds the best labelling of all."""
     page = page_text.blocks("<nav><a href=x>a</a></nav><article><p>One two three.</p><p>Four.</p></article><footer>f</footer>")
