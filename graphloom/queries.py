@@ -373,9 +373,9 @@ def form_fields(spark, sf):
 
 
 @query("graph_roundtrip", views.duck("thin", " select id, file_path || '#module:' || name node_key, (select count(*) from e where src = id) calls from n where kind = 'module'"))
-def graph_roundtrip(spark, sf):
-    """The thin view's modules and their outgoing edges, through a JSON document and back."""
-    n, e = graph(spark, sf, "thin")
+def graph_roundtrip(spark, sf, view="thin"):
+    """The view's modules and their outgoing edges, through a JSON document and back."""
+    n, e = graph(spark, sf, view)
     key = F.concat("file_path", F.lit("#module:"), "name")
     modules = n.where("kind = 'module'").withColumn("node_key", key)
     doc = F.to_json(F.struct("kind", F.col("node_key").alias("id"), "name", F.col("file_path").alias("filePath"), F.array().cast("array<string>").alias("exports")))
@@ -409,3 +409,62 @@ def import_pages(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("h"))
     return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
+
+
+def _visible(n, e):
+    return filters.visible(n, e, hidden_kinds=("interface",))
+
+
+#: The operators over the edges of all orders, by the query whose view has a part of them.
+_WHOLE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    "fan_metrics": degree.fan_metrics,
+    "overview_metrics": lambda n, e: degree.overview(n, e, 1, recursion.reachable(e, entry_ids(n))),
+    "page_stats": degree.page_stats,
+    "edge_groups": lambda n, e: degree.edge_groups(e),
+    "module_coupling": degree.module_coupling,
+    "god_nodes": degree.god_nodes,
+    "hub_nodes": degree.hub_nodes,
+    "subgraph_nodes": lambda n, e: filters.subgraph(n, e, n.where("id % 3 <> 0"))[0],
+    "subgraph_edges": lambda n, e: filters.subgraph(n, e, n.where("id % 3 <> 0"))[1],
+    "visibility": lambda n, e: _visible(n, e)[1],
+    "visible_nodes": lambda n, e: _visible(n, e)[0],
+    "effective_orphans": lambda n, e: filters.effective_orphans(n, degree.edge_groups(e), _visible(n, e)[0]),
+    "node_edges": lambda n, e: filters.node_edges(e, 7),
+    "edges_between": lambda n, e: filters.edges_between(e, 7, e.where("src = 7").agg(F.min("dst")).first()[0]),
+    "reachable": lambda n, e: recursion.reachable(e, entry_ids(n)),
+    "dead_code": lambda n, e: recursion.dead_code(n, e, entry_ids(n)),
+    "dead_code_by_file": lambda n, e: degree.by_file(recursion.dead_code(n, e, entry_ids(n)), [F.col("file_path"), F.col("name")]),
+    "k_hop": lambda n, e: recursion.k_hop(e, 7, 3),
+    "edge_ids": lambda n, e: e.select("src", "dst").distinct().withColumn("edge_id", S.edge_id(F.col("src"), F.col("dst"))),
+    "dot_edges": lambda n, e: report.dot_edges(e),
+    "graph_roundtrip": None,
+    "components": lambda n, e: recursion.components(n, e).fillna(-1, "root"),
+    "clusters": lambda n, e: recursion.clusters(n, e, entry_ids(n)),
+    "cluster_summary": lambda n, e: degree.cluster_summary(recursion.clusters(n, e, entry_ids(n))),
+    "initial_scope": lambda n, e: filters.initial_scope(recursion.clusters(n, e, entry_ids(n))),
+    "cluster_select": lambda n, e: filters.selected_clusters(recursion.clusters(n, e, entry_ids(n)), " ep_0, cmp_1,,nothing"),
+    "import_cycles": lambda n, e: recursion.cycles(n, e, "import"),
+    "call_cycles": lambda n, e: recursion.cycles(n, e, "call"),
+    "layers": lambda n, e: recursion.layers(n, e, recursion.clusters(n, e, entry_ids(n))),
+    "call_paths": lambda n, e: recursion.call_paths(e, 7),
+    "dot_lines": lambda n, e: report.dot_lines(n, e, entry_ids(n)),
+}
+#: Their SQL walks all pairs or paths: too slow over all edges.
+_SLOW = {"components", "clusters", "cluster_summary", "initial_scope", "cluster_select", "import_cycles", "call_cycles", "layers", "call_paths", "dot_lines"}
+
+
+def _whole_oracle(name: str) -> str | None:
+    """The query's SQL with the edges of all orders in place of its view."""
+    if name in _SLOW:
+        return None
+    sql, names = ORACLE[name], {"customer": "customer", "orders": "orders"}
+    for part in ("thin", "dense", "sparse"):  # sparse is the beginning of thin
+        sql = sql.replace(views.EDGES[part].format(**names), views.EDGES["all"].format(**names))
+    return sql
+
+
+for _name, _f in _WHOLE.items():
+
+    @query(f"{_name}_all", _whole_oracle(_name))
+    def whole(spark, sf, f=_f):
+        return f(*graph(spark, sf, "all")) if f else graph_roundtrip(spark, sf, "all")

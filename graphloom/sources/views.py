@@ -19,6 +19,7 @@ from {{orders}} where {where}"""
 EDGES = {
     "sparse": _EDGES.format(dst="(o_custkey * 7 + o_orderkey % 2)", where="o_orderstatus = 'P'"),
     "dense": _EDGES.format(dst="(o_custkey * 7 + o_orderkey)", where="o_orderstatus in ('P', 'O')"),
+    "all": _EDGES.format(dst="(o_custkey * 7 + o_orderkey)", where="true"),
     "thin": _EDGES.format(dst="(o_custkey * 7 + o_orderkey % 2)", where="o_orderstatus = 'P' and o_orderpriority = '1-URGENT' and o_totalprice < 120000"),
 }
 ENTRY_FILE = "src/n0.ts"
