@@ -1,11 +1,16 @@
-"""What several operators share: folds, checkpoints, tables."""
+"""What several operators share: folds, checkpoints, stored tables."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.plans.fixpoint import cut
+from graphloom.plans.fixpoint import cut, shared_folder
+
+#: Shuffle files of a query that writes a table are removed when the table is there.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,4 +22,33 @@ def fold(doc_id: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
-__all__ = ["cut", "fold", "table"]
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet to the shared folder and read again, and its path; the shuffle files behind it are not kept."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+__all__ = ["cut", "fold", "free_name", "remove", "stored", "table"]

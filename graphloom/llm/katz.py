@@ -1,110 +1,80 @@
-"""Katz backoff language model with Good-Turing discounts, over whole texts.
+"""Katz backoff language model of order 3 with Good-Turing discounts, over whole texts.
 
-Tokens are white-space words (A-Z lower-cased) and one END a text; BEGIN is a history only. The model, from training texts alone:
+Tokens are white-space words (A-Z lower-cased) and one END a text; BEGIN, BEGIN stands before each text and is a history only. The model,
+from training texts alone, with no n-gram left out:
 
-    P(w)     = d(c) * c / N            words of the training texts; d discounts counts up to K by Good-Turing
-    P(other) = the mass so freed       one slot for all unknown words
-    P(w | h) = e(c) * c(h, w) / c(h)   if the table holds (h, w)
-             = a(h) * P(w)             else; a(h) makes the probabilities of h add up to one exactly
-             = P(w)                    if h has no entry at all
+    P(w)       = d1(c) * c / N                   words of the training texts; d discounts counts up to K by Good-Turing
+    P(other)   = the mass so freed               one slot for all unknown words
+    P(w | v)   = d2(c) * c(v, w) / c(v)          if (v, w) occurs,  else a(v) * P(w)
+    P(w | u v) = d3(c) * c(u, v, w) / c(u, v)    if (u, v, w) occurs, else a(u, v) * P(w | v)
 
-The bigram table holds every pair of words of the training texts, unless a caller restricts it to words of a least share of the tokens; what
-it doesn't hold is predicted, exactly and normalised, by backing off. Unigram counts cover every word.
+a(.) is what the discounts leave over the mass that the shorter history gives to the words not seen, so every history adds up to one exactly. A history
+whose words all occur more than K times has nothing discounted: its counts are scaled by c / (c + 1). An unknown history passes to the shorter one.
 
-Words are 64-bit hashes, pairs of them too. Texts are read in blocks; each block asks for the counts of its distinct pairs, by buckets; the
-buckets add up what all blocks saw in training texts (that is the table, partitioned) and answer in the order asked; answers and the block's
-own state meet again by block, where each token is evaluated recursively. Words of a share of `hot` or more (at most 1/hot of them: the bound
-of all that is broadcast) are told apart, for where their pairs go:
+Plan. Texts are cut into blocks, which are tokenised once and written. Every level (words, pairs, triples) is one exchange: a block asks for its
+*distinct* n-grams, with its own training counts, by bucket; a bucket adds up what all blocks saw (that is the table of n-grams, partitioned) and
+answers in the order asked. Answers are written and meet the block again by its number, where each token is evaluated recursively. Words become numbers at
+the first level. Buckets follow the number of tokens, so none grows with the input. The n-grams of a history go to one bucket, which so knows what a(.) needs; a history
+with more than a quarter of a bucket's tokens is split by the next word, and its sums (at most 1 / HOT histories a level, whatever the input) are the
+only thing that reaches the driver besides totals. A text longer than a block becomes several pieces, which know the two words before them.
 
-    frequent h, frequent w   to buckets of h, over which a hot h is split in proportion to its count
-    any h, rare w            to the bucket of w, which so knows c(w), and passes sums for each h on to the bucket of h
-    rare h, frequent w       to the bucket of h, where these sums and its own give what a(h) takes; a block asks for it by h
+Tables are written to the shared folder and removed when the next one is there; what a lost executor held is read or computed again.
 
-So no bucket or block grows with a key, and nothing but the frequent words, their backoff weights and a few count-of-count sums ever reaches
-the driver.
+Words are told apart by 64-bit hashes, and histories of two words inside a bucket by hashes of their numbers.
 
-Defined results: null and empty texts consist of END; repeated rows are scored (and, in training, counted) each; without training texts
-every probability is 1; an empty table gives an empty result.
+Defined results: null and empty texts consist of END; repeated rows are scored (and, in training, counted) each; null ids count as the empty text in the
+fold; without training texts every probability is 1; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, fold
-from graphloom.llm.textbatch import TextBatch, chunks, mix
+from graphloom.llm.common import fold, remove, stored
+from graphloom.llm.textbatch import IS_SPACE, TextBatch, as_binary, chunks, mix
 
 U = np.uint64
 K = 5
-HOT = 5e-6
+ORDER = 3
 BLOCK_BYTES = 1 << 21
-END, BEGIN = U(1), U(2)
-PLACES = 20  # bits of a frequent word's index
+BUCKET_TOKENS = 1 << 21
+#: Least share of the training tokens of a history that is split: the bound of what reaches the driver.
+HOT = 1e-6
+END = U(1)
+BEGIN = 0  # number of what stands before a text; words have numbers from 1
+GOLD = U(0x9E3779B97F4A7C15)
 
+BLOCKS = "block long, level int, bucket long, data array<binary>"
+ANSWERS = BLOCKS + ", u long, v long, sums array<long>, seen double"
+_ANSWER = pa.schema([("block", pa.int64()), ("level", pa.int32()), ("bucket", pa.int64()), ("data", pa.list_(pa.binary())), ("u", pa.int64()), ("v", pa.int64()), ("sums", pa.list_(pa.int64())), ("seen", pa.float64())])
+SCORES = "piece long, doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-def pack(a: np.ndarray, width: int) -> bytes:
-    """The low bytes of unsigned numbers, as planes (high planes are mostly zero and compress)."""
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
-
-
-def unpack(data: bytes, width: int) -> np.ndarray:
-    n = len(data) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
-    return out.reshape(-1).view("<u8")
+_codec = pa.Codec("zstd", compression_level=1)
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    """Unsigned numbers in as many planes as the largest needs, after the number of planes; deflated, as checkpoints aren't compressed."""
+    """Unsigned numbers as planes of bytes, as many as the largest needs; compressed if there are many."""
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    return bytes([width]) + zlib.compress(pack(a, width), 1)
+    raw = a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    return bytes([width]) + raw if len(raw) < 192 else bytes([width | 128]) + len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
 
 
 def unsqueeze(data: bytes) -> np.ndarray:
-    return unpack(zlib.decompress(data[1:]), data[0]).astype(np.int64)
-
-
-def pair_hash(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(mix(h) * U(0x9E3779B97F4A7C15) + w)
-
-
-class Tokens:
-    """A block's tokens: hash, owner, and whether the owner trains."""
-
-    def __init__(self, part: pa.Array, train: np.ndarray):
-        b = TextBatch(part, lower=True)
-        start, end = b.words()
-        own = b.owner(start)
-        ends = np.cumsum(np.bincount(own, minlength=b.n))
-        self.n = b.n
-        self.word = np.insert(b.hashes(start, end), ends, END)
-        self.doc = np.insert(own, ends, np.arange(b.n))
-        self.first = np.concatenate([[0], (ends + np.arange(1, b.n + 1))[:-1]])
-        self.train = train[self.doc]
-
+    width = data[0] & 127
+    raw = np.frombuffer(_codec.decompress(data[9:], int.from_bytes(data[1:9], "little")) if data[0] & 128 else data, np.uint8)
+    raw = raw if data[0] & 128 else raw[1:]
+    out = np.zeros((len(raw) // width, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, -1).T
+    return out.reshape(-1).view("<i8")
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, int, Tokens]]:
-    """(doc_ids, block, tokens); the block's name follows from its rows and the place of the first, so reading a fixed table again gives the
-    same, and blocks of equal rows have names of their own."""
-    for batch in batches:
-        for row, part in chunks(batch.column(2), BLOCK_BYTES):
-            n = len(part)
-            t = Tokens(part, np.asarray(batch.column(1).slice(row, n)))
-            ids = batch.column(0).slice(row, n)
-            key = mix(np.asarray(ids.fill_null(-1)).astype(np.uint64) + np.bincount(t.doc, minlength=n).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-            place = mix(np.asarray(batch.column(3).slice(row, 1)).astype(np.uint64) + U(1))
-            name = mix((np.array([np.bitwise_xor.reduce(mix(key + np.arange(n, dtype=np.uint64)))]) + t.word[:1]) ^ place)[0]
-            yield ids, int(name >> U(1)), t
 
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", (fold("doc_id", 10) != 0).alias("train"), F.col("text").cast("binary").alias("text"), F.monotonically_increasing_id().alias("place"))
+# the model's formulas
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -133,341 +103,425 @@ class Unigrams:
         self.scale = (1 - self.other) / (1 - freed) if freed < 1 else 0.0
 
     def p(self, c: np.ndarray) -> np.ndarray:
-        c = c.astype(float)
-        return np.where(c > 0, self.scale * discounted(c, self.d) / max(self.N, 1), self.other)
+        return np.where(c > 0, self.scale * discounted(c.astype(float), self.d) / max(self.N, 1), self.other)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.N + 0.1 * (self.V + 1)))
 
 
-class Words:
-    """The frequent words, sorted by hash, BEGIN among them; counts as history equal counts as word."""
-
-    def __init__(self, word: np.ndarray, count: np.ndarray, begins: int, buckets: int, total: int):
-        word, count = np.append(word, BEGIN), np.append(count, begins)
-        order = np.argsort(word)
-        self.word, self.count = word[order], count[order].astype(np.int64)
-        self.begin = int(np.searchsorted(self.word, BEGIN))
-        self.split = np.maximum(1, np.ceil(2 * buckets * self.count / max(1, total))).astype(np.uint64)
-        self.home = mix(self.word)
-
-    def index(self, word: np.ndarray) -> np.ndarray:
-        """Place of each word, -1 if it isn't frequent."""
-        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
-        return np.where(self.word[at] == word, at, -1)
-
-
-class Asked:
-    """What a block asks: distinct rare words after their histories, distinct pairs of frequent words, and distinct rare histories with the
-    frequent words after them, each in order of bucket."""
-
-    def __init__(self, t: Tokens, words: Words, buckets: int):
-        at = words.index(t.word)
-        before, last = np.concatenate([[words.begin], at[:-1]]), np.concatenate([[BEGIN], t.word[:-1]])
-        before[t.first], last[t.first] = words.begin, BEGIN
-        self.at, self.before = at, before
-        self.rare = np.flatnonzero(at < 0)
-        self.pair = np.flatnonzero((at >= 0) & (before >= 0))
-        self.led = np.flatnonzero((at >= 0) & (before < 0))
-        after_rare, place = np.flatnonzero(before < 0), np.full(len(at), -1)
-        self.history, place[after_rare], self.history_bucket = self._sort(last[after_rare], lambda u: mix(u) % U(buckets))
-
-        h, w = last[self.rare], t.word[self.rare]
-        _, first, of = np.unique(pair_hash(h, w), return_index=True, return_inverse=True)
-        bucket = (mix(w[first]) % U(buckets)).astype(np.int64)
-        order = np.lexsort((w[first], bucket))
-        to = np.empty(len(order), np.int64)
-        to[order] = np.arange(len(order))
-        first = first[order]
-        self.word, self.word_after, self.word_of, self.word_bucket = w[first], h[first], to[of], bucket[order]
-        self.word_before, self.word_history = before[self.rare][first], place[self.rare][first]
-
-        key = before[self.pair].astype(np.uint64) << U(PLACES) | at[self.pair].astype(np.uint64)
-        self.key, self.key_of, self.key_bucket = self._sort(key, lambda u: self._bucket(u, words, buckets))
-        self.led_key, self.led_of = np.unique(place[self.led] << PLACES | at[self.led], return_inverse=True)
-        self.led_bucket = self.history_bucket[self.led_key >> PLACES]
-        self.word_count = np.bincount(self.word_of, t.train[self.rare], len(self.word)).astype(np.int64)
-        self.key_count = np.bincount(self.key_of, t.train[self.pair], len(self.key)).astype(np.int64)
-        self.led_count = np.bincount(self.led_of, t.train[self.led], len(self.led_key)).astype(np.int64)
-
-    @staticmethod
-    def _bucket(key: np.ndarray, words: Words, buckets: int) -> np.ndarray:
-        h = (key >> U(PLACES)).astype(np.int64)
-        return (words.home[h] + mix(key) % words.split[h]) % U(buckets)
-
-    @staticmethod
-    def _sort(values: np.ndarray, bucket) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct values by bucket, position of each value among them, bucket of each distinct value)."""
-        u, of = np.unique(values, return_inverse=True)
-        b = bucket(u).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        place = np.empty(len(u), np.int64)
-        place[order] = np.arange(len(u))
-        return u[order], place[of], b[order]
-
-
-def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    edge = np.flatnonzero(np.diff(bucket)) + 1
-    for a, z in zip(np.concatenate([[0], edge]).tolist(), np.append(edge, len(bucket)).tolist()):
-        if z > a:
-            yield int(bucket[a]), slice(a, z)
+def scaled(size: np.ndarray, bare: np.ndarray) -> np.ndarray:
+    """The factor of a history's counts."""
+    return np.where(bare, size / (size + 1.0), 1.0)
 
 
-def unigram_table(rows: DataFrame, buckets: int) -> DataFrame:
-    """bucket, words, counts: every training token's count, by bucket of its hash."""
+def backoff(size: np.ndarray, bare: np.ndarray, types: np.ndarray, seen: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Weights of histories that occur `size` times: types[r - 1] of their words occur r times, and `seen` is what the shorter history gives to all their words."""
+    off = ((1 - d[1:]) * np.arange(1, K + 1)) @ types
+    left = np.where(bare, 1 / (size + 1.0), off / np.maximum(size, 1))
+    return np.where(size > 0, left / np.maximum(1 - seen, 1e-15), 1.0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, t in _blocks(batches):
-            u, c = np.unique(t.word[t.train], return_counts=True)
-            b = (mix(u) % U(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            u, c = u[order], c[order]
-            out = [(k, pack(u[s], 8), pack(c[s], 4)) for k, s in _by_bucket(b[order])]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "words", "counts"])
 
-    def add(key: tuple, t: pa.Table) -> pa.Table:
-        u, of = np.unique(np.concatenate([unpack(x, 8) for x in t["words"].to_pylist()]), return_inverse=True)
-        c = np.bincount(of, np.concatenate([unpack(x, 4) for x in t["counts"].to_pylist()])).astype(np.uint64)
-        small = np.bincount(c[c <= K + 1].astype(np.int64), minlength=K + 2)
-        return pa.table({"bucket": [key[0].as_py()], "words": pa.array([pack(u, 8)], pa.binary()), "counts": pa.array([pack(c, 8)], pa.binary()), "n_types": [len(u)], "n_tokens": [int(c.sum())], "small": pa.array([small.tolist()], pa.list_(pa.int64()))})
+# blocks
 
-    return rows.mapInArrow(count, "bucket long, words binary, counts binary").groupBy("bucket").applyInArrow(add, "bucket long, words binary, counts binary, n_types long, n_tokens long, small array<long>")
 
+def pieces(array: pa.Array, limit: int) -> Iterator[tuple[pa.Array, np.ndarray, int, bool, bool]]:
+    """(texts, their rows, words at the start that only stand before, whether the rows end here, whether they are whole): runs of whole rows, and a longer row in pieces."""
+    array = as_binary(array)
+    for row, part in chunks(array, limit):
+        text = part[0].as_py() if len(part) == 1 else b""
+        if len(text) <= limit:
+            yield part, np.arange(row, row + len(part)), 0, True, True
+            continue
+        space = np.flatnonzero(IS_SPACE[np.frombuffer(text, np.uint8)])
+        at, lead = 0, []
+        while at < len(text):
+            k = int(np.searchsorted(space, at + limit))
+            stop = int(space[k]) if k < len(space) else len(text)
+            piece = text[at:stop]
+            yield pa.array([b" ".join([*lead, piece])], pa.large_binary()), np.array([row]), len(lead), stop == len(text), False
+            last = piece.rsplit(None, 2)  # bytes part at the same white space as words
+            lead = [*lead, *last[len(last) == 3 :]][-2:]
+            at = stop
 
-def _sums(table: DataFrame, column: str) -> list[int]:
-    got = table.agg(*[F.sum(F.col(column)[i]).alias(f"n{i}") for i in range(K + 2)]).first()
-    return [int(v or 0) for v in got]
 
+def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """One row of level 0 a block: rows' ids, which are null, pieces' rows (of texts in pieces, else none), sizes, words before, training; then each token's word, by place among
+    the block's words, the most frequent first; then those words' hashes and training counts. Blocks are numbered by partition."""
 
-def frequent(table: DataFrame, least: float, end: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Words counted `least` times or more, at most N / least of them, and END if asked for."""
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n_blocks, n_rows = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w, c = unpack(w, 8), unpack(c, 8)
-                keep = (c >= least) | end & (w == END)
-                yield pa.RecordBatch.from_arrays([pa.array([w[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], names=["words", "counts"])
+            for texts, row, lead_, ends, whole in pieces(batch.column(2), block_bytes):
+                b = TextBatch(texts, lower=True)
+                start, end = b.words()
+                own = b.owner(start)
+                size = np.bincount(own, minlength=b.n)
+                word = b.hashes(start, end)
+                if ends:
+                    word = np.insert(word, np.cumsum(size), END)
+                    size += 1
+                lead = np.full(b.n, lead_)
+                train = np.asarray(batch.column(1).take(pa.array(row)))
+                words, place, count = np.unique(word, return_inverse=True, return_counts=True)
+                order = np.argsort(-count, kind="stable")
+                rank = np.empty(len(order), np.int64)
+                rank[order] = np.arange(len(order))
+                seq, learnt = rank[place], real(size, lead) & np.repeat(train, size)
+                piece = np.zeros(0, np.int64) if whole else np.array([task << 40 | n_rows + row[0]])
+                ids = batch.column(0).take(pa.array(row))
+                data = [np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), squeeze(np.asarray(ids.is_null())), squeeze(piece), squeeze(size), squeeze(lead), squeeze(train), squeeze(seq)]
+                data += [words[order].tobytes(), squeeze(np.bincount(seq, learnt, len(words)).astype(np.int64))]
+                yield pa.RecordBatch.from_pylist([{"block": task << 32 | n_blocks, "level": 0, "bucket": 0, "data": data, "n": len(seq), "begins": int(train.sum()) if ends else 0, "pieces": len(piece)}], pa.schema([*list(_ANSWER)[:4], ("n", pa.int64()), ("begins", pa.int64()), ("pieces", pa.int64())]))
+                n_blocks += 1
+            n_rows += len(batch)
+
+    rows = docs.select("doc_id", (fold("doc_id", 10) != 0).alias("train"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, BLOCKS + ", n long, begins long, pieces long")
+
+
+def real(size: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """True for tokens that count, not those that only stand before a piece."""
+    out = np.ones(int(size.sum()), bool)
+    first = np.cumsum(size) - size
+    for i in np.flatnonzero(lead).tolist():
+        out[first[i] : first[i] + lead[i]] = False
+    return out
 
-    got = table.select("words", "counts").mapInArrow(pick, "words binary, counts binary").toArrow()
-    return tuple(np.frombuffer(b"".join(got[c].to_pylist()), np.uint64) for c in ("words", "counts"))
 
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    edge = np.flatnonzero(np.diff(bucket)) + 1
+    for a, z in zip(np.concatenate([[0], edge]).tolist(), np.append(edge, len(bucket)).tolist()):
+        if z > a:
+            yield int(bucket[a]), slice(a, z)
 
-ANSWER = "block long, kind int, bucket long, data binary, more binary, types binary, tokens binary, seen binary, rest array<long>"
-_ANSWER = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("data", pa.binary()), ("more", pa.binary()), ("types", pa.binary()), ("tokens", pa.binary()), ("seen", pa.binary()), ("rest", pa.list_(pa.int64()))])
 
+def _told(block, level: int, bucket: int, data: list[bytes]) -> dict:
+    return {"block": block, "level": level, "bucket": bucket, "data": data}
 
-def _answer(rows: list[dict]) -> pa.Table:
-    return pa.Table.from_pylist(rows, _ANSWER)
 
+def _asks(rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.binary())), strict=True)], names=["bucket", "block", "data"])
 
-def _sums_by(h: np.ndarray, c: np.ndarray, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Types by count 1..K+1, tokens and sum of P(w) of each of n histories, from their pairs."""
-    return np.array([np.bincount(h[c == r], minlength=n) for r in range(1, K + 2)]), np.bincount(h, c, n).astype(np.int64), np.bincount(h, p, n).astype(np.float64)
 
+ASKS = "bucket long, block long, data array<binary>"
 
-def _told(types: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> dict:
-    return {"types": squeeze(types.reshape(-1)), "tokens": squeeze(tokens), "seen": seen.tobytes()}
 
+def word_buckets(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order by bucket, buckets in that order)."""
+    b = (mix(words) % U(buckets)).astype(np.int64)
+    order = np.argsort(b, kind="stable")
+    return order, b[order]
 
-def answers(rows: DataFrame, words, uni: Unigrams, buckets: int, whole: bool) -> DataFrame:
-    """Rows of two sorts: answers (block, kind, bucket, data: counts of pairs in the order asked, more: of kind 0, counts of their words), and,
-    without a block, sums over the bigram table of each history: data, types, tokens, seen. Of kind 1, data are indexes of frequent words; of kind 3
-    they are hashes, and bucket is theirs."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block, t in _blocks(batches):
-            a = Asked(t, words.value, buckets)
-            out = [(0, k, block, pack(a.word[s], 8), pack(a.word_after[s], 8), squeeze(a.word_count[s])) for k, s in _by_bucket(a.word_bucket)]
-            out += [(1, k, block, squeeze(a.key[s]), None, squeeze(a.key_count[s])) for k, s in _by_bucket(a.key_bucket)]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["kind", "bucket", "block", "keys", "after", "counts"])
-
-    def answer(key: tuple, t: pa.Table) -> pa.Table:
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        asked = [unsqueeze(x).astype(np.uint64) if kind else unpack(x, 8) for x in t["keys"].to_pylist()]
-        w = np.concatenate(asked)
-        count = np.concatenate([unsqueeze(x) for x in t["counts"].to_pylist()]).astype(float)
-        after = None if kind else np.concatenate([unpack(x, 8) for x in t["after"].to_pylist()])
-        u, first, of = np.unique(w if kind else pair_hash(after, w), return_index=True, return_inverse=True)
-        c = np.bincount(of, count).astype(np.int64)
-        ends = np.cumsum([len(x) for x in asked])
-        at = [slice(e - len(x), e) for x, e in zip(asked, ends.tolist(), strict=True)]
-        out = [{"block": b, "kind": kind, "bucket": bucket, "data": squeeze(c[of[s]])} for b, s in zip(t["block"].to_pylist(), at, strict=True)]
-        held = c > 0
-        if kind:
-            h, back = np.unique((u[held] >> U(PLACES)).astype(np.int64), return_inverse=True)
-            p = uni.p(words.value.count[(u[held] & U((1 << PLACES) - 1)).astype(np.int64)])
-            out.append({"kind": 1, "bucket": bucket, "data": pack(h, 4), **_told(*_sums_by(back, c[held], p, len(h)))})
-            return _answer(out)
-        _, word = np.unique(w, return_inverse=True)
-        cw = np.bincount(word, count).astype(np.int64)[word]
-        for x, s in zip(out, at, strict=True):
-            x["more"] = squeeze(cw[s])
-        if whole:
-            h, back = np.unique(after[first[held]], return_inverse=True)
-            types, tokens, seen = _sums_by(back, c[held], uni.p(cw[first[held]]), len(h))
-            to = (mix(h) % U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            for k, s in _by_bucket(to[order]):
-                i = order[s]
-                out.append({"kind": 3, "bucket": k, "data": pack(h[i], 8), **_told(types[:, i], tokens[i], seen[i])})
-        return _answer(out)
-
-    asked = rows.mapInArrow(ask, "kind int, bucket long, block long, keys binary, after binary, counts binary")
-    return asked.groupBy("kind", "bucket").applyInArrow(answer, ANSWER)
-
-
-def histories(rows: DataFrame, sums: DataFrame, words, uni: Unigrams, buckets: int) -> DataFrame:
-    """Answers of kind 2 on rare histories (data: counts of the pairs asked; types, tokens, seen: sums of each history asked) and, without a block,
-    the sums of frequent ones as of kind 1, with rest: the types by count of all rare ones. sums: rows of kind 3."""
+def number_words(blocks: DataFrame, buckets: int) -> DataFrame:
+    """Answers of level 1: the number and count of each word asked; totals without a block (types by count to K + 1, types, tokens)."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block, t in _blocks(batches):
-            a = Asked(t, words.value, buckets)
-            out = []
-            for k, s in _by_bucket(a.history_bucket):
-                led = slice(*np.searchsorted(a.led_bucket, [k, k + 1]).tolist())
-                out.append((block, k, pack(a.history[s], 8), squeeze(a.led_key[led] - (s.start << PLACES)), squeeze(a.led_count[led])))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "bucket", "data", "pairs", "counts"])
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, count = np.frombuffer(data[7], np.uint64), unsqueeze(data[8])
+                order, b = word_buckets(words, buckets)
+                yield _asks([(k, block, [words[order[s]].tobytes(), squeeze(count[order[s]])]) for k, s in _by_bucket(b)])
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
-        rows_ = t.to_pylist()
-        lists = [unpack(x["data"], 8) for x in rows_]
-        h, of = np.unique(np.concatenate(lists), return_inverse=True)
-        n, ends = len(h), np.cumsum([len(x) for x in lists]).tolist()
-        own = [of[e - len(x) : e] for x, e in zip(lists, ends, strict=True)]
-        asks = [(x, i) for x, i in zip(rows_, own, strict=True) if x["block"] is not None]
+        bucket, data = key[0].as_py(), t["data"].to_pylist()
+        lists = [np.frombuffer(x[0], np.uint64) for x in data]
+        u, of = np.unique(np.concatenate(lists), return_inverse=True)
+        c = np.bincount(of, np.concatenate([unsqueeze(x[1]) for x in data])).astype(np.int64)
+        number = np.empty(len(u), np.int64)
+        number[np.argsort(-c, kind="stable")] = 1 + np.arange(len(u)) * buckets + bucket
+        out, at = [], 0
+        for block, w in zip(t["block"].to_pylist(), lists, strict=True):
+            i = of[at : at + len(w)]
+            at += len(w)
+            out.append(_told(block, 1, bucket, [squeeze(number[i]), squeeze(c[i])]))
+        out.append({"level": 1, "bucket": bucket, "sums": [*np.bincount(c[c <= K + 1], minlength=K + 2).tolist(), int((c > 0).sum()), int(c.sum())]})
+        return pa.Table.from_pylist(out, _ANSWER)
+
+    return blocks.select("block", "data").mapInArrow(ask, ASKS).groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def encoded(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
+    """Blocks with their words' numbers and counts in place of hashes."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        rows = sorted(t.select(["level", "bucket", "data"]).to_pylist(), key=lambda r: (r["level"], r["bucket"]))
+        *own, words, _ = rows[0]["data"]
+        order, _ = word_buckets(np.frombuffer(words, np.uint64), buckets)
+        out = []
+        for k in (0, 1):
+            x = np.zeros(len(order), np.int64)
+            x[order] = np.concatenate([np.zeros(0, np.int64), *[unsqueeze(r["data"][k]) for r in rows[1:]]])
+            out.append(squeeze(x))
+        return pa.Table.from_pylist([_told(key[0].as_py(), 0, 0, [*own, *out])], pa.schema(list(_ANSWER)[:4]))
+
+    return blocks.select("block", "level", "bucket", "data").unionByName(told.where("block IS NOT NULL").select("block", "level", "bucket", "data")).groupBy("block").applyInArrow(run, BLOCKS)
+
+
+# n-grams of a block
+
+
+class Deal:
+    """Where n-grams go: a history of `most` tokens or more is split into parts of `part` tokens."""
+
+    def __init__(self, n_tokens: int, begins: int, bucket_tokens: int, hot: float):
+        self.begins, self.part = begins, max(1, bucket_tokens // 4)
+        self.buckets = max(1, -(-n_tokens // bucket_tokens))
+        self.most = max(self.part, hot * n_tokens)
+
+    def spread(self, size: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """A number below the parts of a split history, 0 for others."""
+        parts = np.where(size >= self.most, -(-size // self.part), 1).astype(np.uint64)
+        return mix(by.astype(np.uint64) + U(77)) % parts
+
+
+class Grams:
+    """Distinct n-grams of one level, in the order asked: by bucket, then history. A history is asked for once a bucket."""
+
+    def __init__(self, level: int, deal: Deal, history: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, size: np.ndarray, v_size: np.ndarray, v_bare: np.ndarray, low: np.ndarray, count: np.ndarray):
+        home = mix(v.astype(np.uint64) + U(level))
+        if level == 3:
+            home = home + deal.spread(v_size, u)
+        bucket = ((home + deal.spread(size, w)) % U(deal.buckets)).astype(np.int64)
+        order = np.lexsort((history, bucket))
+        self.level, self.order, self.bucket = level, order, bucket[order]
+        history = history[order]
+        new = np.concatenate([[True], (np.diff(history) != 0) | (np.diff(self.bucket) != 0)])[: len(order)]
+        self.first = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1  # of each n-gram
+        at = order[self.first]
+        self.u, self.v, self.size, self.v_size, self.v_bare = u[at], v[at], size[at], v_size[at], v_bare[at]
+        self.split = self.size >= deal.most
+        self.w, self.low, self.count = w, low, count
+
+    def asks(self, block: int) -> pa.RecordBatch:
+        out = []
+        many = np.diff(np.append(self.first, len(self.order)))
+        for k, s in _by_bucket(self.bucket):
+            i = self.order[s]
+            g = slice(self.group[s.start], self.group[s.stop - 1] + 1)
+            data = [many[g], self.split[g], self.w[i], self.low[i], self.count[i]]
+            if self.level == 3:  # histories (u, v) of one v stand together
+                v = self.v[g]
+                start = np.flatnonzero(np.concatenate([[True], np.diff(v) != 0]))
+                data += [v[start], np.diff(np.append(start, len(v))), self.v_size[g][start], self.v_bare[g][start], self.u[g]]
+            else:
+                data.append(self.v[g])
+            out.append((k, block, [squeeze(x) for x in data]))
+        return _asks(out)
+
+    def read(self, rows: list[dict], deal: Deal, told: Sums, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each n-gram, in its own order: count, whether the history is bare, size of the history, backoff weight (where the count is 0)."""
+        data = [r["data"] for r in sorted(rows, key=lambda r: r["bucket"]) if r["level"] == self.level]
         nothing = np.zeros(0, np.int64)
-        keys = [unsqueeze(x["pairs"]) for x, _ in asks]
-        u, pair = np.unique(np.concatenate([nothing, *[i[k >> PLACES] << PLACES | k & ((1 << PLACES) - 1) for k, (_, i) in zip(keys, asks, strict=True)]]), return_inverse=True)
-        c = np.bincount(pair, np.concatenate([nothing, *[unsqueeze(x["counts"]) for x, _ in asks]]), len(u)).astype(np.int64)
-        held = c > 0
-        types, tokens, seen = _sums_by(u[held] >> PLACES, c[held], uni.p(words.value.count[u[held] & ((1 << PLACES) - 1)]), n)
-        for x, i in zip(rows_, own, strict=True):
-            if x["block"] is None:
-                types[:, i] += unsqueeze(x["types"]).reshape(K + 1, -1)
-                tokens[i] += unsqueeze(x["tokens"])
-                seen[i] += np.frombuffer(x["seen"])
-        out, e = [], 0
-        for (x, i), k in zip(asks, keys, strict=True):
-            out.append({"block": x["block"], "kind": 2, "bucket": x["bucket"], "data": squeeze(c[pair[e : e + len(k)]]), **_told(types[:, i], tokens[i], seen[i])})
-            e += len(k)
-        at = words.value.index(h)
-        hot = at >= 0
-        out.append({"kind": 2, "bucket": key[0].as_py(), "data": pack(at[hot], 4), "rest": types[:, ~hot].sum(1).tolist(), **_told(types[:, hot], tokens[hot], seen[hot])})
-        return _answer(out)
-
-    asked = rows.mapInArrow(ask, "block long, bucket long, data binary, pairs binary, counts binary").selectExpr("*", "cast(null as binary) types", "cast(null as binary) tokens", "cast(null as binary) seen")
-    passed = sums.selectExpr("block", "bucket", "data", "cast(null as binary) pairs", "cast(null as binary) counts", "types", "tokens", "seen")
-    return asked.unionByName(passed).groupBy("bucket").applyInArrow(answer, ANSWER)
-
-
-class Backoff:
-    """Discounts of pairs and, for each frequent word as history, the backoff weight and the factor of its pairs."""
-
-    def __init__(self, sums: DataFrame, words: Words):
-        n = len(words.word)
-        types, tokens, seen, rest = np.zeros((K + 1, n)), np.zeros(n), np.zeros(n), np.zeros(K + 1)
-        for r in sums.toLocalIterator():
-            h = unpack(r["data"], 4).astype(np.int64)
-            types[:, h] += unsqueeze(r["types"]).reshape(K + 1, -1)
-            tokens[h] += unsqueeze(r["tokens"])
-            seen[h] += np.frombuffer(r["seen"])
-            rest += r["rest"] or 0
-        self.d = discounts([0, *(types.sum(1) + rest).astype(int).tolist()])
-        self.factor, self.weight = self.rest(words.count, types, tokens, seen)
-
-    def rest(self, count: np.ndarray, types: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Factor and backoff weight of histories that occur count times."""
-        c = np.maximum(count, 1).astype(float)
-        off = sum((1 - self.d[r]) * r * types[r - 1] for r in range(1, K + 1))
-        left = (c - tokens + off) / c
-        has = tokens > 0
-        bare = has & (left <= 1e-12)
-        left = np.where(bare, 1 / (c + 1), left)
-        return np.where(bare, c / (c + 1), 1.0), np.where(has, left / np.maximum(1 - seen, 1e-300), 1.0)
-
-
-def scores(docs: DataFrame, share: float = 0.0, hot: float = HOT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document. With a share (1e-6 or more), the bigram table is
-    restricted to words of that share of the training tokens; hot only says how pairs are dealt."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _rows(docs)
-    table = cut(unigram_table(rows, buckets))
-    total = table.agg(F.sum("n_tokens").alias("n"), F.sum("n_types").alias("v")).first()
-    uni = Unigrams(int(total["n"] or 0), int(total["v"] or 0), _sums(table, "small"))
-    whole = not share
-    hashes, counts = frequent(table, max(share or hot, 1.0 / ((1 << PLACES) - 2)) * uni.N, whole)
-    begins = int(counts[hashes == END].sum()) if (hashes == END).any() else 0
-    words = spark.sparkContext.broadcast(Words(hashes, counts, begins, buckets, uni.N))
-    found = cut(answers(rows, words, uni, buckets, whole))
-    sums, told = found.where("block IS NULL AND kind = 1"), found.where("block IS NOT NULL")
-    if whole:
-        led = cut(histories(rows, found.where("kind = 3"), words, uni, buckets))
-        sums, told = sums.unionByName(led.where("block IS NULL")), told.unionByName(led.where("block IS NOT NULL"))
-    model = spark.sparkContext.broadcast(Backoff(sums, words.value))
-
-    def state(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = words.value
-        p = np.log10(uni.p(w.count))
-        for ids, block, t in _blocks(batches):
-            a = Asked(t, w, buckets)
-            frequent_ = a.at >= 0
-            base = np.bincount(t.doc[frequent_], uni.base(w.count[a.at[frequent_]]), t.n)
-            score = np.zeros(t.n) if whole else np.bincount(t.doc[a.led], p[a.at[a.led]], t.n)
-            n_tokens = np.bincount(t.doc, minlength=t.n)
-            data = [np.asarray(ids.fill_null(0)).astype(np.int64).tobytes(), np.asarray(ids.is_valid()).tobytes(), squeeze(n_tokens), squeeze(np.bincount(t.doc[frequent_], minlength=t.n)), base.tobytes(), score.tobytes()]
-            for place, of, n in ((a.rare, a.word_of, len(a.word)), (a.pair, a.key_of, len(a.key)), (a.led, a.led_of, len(a.led_key))):
-                data += [squeeze(np.bincount(of, minlength=n)), squeeze(t.doc[place][np.argsort(of, kind="stable")])]
-            held = np.zeros(t.n, bool)
-            held[t.doc[~t.train]] = True
-            data += [squeeze(a.word_before + 1), squeeze(a.word_history + 1), squeeze(a.key), squeeze(a.led_key), held.tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), *[pa.array([None], pa.binary())] * 5, pa.array([data], pa.list_(pa.binary()))], names=["block", "kind", "bucket", "data", "more", "types", "tokens", "seen", "state"])
-
-    def evaluate(t: pa.Table) -> pa.Table:
-        w, m = words.value, model.value
-        t = t.sort_by([("kind", "ascending"), ("bucket", "ascending")])
-        kind = t["kind"].to_numpy()
-        of = lambda k, column: t[column].filter(pa.array(kind == k)).to_pylist()
-        told = lambda k, column: np.concatenate([np.zeros(0, np.int64), *map(unsqueeze, of(k, column))])
-        states = of(-1, "state")
-        if len(states) != 1:
-            raise ValueError("a block was read differently the second time")
-        ids, valid, n_tokens, n_frequent, base, score, *packed, held = states[0]
-        ids, n_tokens, known = np.frombuffer(ids, np.int64), unsqueeze(n_tokens), unsqueeze(n_frequent)
-        base, score, n = np.frombuffer(base).copy(), np.frombuffer(score).copy(), len(ids)
-        word_times, word_doc, key_times, key_doc, led_times, led_doc, before, history, key, led = map(unsqueeze, packed)
-        pairs, of_word = told(0, "data"), told(0, "more")
-        if len(pairs) != len(before) or len(told(1, "data")) != len(key) or whole and len(told(2, "data")) != len(led):
+        c = np.concatenate([nothing, *[unsqueeze(x[0]) for x in data]])
+        bare = np.concatenate([nothing, *[unsqueeze(x[1]) for x in data]]) > 0
+        if len(c) != len(self.order) or len(bare) != len(self.first):
             raise ValueError("an answer is missing")
-        # what each rare history gives, after one place for none
-        tokens = np.concatenate([[0], told(2, "tokens")])
-        types = np.concatenate([np.zeros((K + 1, 1)), *[unsqueeze(x).reshape(K + 1, -1) for x in of(2, "types")]], 1)
-        seen = np.concatenate([[0.0], *[np.frombuffer(x) for x in of(2, "seen")]])
-        factor, weight = m.rest(tokens, types, tokens, seen)
-
-        def value(c: np.ndarray, cw: np.ndarray, size: np.ndarray, factor: np.ndarray, weight: np.ndarray) -> np.ndarray:
-            with np.errstate(divide="ignore"):
-                direct = np.log10(factor * discounted(c.astype(float), m.d) / np.maximum(size, 1))
-            return np.where(c > 0, direct, np.log10(weight) + np.log10(uni.p(cw)))
-
-        h, at = np.maximum(before - 1, 0), history if whole else np.zeros_like(history)
-        hot = before > 0
-        value_ = value(pairs if whole else np.zeros_like(pairs), of_word, np.where(hot, w.count[h], tokens[at]), np.where(hot, m.factor[h], factor[at]), np.where(hot, m.weight[h], weight[at]))
-        score += np.bincount(word_doc, np.repeat(value_, word_times), n)
-        known += np.bincount(word_doc, np.repeat(of_word > 0, word_times), n).astype(np.int64)
-        base += np.bincount(word_doc, np.repeat(uni.base(of_word), word_times), n)
-        h, at = key >> PLACES, key & ((1 << PLACES) - 1)
-        score += np.bincount(key_doc, np.repeat(value(told(1, "data"), w.count[at], w.count[h], m.factor[h], m.weight[h]), key_times), n)
-        if whole:
-            h, at = (led >> PLACES) + 1, led & ((1 << PLACES) - 1)
-            score += np.bincount(led_doc, np.repeat(value(told(2, "data"), w.count[at], tokens[h], factor[h], weight[h]), led_times), n)
-        return pa.table([pa.array(ids, mask=~np.frombuffer(valid, bool)), pa.array(np.frombuffer(held, bool)), pa.array(n_tokens), pa.array(known), pa.array(np.full(n, uni.N)), pa.array(base), pa.array(score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    told = told.select("block", "kind", "bucket", "data", "more", "types", "tokens", "seen", F.lit(None).cast("array<binary>").alias("state"))
-    own = rows.mapInArrow(state, "block long, kind int, bucket long, data binary, more binary, types binary, tokens binary, seen binary, state array<binary>")
-    return own.unionByName(told).groupBy("block").applyInArrow(evaluate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        asked = np.flatnonzero(np.bincount(self.group, c == 0, len(self.first)) > 0)
+        types, seen = np.zeros((K, len(self.first))), np.zeros(len(self.first))
+        types[:, asked] = np.concatenate([np.zeros((K, 0)), *[unsqueeze(x[2]).reshape(K, -1) for x in data]], 1)
+        seen[asked] = np.concatenate([nothing.astype(float), *[np.frombuffer(x[3]) for x in data]])
+        if self.split.any():
+            s = told.find(self.u[self.split], self.v[self.split])
+            types[:, self.split], seen[self.split] = told.types[:, s], told.seen[s]
+            bare[self.split] = told.types[:, s].sum(0) == 0
+        weight = backoff(self.size, bare, types, seen, d)
+        out = []
+        for x in (c, bare[self.group], self.size[self.group], weight[self.group]):
+            y = np.empty(len(x), x.dtype)
+            y[self.order] = x
+            out.append(y)
+        return tuple(out)
+
+
+class Sums:
+    """What is summed up over the parts of split histories."""
+
+    def __init__(self, u: np.ndarray, v: np.ndarray, types: np.ndarray, seen: np.ndarray):
+        key = two(u, v)
+        order = np.argsort(key)
+        self.key, self.types, self.seen = key[order], types[:, order], seen[order]
+
+    def find(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.key, two(u, v))
+        if len(at) and (at.max() >= len(self.key) or (self.key[at] != two(u, v)).any()):
+            raise ValueError("a history is missing")
+        return at
+
+
+def two(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mix(mix(u.astype(np.uint64) + U(1)) * GOLD + v.astype(np.uint64))
+
+
+class Block:
+    """An encoded block: its tokens with the distinct pairs and triples they end."""
+
+    def __init__(self, data: list[bytes], deal: Deal):
+        ids, null, piece, size, lead, train, seq, number, count = data
+        self.ids, self.null = np.frombuffer(ids, np.int64), unsqueeze(null) > 0
+        self.size, self.lead, self.train, self.seq, self.number, self.count = map(unsqueeze, (size, lead, train, seq, number, count))
+        self.piece, self.deal = unsqueeze(piece), deal
+        self.n = len(self.ids)
+        self.doc = np.repeat(np.arange(self.n), self.size)
+        self.real = real(self.size, self.lead)
+        self.learnt = self.real & (self.train[self.doc] > 0)
+        self.first = (np.cumsum(self.size) - self.size)[self.size > 0]
+
+    def _before(self, x: np.ndarray) -> np.ndarray:
+        out = np.concatenate([[-1], x[:-1]])[: len(x)]
+        out[self.first] = -1
+        return out
+
+    def pairs(self) -> Grams:
+        n = len(self.number)
+        # in order of the second word, so that as histories the pairs of one last word stand together
+        key, at, self.pair = np.unique(self.seq * (n + 1) + self._before(self.seq) + 1, return_index=True, return_inverse=True)
+        w, h = key // (n + 1), key % (n + 1) - 1
+        self.pair_w, v = self.number[w], np.where(h < 0, BEGIN, self.number[h])
+        self.pair_v, self.w_size = v, self.count[w]
+        size = np.where(h < 0, self.deal.begins, self.count[h])
+        none = np.zeros(len(key), np.int64)
+        return Grams(2, self.deal, h + 1, none, v, self.pair_w, size, none, none, self.w_size, np.bincount(self.pair, self.learnt, len(key)).astype(np.int64))
+
+    def triples(self, c: np.ndarray, bare: np.ndarray, size: np.ndarray) -> Grams:
+        """c, bare, size: of the pairs, as answered."""
+        n = len(self.number)
+        key, at, self.triple = np.unique((self._before(self.pair) + 1) * n + self.seq, return_index=True, return_inverse=True)
+        h, w = key // n - 1, key % n
+        self.low = low = self.pair[at]  # the pair that each triple ends with
+        u = np.where(h < 0, BEGIN, self.pair_v[h])
+        return Grams(3, self.deal, h + 1, u, self.pair_v[low], self.number[w], np.where(h < 0, self.deal.begins, c[h]), size[low], bare[low], c[low], np.bincount(self.triple, self.learnt, len(key)).astype(np.int64))
+
+    def scores(self, rows: list[dict], m: Model) -> list[np.ndarray]:
+        """Known tokens, base score and score of each row."""
+        values = m.uni.p(self.count)
+        p = np.log10(values)[self.seq]
+        if self.deal.begins:
+            two_ = self.pairs()
+            c, bare, size, weight = two_.read(rows, self.deal, m.sums[2], m.d[2])
+            # pairs' probabilities: their words' counts say what they back off to
+            low = m.uni.p(self.w_size)
+            second = np.where(c > 0, scaled(size, bare) * discounted(c, m.d[2]) / np.maximum(size, 1), weight * low)
+            three = self.triples(c, bare, size)
+            c, bare, size, weight = three.read(rows, self.deal, m.sums[3], m.d[3])
+            third = np.where(c > 0, scaled(size, bare) * discounted(c, m.d[3]) / np.maximum(size, 1), weight * second[self.low])
+            p = np.log10(third)[self.triple]
+        doc, here = self.doc[self.real], self.seq[self.real]
+        return [np.bincount(doc, self.count[here] > 0, self.n).astype(np.int64), np.bincount(doc, m.uni.base(self.count)[here], self.n), np.bincount(doc, p[self.real], self.n)]
+
+
+class Model:
+    """Words, discounts by level, and the sums of split histories by level: all that is broadcast."""
+
+    def __init__(self, uni: Unigrams):
+        self.uni, self.d, self.sums = uni, {1: uni.d}, {}
+
+    def learn(self, level: int, told: DataFrame) -> None:
+        row = told.where("block IS NULL AND u IS NULL").agg(*[F.sum(F.col("sums")[i]).alias(f"n{i}") for i in range(K + 2)]).first()
+        self.d[level] = discounts([int(x or 0) for x in row])
+        split = told.where("u IS NOT NULL").groupBy("u", "v").agg(F.sum("seen").alias("seen"), *[F.sum(F.col("sums")[i]).alias(f"n{i}") for i in range(K)]).toArrow()
+        columns = {c: split[c].to_numpy() for c in split.column_names}
+        self.sums[level] = Sums(columns["u"], columns["v"], np.stack([columns[f"n{i}"] for i in range(K)]).astype(float), columns["seen"].astype(float))
+
+
+def count_grams(asks: DataFrame, level: int, model, buckets: int) -> DataFrame:
+    """Answers of a level, totals, and the sums of split histories (u, v)."""
+
+    def answer(key: tuple, t: pa.Table) -> pa.Table:
+        bucket, m = key[0].as_py(), model.value
+        blocks = t["block"].to_pylist()
+        rows = [[unsqueeze(x) for x in data] for data in t["data"].to_pylist()]
+        many, split, w, low, count = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        of = np.repeat(np.arange(len(many)), many)
+        if level == 3:
+            heads, times, size, v_bare, u = (np.concatenate([r[i] for r in rows]) for i in range(5, 10))
+            head = np.repeat(np.arange(len(heads)), times)
+            v = heads[head]
+            history = two(u, v)
+        else:
+            v = history = np.concatenate([r[5] for r in rows])
+            u = np.zeros_like(v)
+        _, first, place = np.unique(history, return_index=True, return_inverse=True)
+        n = len(first)
+        gram, at, back = np.unique(place[of] << 40 | w, return_index=True, return_inverse=True)
+        c = np.bincount(back, count).astype(np.int64)
+        held = np.flatnonzero(c > 0)
+        h, ch, at = gram[held] >> 40, c[held], at[held]
+        if level == 3:
+            i = head[of[at]]
+            p = scaled(size[i], v_bare[i] > 0) * discounted(low[at], m.d[2]) / np.maximum(size[i], 1)
+        else:
+            p = m.uni.p(low[at])
+        types = np.array([np.bincount(h[ch == r], minlength=n) for r in range(1, K + 1)])
+        seen = np.bincount(h, p, n).astype(float)
+        bare = (np.bincount(h, minlength=n) > 0) & (types.sum(0) == 0)
+        out, a, g = [], 0, 0
+        for block, r in zip(blocks, rows, strict=True):
+            mine, own = c[back[a : a + len(r[2])]], place[g : g + len(r[0])]
+            asked = own[np.bincount(of[a : a + len(r[2])] - g, mine == 0, len(own)) > 0]
+            a, g = a + len(r[2]), g + len(r[0])
+            out.append(_told(block, level, bucket, [squeeze(mine), squeeze(bare[own]), squeeze(types[:, asked].reshape(-1)), seen[asked].tobytes()]))
+        out.append({"level": level, "bucket": bucket, "sums": np.bincount(c[c <= K + 1], minlength=K + 2).tolist()})
+        for i in np.flatnonzero(split[first]).tolist():
+            out.append({"level": level, "bucket": bucket, "u": int(u[first[i]]), "v": int(v[first[i]]), "sums": types[:, i].tolist(), "seen": float(seen[i])})
+        return pa.Table.from_pylist(out, _ANSWER)
+
+    return asks.groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document. The other parameters only say how n-grams are dealt and texts are cut."""
+    spark = docs.sparkSession
+    blocks, blocks_at = stored(blocks_of(docs, block_bytes))
+    total = blocks.agg(F.sum("n").alias("n"), F.sum("begins").alias("begins"), F.sum("pieces").alias("pieces")).first()
+    deal = Deal(int(total["n"] or 0), int(total["begins"] or 0), bucket_tokens, hot)
+    told, told_at = stored(number_words(blocks, deal.buckets))
+    sums = told.where("block IS NULL").agg(*[F.sum(F.col("sums")[i]).alias(f"n{i}") for i in range(K + 4)]).first()
+    *small, types, tokens = [int(x or 0) for x in sums]
+    model = Model(Unigrams(tokens, types, small))
+    texts, texts_at = stored(encoded(blocks, told, deal.buckets))
+    remove(spark, blocks_at, told_at)
+    parts = [texts]
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield Block(data, deal).pairs().asks(block)
+
+    def ask_triples(key: tuple, t: pa.Table) -> pa.Table:
+        rows = t.select(["level", "bucket", "data"]).to_pylist()
+        b, m = Block(next(r["data"] for r in rows if r["level"] == 0), deal), shared.value
+        c, bare, size, _ = b.pairs().read(rows, deal, m.sums[2], m.d[2])
+        return pa.Table.from_batches([b.triples(c, bare, size).asks(key[0].as_py())])
+
+    def together() -> DataFrame:
+        out = parts[0].select("block", "level", "bucket", "data")
+        for p in parts[1:]:
+            out = out.unionByName(p.where("block IS NOT NULL").select(*out.columns))
+        return out.groupBy("block")
+
+    shared = spark.sparkContext.broadcast(model)
+    if deal.begins:
+        for level in (2, 3):
+            asks = texts.select("block", "data").mapInArrow(ask_pairs, ASKS) if level == 2 else together().applyInArrow(ask_triples, ASKS)
+            found, _ = stored(count_grams(asks, level, shared, deal.buckets))
+            model.learn(level, found)
+            shared = spark.sparkContext.broadcast(model)
+            parts.append(found)
+
+    def evaluate(key: tuple, t: pa.Table) -> pa.Table:
+        rows, m = t.select(["level", "bucket", "data"]).to_pylist(), shared.value
+        b = Block(next(r["data"] for r in rows if r["level"] == 0), deal)
+        known, base, score = b.scores(rows, m)
+        piece = pa.array(np.full(b.n, b.piece[0])) if len(b.piece) else pa.nulls(b.n, pa.int64())
+        columns = [piece, pa.array(b.ids, mask=b.null), pa.array(b.train == 0), pa.array(b.size - b.lead), pa.array(known), pa.array(np.full(b.n, m.uni.N)), pa.array(base), pa.array(score)]
+        return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+
+    out = together().applyInArrow(evaluate, SCORES)
+    if total["pieces"]:
+        out, _ = stored(out)
+        whole = out.where("piece IS NOT NULL").groupBy("piece", "doc_id", "held_out", "train_tokens").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+        out = out.where("piece IS NULL").unionByName(whole)
+    return out.drop("piece")

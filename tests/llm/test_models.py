@@ -164,73 +164,114 @@ def test_bands():
     assert 1 - (1 - 0.8**r) ** b >= 0.999 and b * r <= 192
 
 
-def katz_oracle(rows, share):
-    words = lambda t: [w.translate({i: i + 32 for i in range(65, 91)}) for w in WORD.findall(t or "")] + ["</>"]
+LOW = {i: i + 32 for i in range(65, 91)}
+
+
+def good_turing(counts, k=5):
+    """Katz's discounts, by his formula; half a count off where it gives none that is proper."""
+    n = collections.Counter(counts)
+    d = {r: 1 - 0.5 / r for r in range(1, k + 1)}
+    if all(n[r] for r in range(1, k + 2)) and (k + 1) * n[k + 1] != n[1]:
+        common = (k + 1) * n[k + 1] / n[1]
+        proper = {r: ((r + 1) * n[r + 1] / n[r] / r - common) / (1 - common) for r in range(1, k + 1)}
+        d = proper if all(0 < x < 1 for x in proper.values()) else d
+    return lambda c: d.get(c, 1.0) * c
+
+
+def katz_oracle(rows):
+    """Plain dictionaries and recursion; checks on the way that every history's probabilities add up to one."""
+    words = lambda t: [w.translate(LOW) for w in WORD.findall(t or "")] + ["</>"]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
-    c = collections.Counter(w for (_, t), h in zip(rows, held) if not h for w in words(t))
-    n, v, begins = sum(c.values()), len(c), held.count(False)
-    frequent = {w for w in c if c[w] >= share * n}
-    pairs = collections.Counter((a, b) for (_, t), h in zip(rows, held) if not h for a, b in zip(["<>", *words(t)], words(t)) if (a == "<>" or a in frequent) and b in frequent)
-    counts = lambda x: [0] + [sum(k == r for k in x.values()) for r in range(1, katz.K + 2)]
-    uni, d = katz.Unigrams(n, v, counts(c)), katz.discounts(counts(pairs))
-    p = lambda w: float(uni.p(np.array([c[w]]))[0])
-    used = lambda k: (d[k] if k <= katz.K else 1) * k
-    size = {**c, "<>": begins}
-    weight, factor = {}, {}
-    for h in {a for a, _ in pairs}:
-        after = {b: k for (a, b), k in pairs.items() if a == h}
-        left = 1 - sum(map(used, after.values())) / size[h]
-        factor[h] = 1 if left > 1e-12 else size[h] / (size[h] + 1)
-        left = left if left > 1e-12 else 1 / (size[h] + 1)
-        weight[h] = left / (1 - sum(map(p, after)))
-        total = sum(factor[h] * used(k) / size[h] for k in after.values()) + weight[h] * (sum(p(w) for w in c if w not in after) + uni.other)
-        assert total == pytest.approx(1)
+    learnt = [words(t) for (_, t), h in zip(rows, held) if not h]
+    grams = [collections.Counter(tuple(s[i - n : i + 1]) for x in learnt for s in [["<>", "<>", *x]] for i in range(2, len(s))) for n in range(3)]
+    used = [good_turing(g.values()) for g in grams]
+    uni = grams[0]
+    n, v = sum(uni.values()), len(uni)
+    freed = 1 - sum(map(used[0], uni.values())) / n if n else 1.0
+    other = max(freed, 1 / (n + 1))
+    after = [collections.defaultdict(dict) for _ in range(3)]
+    for k in (1, 2):
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+    weights = {}
+
+    def p(g):
+        k = len(g) - 1
+        if k == 0:
+            return (1 - other) / (1 - freed) * used[0](uni[g]) / n if uni[g] else other
+        own = after[k].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        size = sum(own.values())
+        bare = all(c > 5 for c in own.values())
+        if g[-1] in own:
+            return used[k](own[g[-1]]) / size * (size / (size + 1) if bare else 1)
+        if g[:-1] not in weights:
+            left = 1 / (size + 1) if bare else 1 - sum(map(used[k], own.values())) / size
+            weights[g[:-1]] = left / (1 - sum(p((*g[1:-1], w)) for w in own))
+        return weights[g[:-1]] * p(g[1:])
+
+    for h in [*list(after[1])[:40], *list(after[2])[:40]]:
+        assert sum(p((*h, w)) for (w,) in uni) + p((*h, object())) == pytest.approx(1)
     out = []
-    for (_, t), h in zip(rows, held):
+    for (i, t), h in zip(rows, held):
         w = words(t)
-        score = sum(math.log10(factor[a] * used(pairs[a, b]) / size[a] if pairs[a, b] else weight.get(a, 1) * p(b)) for a, b in zip(["<>", *w], w))
-        out.append((h, len(w), sum(x in c for x in w), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), score))
-    return out
-
-
-@pytest.mark.parametrize("share", [1e-6, 0.02])
-def test_katz(spark, share):
-    r = random.Random(6)
-    texts = [" ".join(r.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=r.randrange(25))) for _ in range(150)] + EDGE + ["The the THE"] * 3
-    d = spark.createDataFrame(list(enumerate(texts)) + [(None, "w1 w2")], "doc_id long, text string").selectExpr("*", "'x' score", "1 block")
-    rows = [(x["doc_id"], x["text"]) for x in d.collect()]
-    want = collections.Counter((a, *x[:4], round(x[4], 6), round(x[5], 6)) for (a, _), x in zip(rows, katz_oracle(rows, share)))
-    got = collections.Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6), round(x["score"], 6)) for x in katz.scores(d, share).collect())
-    assert got == want
+        s = ["<>", "<>", *w]
+        score = sum(math.log10(p(tuple(s[j - 2 : j + 1]))) for j in range(2, len(s))) if n else 0.0
+        out.append((i, h, len(w), sum((x,) in uni for x in w), n, round(sum(math.log10((uni[x,] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 5), round(score, 5)))
+    return collections.Counter(out)
 
 
 def katz_rows(got):
     return collections.Counter((x["doc_id"], x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 5), round(x["score"], 5)) for x in got.collect())
 
 
-@pytest.mark.parametrize("hot", [katz.HOT, 0.02, 1.0])
-def test_katz_all_pairs(spark, hot):
-    """However words are dealt, every pair counts."""
-    r = random.Random(7)
-    texts = [" ".join(r.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=r.randrange(25))) for _ in range(150)] + EDGE
-    rows = list(enumerate(texts))
-    want = collections.Counter((a, *x[:4], round(x[4], 5), round(x[5], 5)) for (a, _), x in zip(rows, katz_oracle(rows, 0)))
-    assert katz_rows(katz.scores(spark.createDataFrame(rows, "doc_id long, text string"), hot=hot)) == want
+def katz_texts(seed=6, n=150):
+    r = random.Random(seed)
+    return [" ".join(r.choices([f"w{i}" for i in range(30)], [1 / (i + 1) for i in range(30)], k=r.randrange(25))) for _ in range(n)] + EDGE + ["The the THE"] * 3
+
+
+@pytest.mark.parametrize("tokens, hot", [(katz.BUCKET_TOKENS, katz.HOT), (300, 0.0), (40, 0.0), (40, 0.05)])
+def test_katz(spark, tokens, hot):
+    """However n-grams are dealt, every one counts."""
+    d = spark.createDataFrame(list(enumerate(katz_texts())) + [(None, "w1 w2")], "doc_id long, text string").selectExpr("*", "'x' score", "1 block", "2 piece")
+    assert katz_rows(katz.scores(d, tokens, hot)) == katz_oracle([(x["doc_id"], x["text"]) for x in d.collect()])
+
+
+@pytest.mark.parametrize("size", [7, 40, 300])
+def test_katz_texts_in_pieces(spark, size):
+    rows = list(enumerate(katz_texts(9, 40) + [" " * 50 + "w1", "w1" + " " * 50, " " * 30 + "w1" + "\n" * 30 + "w2 w3", "w" * 90 + " w1 w2"]))
+    assert sum(len(x) for x in pieces_of(rows, size)) > 40
+    got = katz.scores(spark.createDataFrame(rows, "doc_id long, text string"), 100, block_bytes=size)
+    assert katz_rows(got) == katz_oracle(rows)
+
+
+def pieces_of(rows, size):
+    """Pieces hold all words in order, and the two before."""
+    import pyarrow as pa
+
+    for _, text in rows:
+        words, out = [], []
+        for texts, _, lead, ends, whole in katz.pieces(pa.array([text], pa.string()), size):
+            w = WORD.findall(texts[0].as_py().decode())
+            assert w[:lead] == words[-2:][:lead] and lead == (0 if whole else min(2, len(words)))
+            words += w[lead:]
+            out.append(ends)
+        assert words == WORD.findall(text or "") and out == [False] * (len(out) - 1) + [True]
+        yield out
 
 
-def test_katz_rare_pairs_of_many_tokens(spark):
-    """Pairs that occur twice in a million tokens stay in the table."""
-    rows = [(i, "a b c " * 1500 + "x y z " * (i in (3, 40)) + "b x " * (i in (50, 51))) for i in range(220)]
-    want = {a: x[5] for (a, _), x in zip(rows, katz_oracle(rows, 0))}
-    got = {x["doc_id"]: x["score"] for x in katz.scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == pytest.approx(want, abs=1e-4)
+def test_katz_rare_and_frequent(spark):
+    """Pairs that occur twice in half a million tokens stay in the table; a word pair and a first word with a large share."""
+    rows = [(i, "a b c " * 800 + "x y z " * (i in (3, 40)) + "b x " * (i in (50, 51))) for i in range(220)]
+    assert katz_rows(katz.scores(spark.createDataFrame(rows, "doc_id long, text string"), 20_000)) == katz_oracle(rows)
 
 
 def test_katz_equal_blocks(spark):
     d = spark.createDataFrame([(i, "a b c") for i in range(30)], "doc_id long, text string").coalesce(1)
-    rows = [(i, "a b c") for i in range(30)] * 3
-    want = collections.Counter((a, *x[:4], round(x[4], 5), round(x[5], 5)) for (a, _), x in zip(rows, katz_oracle(rows, 0)))
-    assert katz_rows(katz.scores(d.unionAll(d).unionAll(d))) == want
+    assert katz_rows(katz.scores(d.unionAll(d).unionAll(d))) == katz_oracle([(i, "a b c") for i in range(30)] * 3)
+    same = spark.createDataFrame([(None, "a a a a")] * 9, "doc_id long, text string")
+    assert katz_rows(katz.scores(same.unionAll(same))) == katz_oracle([(None, "a a a a")] * 18)
 
 
 def test_katz_without_training(spark):
