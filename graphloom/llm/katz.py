@@ -43,7 +43,7 @@ U = np.uint64
 K = 5
 ORDER = 3
 BLOCK_BYTES = 1 << 21
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
 #: Least share of the training tokens of a history that is split: the bound of what reaches the driver.
 HOT = 1e-6
 END = U(1)
@@ -61,7 +61,7 @@ _codec = pa.Codec("zstd", compression_level=1)
 def squeeze(a: np.ndarray) -> bytes:
     """Unsigned numbers as planes of bytes, as many as the largest needs; compressed if there are many."""
     width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    raw = a.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+    raw = a.astype(np.uint8).tobytes() if width == 1 else b"".join([(a >> k).astype(np.uint8).tobytes() for k in range(0, 8 * width, 8)])
     return bytes([width]) + raw if len(raw) < 192 else bytes([width | 128]) + len(raw).to_bytes(8, "little") + _codec.compress(raw, asbytes=True)
 
 
@@ -262,6 +262,14 @@ def encoded(blocks: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
 # n-grams of a block
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order, a place of each, and of each place its value's."""
+    values, of = np.unique(key, return_inverse=True)
+    at = np.empty(len(values), np.int64)
+    at[of] = np.arange(len(key))
+    return values, at, of
+
+
 class Deal:
     """Where n-grams go: a history of `most` tokens or more is split into parts of `part` tokens."""
 
@@ -277,14 +285,14 @@ class Deal:
 
 
 class Grams:
-    """Distinct n-grams of one level, in the order asked: by bucket, then history. A history is asked for once a bucket."""
+    """Distinct n-grams of one level (of level 3 given in order of history), in the order asked: by bucket, then history. A history is asked for once a bucket."""
 
     def __init__(self, level: int, deal: Deal, history: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray, size: np.ndarray, v_size: np.ndarray, v_bare: np.ndarray, low: np.ndarray, count: np.ndarray):
         home = mix(v.astype(np.uint64) + U(level))
         if level == 3:
             home = home + deal.spread(v_size, u)
         bucket = ((home + deal.spread(size, w)) % U(deal.buckets)).astype(np.int64)
-        order = np.lexsort((history, bucket))
+        order = np.argsort(bucket * (int(history.max(initial=0)) + 1) + history, kind="stable") if level == 2 else np.argsort(bucket.astype(np.uint16) if deal.buckets < 1 << 16 else bucket, kind="stable")
         self.level, self.order, self.bucket = level, order, bucket[order]
         history = history[order]
         new = np.concatenate([[True], (np.diff(history) != 0) | (np.diff(self.bucket) != 0)])[: len(order)]
@@ -377,7 +385,7 @@ class Block:
     def pairs(self) -> Grams:
         n = len(self.number)
         # in order of the second word, so that as histories the pairs of one last word stand together
-        key, at, self.pair = np.unique(self.seq * (n + 1) + self._before(self.seq) + 1, return_index=True, return_inverse=True)
+        key, self.pair = np.unique(self.seq * (n + 1) + self._before(self.seq) + 1, return_inverse=True)
         w, h = key // (n + 1), key % (n + 1) - 1
         self.pair_w, v = self.number[w], np.where(h < 0, BEGIN, self.number[h])
         self.pair_v, self.w_size = v, self.count[w]
@@ -388,7 +396,7 @@ class Block:
     def triples(self, c: np.ndarray, bare: np.ndarray, size: np.ndarray) -> Grams:
         """c, bare, size: of the pairs, as answered."""
         n = len(self.number)
-        key, at, self.triple = np.unique((self._before(self.pair) + 1) * n + self.seq, return_index=True, return_inverse=True)
+        key, at, self.triple = distinct((self._before(self.pair) + 1) * n + self.seq)
         h, w = key // n - 1, key % n
         self.low = low = self.pair[at]  # the pair that each triple ends with
         u = np.where(h < 0, BEGIN, self.pair_v[h])
@@ -443,9 +451,9 @@ def count_grams(asks: DataFrame, level: int, model, buckets: int) -> DataFrame:
         else:
             v = history = np.concatenate([r[5] for r in rows])
             u = np.zeros_like(v)
-        _, first, place = np.unique(history, return_index=True, return_inverse=True)
+        _, first, place = distinct(history)
         n = len(first)
-        gram, at, back = np.unique(place[of] << 40 | w, return_index=True, return_inverse=True)
+        gram, at, back = distinct(place[of] << 40 | w)
         c = np.bincount(back, count).astype(np.int64)
         held = np.flatnonzero(c > 0)
         h, ch, at = gram[held] >> 40, c[held], at[held]
@@ -516,7 +524,7 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT
         b = Block(next(r["data"] for r in rows if r["level"] == 0), deal)
         known, base, score = b.scores(rows, m)
         piece = pa.array(np.full(b.n, b.piece[0])) if len(b.piece) else pa.nulls(b.n, pa.int64())
-        columns = [piece, pa.array(b.ids, mask=b.null), pa.array(b.train == 0), pa.array(b.size - b.lead), pa.array(known), pa.array(np.full(b.n, m.uni.N)), pa.array(base), pa.array(score)]
+        columns = [piece, pa.array(b.ids, mask=b.null), pa.array(b.train == 0), pa.array(b.size - b.lead), pa.array(known), pa.array(np.full(b.n, m.uni.N)), pa.array(base.astype(float)), pa.array(score.astype(float))]
         return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
     out = together().applyInArrow(evaluate, SCORES)
