@@ -43,6 +43,15 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def spread_join(rows: DataFrame, about: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with about, which has one row a key and the number of its rows. Keys with more than a thousandth of all rows, fewer than 1,000 whatever
+    the input, are broadcast, so their rows stay where they are; the others are shuffled."""
+    most = max(1000, int(about.agg(F.sum(size)).first()[0] or 0) // 1000)
+    hot = F.broadcast(about.where(F.col(size) > most))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(about.where(F.col(size) <= most), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -51,4 +60,4 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["cut", "fold", "free_name", "remove", "stored", "table"]
+__all__ = ["cut", "fold", "free_name", "remove", "spread_join", "stored", "table"]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, fold
+from graphloom.llm.common import cut, fold, free_name
 from graphloom.llm.textstats import text_stats
 
 MAX_TRAIN = 20_000
@@ -194,4 +194,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs, with their columns, that score CUTOFF at least."""
     model = train(docs.select("doc_id", features_of("text").alias("x")), labels, max_train)
-    return docs.withColumn("__score", text_scorer(model)("text")).where(F.col("__score") >= CUTOFF).drop("__score")
+    score = free_name(docs, "__score")
+    return docs.withColumn(score, text_scorer(model)("text")).where(F.col(score) >= CUTOFF).drop(score)

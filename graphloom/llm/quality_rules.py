@@ -1,13 +1,12 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule rejects a text whose measure lies beyond a cutoff. Cutoffs come from labelled holdouts: for every
-stratum (language), rule and cutoff of a fixed grid, the rejected texts among those labelled good are
-counted over all labelled rows. A cutoff is admissible if the exact (Clopper-Pearson) upper confidence bound of
-its false rejection rate stays within the rule's share of `risk`. Cutoffs of a rule are tested in a fixed sequence,
-from the least to the most rejecting, up to the first that fails, which needs no correction within the sequence;
-the confidence level is divided by the number of sequences (strata x rules). So with probability 1 - delta every
-chosen cutoff keeps its promise at once, and the rules together reject at most `risk` of the good
-texts of any stratum. A stratum with too few labels gets no cutoff.
+Each rule rejects a text whose measure lies beyond a cutoff. The rules are tightened together: rule set l takes the l-th least rejecting cutoff of
+every rule's fixed grid, so the sets are nested and each rejects what the one before it does. Cutoffs come from labelled holdouts: for
+every stratum (language) and rule set, the texts that any of its rules rejects among those labelled good are counted over all labelled rows. A set is
+admissible if the exact (Clopper-Pearson) upper confidence bound of its false rejection rate stays within `risk`. The sets of a stratum are tested in their
+fixed order up to the first that fails, which needs no correction within the sequence; the confidence level is divided by the number of
+sequences (strata). So with probability 1 - delta the rules together reject at most `risk` of the good texts of every stratum at once. A stratum with too few
+labels gets no cutoff.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language is a stratum of
 its own; repeated ids count once as labels (the lowest label wins) and each row gets its own
@@ -25,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, free_name
 from graphloom.llm.textstats import NAMES, text_stats
 
 RISK, DELTA = 0.05, 0.05
@@ -39,6 +38,8 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "bangs": ("n_bangs / greatest(n_words, 1)", (0.05, 0.1, 0.2, 0.5)),
     "long_words": ("word_chars / greatest(n_words, 1)", (9.0, 11.0, 14.0, 20.0, 40.0)),
 }
+#: Rule sets, from the least rejecting: set l has a rule's l-th least rejecting cutoff (its most rejecting one once the grid ends).
+SETS: tuple[dict[str, float], ...] = tuple({name: grid[max(0, len(grid) - 1 - l)] for name, (_, grid) in RULES.items()} for l in range(max(len(g) for _, g in RULES.values())))
 STATS_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
 
 
@@ -76,7 +77,7 @@ def certified(rejected: int, good: int, limit: float, level: float) -> bool:
 
 @dataclass(frozen=True)
 class Cutoffs:
-    """Stratum -> rule -> cutoff; what the labels showed stands in `evidence`."""
+    """Stratum -> rule -> cutoff; evidence: stratum, rule set, good texts, those rejected, whether certified."""
 
     by_stratum: dict[str | None, dict[str, float]]
     evidence: list[tuple]
@@ -107,21 +108,22 @@ def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delt
     """measured: doc_id, stratum, stats. Counts over every labelled row; one row per stratum reaches the driver."""
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     counts = [F.count(F.lit(1)).alias("good")]
-    for name, (sql, grid) in RULES.items():
-        counts += [F.count_if(_measure(sql, "stats") > F.lit(c)).alias(f"{name}_{i}") for i, c in enumerate(grid)]
+    for i, cutoffs in enumerate(SETS):
+        hit = F.lit(False)
+        for name, c in cutoffs.items():
+            hit = hit | (_measure(RULES[name][0], "stats") > F.lit(c))
+        counts.append(F.count_if(hit).alias(f"set_{i}"))
     rows = measured.join(good, "doc_id", "left_semi").groupBy("stratum").agg(*counts).collect()
-    tests = max(1, len(rows)) * len(RULES)
     chosen: dict[str | None, dict[str, float]] = {}
     evidence = []
     for r in rows:
-        own = chosen.setdefault(r["stratum"], {})
-        for name, (_, grid) in RULES.items():
-            for i in reversed(range(len(grid))):
-                ok = certified(r[f"{name}_{i}"], r["good"], risk / len(RULES), delta / tests)
-                evidence.append((r["stratum"], name, grid[i], r["good"], r[f"{name}_{i}"], ok))
-                if not ok:
-                    break
-                own[name] = grid[i]
+        chosen[r["stratum"]] = {}
+        for i, cutoffs in enumerate(SETS):
+            ok = certified(r[f"set_{i}"], r["good"], risk, delta / len(rows))
+            evidence.append((r["stratum"], i, r["good"], r[f"set_{i}"], ok))
+            if not ok:
+                break
+            chosen[r["stratum"]] = cutoffs
     return Cutoffs(chosen, evidence)
 
 
@@ -145,4 +147,5 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """The rows of docs, with their columns, that pass; their texts are read once for the labelled counts and once for the verdicts."""
     cutoffs = fit_cutoffs(measure(docs), labels, risk, delta)
-    return docs.withColumn("__stats", stats_of("text")).where(~base_failed("__stats") & ~cutoffs.rejects(F.col("lang"), "__stats")).drop("__stats")
+    stats = free_name(docs, "__stats")
+    return docs.withColumn(stats, stats_of("text")).where(~base_failed(stats) & ~cutoffs.rejects(F.col("lang"), stats)).drop(stats)
