@@ -10,7 +10,9 @@ by side, one Huffman symbol at a time, as numpy vectors. Any baseline stream is
 with or without restarts); AC coefficients are parsed and skipped.
 
 Defined results: null counts as the empty text; the payload is the UTF-8 text and bytes 255 up to a positive
-multiple of 576, so an empty text is stored as 576 bytes; repeated rows have equal results; a stream that cannot be parsed has no thumbnail.
+multiple of 576, so an empty text is stored as 576 bytes; repeated rows have equal results. A stream that cannot be parsed has no thumbnail; neither has one whose
+scan holds an unknown code, lacks a restart segment or has them out of order, or whose segments don't end where their last block does. Long texts are encoded and decoded in
+runs of whole streams, so memory beyond the text and its stored form is bounded.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from graphloom.llm.textbatch import chunks
 UNIT = 576
 ACROSS = 24
 MOST_ROWS = 8184
+#: Bytes of a payload that are encoded at once: whole streams.
+RUN = 5 * ACROSS * MOST_ROWS
 #: Numbers of DC luminance codes by length, and their symbols (ITU-T T.81, table K.3).
 DC_BITS = (0, 1, 5, 1, 1, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0)
 DC_SYMBOLS = tuple(range(12))
@@ -257,16 +261,18 @@ def thumbnails(stored: list[bytes]) -> list[list[tuple[int, int, np.ndarray]] |
     d = np.frombuffer(b"".join(stored) + b"\xff\xd9" + bytes(8), np.uint8)
     planes = [np.zeros((m.down, m.across), np.int64) for m in images]
     for layout in dict.fromkeys(x.blocks for x in scans):
-        _decode(d, [x for x in scans if x.blocks == layout], images, planes)
+        bad |= {images[i].stream for i in _decode(d, [x for x in scans if x.blocks == layout], images, planes)}
     out: list = [None if s in bad else [] for s in range(len(stored))]
     for m, p in zip(images, planes, strict=True):
-        mean = np.clip((p * m.quantiser + 1028) // 8, 0, 255).astype(np.uint8)
-        out[m.stream].append((m.width, m.height, mean))
+        if m.stream not in bad:
+            mean = np.clip((p * m.quantiser + 1028) // 8, 0, 255).astype(np.uint8)
+            out[m.stream].append((m.width, m.height, mean))
     return out
 
 
-def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[np.ndarray]) -> None:
-    """Fills the planes with quantised DC coefficients of scans with the same blocks to an MCU."""
+def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[np.ndarray]) -> set[int]:
+    """Fills the planes with quantised DC coefficients of scans with the same blocks to an MCU; the images whose scans are damaged."""
+    damaged: set[int] = set()
     blocks = scans[0].blocks
     ff = np.flatnonzero(d[:-1] == 255)
     after = d[ff + 1]
@@ -274,8 +280,9 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
     stops = ff[(after > 0) & (after < 0xD0) | (after > 0xD7) & (after < 255)]
     keep = np.ones(len(d), bool)
     keep[ff[after == 0] + 1] = False
+    keep[ff[after == 255]] = False  # fill before a marker
     place = np.cumsum(keep) - keep
-    starts, owners, mcu0, mcus = [], [], [], []
+    starts, finish, owners, mcu0, mcus = [], [], [], [], []
     for k, s in enumerate(scans):
         stop = stops[np.searchsorted(stops, s.start)]
         total = s.across * s.down
@@ -283,10 +290,14 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
             a, b = np.searchsorted(restarts, (s.start, stop))
             n = min(b - a + 1, -(-total // s.restart))
             at = np.concatenate([[s.start], restarts[a : a + n - 1] + 2])
+            if b - a + 1 != -(-total // s.restart) or (d[restarts[a:b] + 1] - 0xD0 != np.arange(b - a) % 8).any():
+                damaged.add(s.image)
+            finish.append(np.append(restarts[a : a + n - 1], stop))
             m0 = np.arange(n) * s.restart
             size = np.minimum(s.restart, total - m0)
         else:
             at, m0, size = np.array([s.start]), np.zeros(1, np.int64), np.array([total])
+            finish.append(np.array([stop]))
         starts.append(at)
         owners.append(np.full(len(at), k))
         mcu0.append(m0)
@@ -298,6 +309,8 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
     limit = (len(word) - 1) * 8
     order = np.argsort(-many, kind="stable")
     bit, owner, first, many = bit[order], owner[order], first[order], many[order]
+    finish = place[np.concatenate(finish)][order] * 8
+    wrong = np.zeros(len(many), bool)
     luma = sum(c == blocks[0][0] for c, _, _ in blocks)
     got = np.zeros((int(many[0]) if len(many) else 0, luma, len(many)), np.int16)
     before = np.zeros((max(c for c, _, _ in blocks) + 1, len(many)), np.int64)
@@ -310,6 +323,7 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
         b = bit[:n]
         for j, (c, dc, ac) in enumerate(blocks):
             entry = _lookup(dc)[peek(b)]
+            wrong[:n] |= (entry & 31) == 0
             b = b + (entry & 31)
             size = entry >> 5
             extra = peek(b) >> (16 - size)
@@ -322,6 +336,10 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
             while len(at):  # AC symbols, until the end of block
                 entry = _lookup(ac)[peek(np.minimum(at, limit))]
                 symbol, length = entry >> 5, entry & 31
+                if lanes is None:
+                    wrong[:n] |= length == 0
+                else:
+                    wrong[lanes] |= length == 0
                 at = at + length + (symbol & 15)
                 k = k + (symbol >> 4) + 1
                 on = (symbol != 0) & (k < 64) & (length > 0) & (at < limit)
@@ -334,6 +352,8 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
                 at, k = at[on], k[on]
             b = np.minimum(b, limit)
         bit[:n] = b
+    wrong |= (bit > finish) | (bit <= finish - 8)
+    damaged |= {scans[k].image for k in np.unique(owner[wrong]).tolist()}
     plain = np.array([len(blocks) == 1 and s.across == images[s.image].across for s in scans])
     sizes = np.array([planes[s.image].size if p else 0 for s, p in zip(scans, plain, strict=True)])
     if plain.all():
@@ -344,7 +364,7 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
             joined[to[:n] + m] = got[m, 0, :n]
         for s, at, size in zip(scans, base.tolist(), sizes.tolist(), strict=True):
             planes[s.image][:] = joined[at : at + size].reshape(planes[s.image].shape)
-        return
+        return damaged
     for i, k in enumerate(owner.tolist()):
         s, n = scans[k], int(many[i])
         image = images[s.image]
@@ -356,6 +376,7 @@ def _decode(d: np.ndarray, scans: list[Scan], images: list[Image], planes: list[
         else:
             for j in range(luma):
                 plane[y * image.v + j // image.h, x * image.h + j % image.h] = got[:n, j, i]
+    return damaged
 
 
 def average_hash(thumbnail: np.ndarray) -> str:
@@ -374,6 +395,12 @@ def _stored(array: pa.Array) -> Iterator[tuple[int, list[bytes], list[bytes], li
     """(first row, texts, stored forms, thumbnails read back)."""
     for row, part in chunks(array):
         texts = part.to_pylist()
+        if len(texts) == 1 and len(texts[0]) > RUN:
+            whole = payload(texts[0])
+            runs = [encode([whole[i : i + RUN]])[0] for i in range(0, len(whole), RUN)]
+            thumbs = [t for r in runs for t in thumbnails([r])[0]]
+            yield row, texts, [b"".join(runs)], [thumbs]
+            continue
         stored = encode([payload(t) for t in texts])
         yield row, texts, stored, thumbnails(stored)
 
