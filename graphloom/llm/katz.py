@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import fold, remove, stored
-from graphloom.llm.textbatch import IS_SPACE, TextBatch, as_binary, chunks, mix
+from graphloom.llm.textbatch import IS_SPACE, TextBatch, as_binary, chunks, mix, slices
 
 U = np.uint64
 K = 5
@@ -133,15 +133,12 @@ def pieces(array: pa.Array, limit: int) -> Iterator[tuple[pa.Array, np.ndarray,
             yield part, np.arange(row, row + len(part)), 0, True, True
             continue
         space = np.flatnonzero(IS_SPACE[np.frombuffer(text, np.uint8)])
-        at, lead = 0, []
-        while at < len(text):
-            k = int(np.searchsorted(space, at + limit))
-            stop = int(space[k]) if k < len(space) else len(text)
-            piece = text[at:stop]
-            yield pa.array([b" ".join([*lead, piece])], pa.large_binary()), np.array([row]), len(lead), stop == len(text), False
+        lead, left = [], len(text)
+        for piece in slices(text, limit, space):
+            left -= len(piece)
+            yield pa.array([b" ".join([*lead, piece])], pa.large_binary()), np.array([row]), len(lead), not left, False
             last = piece.rsplit(None, 2)  # bytes part at the same white space as words
             lead = [*lead, *last[len(last) == 3 :]][-2:]
-            at = stop
 
 
 def blocks_of(docs: DataFrame, block_bytes: int) -> DataFrame:

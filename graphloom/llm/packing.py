@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
-from graphloom.llm.textbatch import LOWER, TextBatch, chunks
+from graphloom.llm.textbatch import IS_SPACE, LOWER, TextBatch, chunks, slices
 from graphloom.llm.wordtable import WordTable
 
 CAPACITY = 4096
@@ -39,6 +39,8 @@ GROUP_WINDOWS = 128
 #: Several small parts to a window come out almost even; larger parts mean fewer cuts and more padding.
 MAX_PART = 512
 PART_ENTRIES = 100_000
+#: Bytes of a text that are encoded at once, when it is longer.
+LONG = 1 << 21
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,20 +104,30 @@ class WordEncoder:
         return ids
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids joined, ids of each row) of runs of rows; END closes each row."""
+        """(first row, ids joined, ids of each row) of runs of rows; END closes each row. A long text is encoded in pieces."""
         for row, part in chunks(texts):
-            b = TextBatch(part)
-            if not _MARK[b.data].any():  # else a mark could join a small letter but not its capital
-                b.data = LOWER[b.data]
-            start, end = b.words()
-            stop = end[_STOP[b.data[end - 1]] & (end - start > 1)]
-            stop = stop[_LETTER[b.data[stop - 2]]] - 1  # a full stop or comma after a letter is a match of its own
-            start, end = np.sort(np.concatenate([start, stop])), np.sort(np.concatenate([end, stop]))
-            raw = b.data.tobytes()
-            ids, sizes = self.table.encode(b.hashes(start, end), lambda at: [self.chunk(raw[i:j].decode()) for i, j in zip(start[at].tolist(), end[at].tolist())])
-            own = np.bincount(b.owner(start), sizes, b.n).astype(np.int64)
+            text = part[0].as_py() if len(part) == 1 else b""
+            if len(text) > LONG:
+                space = np.flatnonzero(IS_SPACE[np.frombuffer(text, np.uint8)])
+                ids = np.concatenate([*[self._run(pa.array([x], pa.large_binary()))[0] for x in slices(text, LONG, space)], np.array([END], np.uint32)])
+                yield row, ids, np.array([len(ids)])
+                continue
+            ids, own = self._run(part)
             yield row, np.insert(ids, np.cumsum(own), np.uint32(END)), own + 1
 
+    def _run(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts, joined, and the number of each's."""
+        b = TextBatch(part)
+        if not _MARK[b.data].any():  # else a mark could join a small letter but not its capital
+            b.data = LOWER[b.data]
+        start, end = b.words()
+        stop = end[_STOP[b.data[end - 1]] & (end - start > 1)]
+        stop = stop[_LETTER[b.data[stop - 2]]] - 1  # a full stop or comma after a letter is a match of its own
+        start, end = np.sort(np.concatenate([start, stop])), np.sort(np.concatenate([end, stop]))
+        raw = b.data.tobytes()
+        ids, sizes = self.table.encode(b.hashes(start, end), lambda at: [self.chunk(raw[i:j].decode()) for i, j in zip(start[at].tolist(), end[at].tolist())])
+        return ids, np.bincount(b.owner(start), sizes, b.n).astype(np.int64)
+
 
 _encoders: dict[str, WordEncoder] = {}
 

@@ -7,7 +7,7 @@ have changed since is skipped. Characters outside the vocabulary become byte pie
 No piece of such a vocabulary has a mark after another character or holds a newline, so a text is encoded segment by
 segment: a run of marks with what follows it, or what follows a newline. Each distinct segment goes through the agenda once a
 worker, and is checked against the library in the same Arrow batch; where they differ, the library's ids are
-taken and counted in n_repaired. Texts that hold the mark itself, and vocabularies that break the two rules, are
+taken and counted in n_repaired, a figure of the batch. Texts that hold the mark itself, and vocabularies that break the two rules, are
 encoded whole.
 
 Defined results: null and empty texts have no ids (and the empty text back); repeated rows have equal results; empty tables give empty results.
@@ -26,10 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.textbatch import TextBatch, chunks
+from graphloom.llm.textbatch import TextBatch, chunks, slices
 from graphloom.llm.wordtable import WordTable
 
 MARK = "▁"
+#: Bytes of a text that are encoded at once, and ids that are decoded at once, when it is longer.
+LONG = 1 << 21
+RUN = 1 << 19
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -144,28 +147,56 @@ class PieceEncoder:
         return own
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(first row, ids joined, ids of each row) of runs of rows."""
+        """(first row, ids joined, ids of each row) of runs of rows. A long text is encoded in pieces that begin with a segment."""
         for row, part in chunks(texts):
-            full = np.array(pc.greater(pc.binary_length(part), 0))
-            b = TextBatch(pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), part, pa.scalar(b"", pa.large_binary())))
-            d = b.data
-            last = np.concatenate([[10], d[:-1]])
-            starts = (d == 32) & (last != 32) | (d == 10) | (last == 10)
-            marked = np.zeros(len(d), bool)
-            marked[:-2] = (d[:-2] == 0xE2) & (d[1:-1] == 0x96) & (d[2:] == 0x81)
-            special = np.unique(b.owner(np.flatnonzero(marked))) if self.splits else np.arange(b.n)
-            for i in special.tolist():
-                starts[b.begin[i] : b.end[i]] = False
-            starts[b.begin] = True
-            starts[b.end] = True
-            begin = np.flatnonzero(starts)
-            stop = np.append(begin[1:], len(d))
-            own = b.owner(begin)
-            inside = (begin < b.end[own]) & full[own]  # not the separator after each text
-            begin, stop, own = begin[inside], stop[inside], own[inside]
-            raw = d.tobytes()
-            ids, sizes = self.table.encode(b.hashes(begin, stop), lambda at: self.segments([raw[i:j].decode() for i, j in zip(begin[at].tolist(), stop[at].tolist())]))
-            yield row, ids, np.bincount(own, sizes, b.n).astype(np.int64)
+            text = part[0].as_py() if len(part) == 1 else b""
+            if len(text) <= LONG or not self.splits or MARK.encode() in text:
+                yield row, *self._run(pc.binary_join_element_wise(pa.scalar(b" ", pa.large_binary()), part, pa.scalar(b"", pa.large_binary())), np.array(pc.greater(pc.binary_length(part), 0)))
+                continue
+            d = np.frombuffer(text, np.uint8)
+            at = 1 + np.flatnonzero((d[1:] == 32) & (d[:-1] != 32) | (d[1:] == 10))
+            ids = np.concatenate([self._run(pa.array([b" " * (k == 0) + x], pa.large_binary()), np.ones(1, bool))[0] for k, x in enumerate(slices(text, LONG, at))])
+            yield row, ids, np.array([len(ids)])
+
+    def _run(self, part: pa.Array, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that begin with a segment, joined, and the number of each's; none where not full."""
+        b = TextBatch(part)
+        d = b.data
+        last = np.concatenate([[10], d[:-1]])
+        starts = (d == 32) & (last != 32) | (d == 10) | (last == 10)
+        marked = np.zeros(len(d), bool)
+        marked[:-2] = (d[:-2] == 0xE2) & (d[1:-1] == 0x96) & (d[2:] == 0x81)
+        special = np.unique(b.owner(np.flatnonzero(marked))) if self.splits else np.arange(b.n)
+        for i in special.tolist():
+            starts[b.begin[i] : b.end[i]] = False
+        starts[b.begin] = True
+        starts[b.end] = True
+        begin = np.flatnonzero(starts)
+        stop = np.append(begin[1:], len(d))
+        own = b.owner(begin)
+        inside = (begin < b.end[own]) & full[own]  # not the separator after each text
+        begin, stop, own = begin[inside], stop[inside], own[inside]
+        raw = d.tobytes()
+        ids, sizes = self.table.encode(b.hashes(begin, stop), lambda at: self.segments([raw[i:j].decode() for i, j in zip(begin[at].tolist(), stop[at].tolist())]))
+        return ids, np.bincount(own, sizes, b.n).astype(np.int64)
+
+    def digest(self, ids: np.ndarray) -> tuple[str, str]:
+        """SHA-256 of the decimal ids, joined by commas, and of the text that the library decodes; ids are decoded in runs, which part between whole pieces."""
+        joined, back = hashlib.sha256(), hashlib.sha256()
+        part = np.isin(ids, list(self.bytes.values()))
+        free = 1 + np.flatnonzero(~(part[:-1] & part[1:]))
+        at = 0
+        while True:
+            k = int(np.searchsorted(free, at + RUN))
+            stop = int(free[k]) if k < len(free) else len(ids)
+            run = ids[at:stop].tolist()
+            joined.update(("," if at else "").encode() + repr(run)[1:-1].replace(" ", "").encode())
+            # a run after the first follows a letter, so that its first mark stays a space
+            back.update((self.library.decode([self.ids["a"], *run])[1:] if at else self.library.decode(run)).encode())
+            at = stop
+            if at == len(ids):
+                break
+        return joined.hexdigest(), back.hexdigest()
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -199,10 +230,14 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         enc = encoder(path)
         for batch in batches:
             for row, ids, sizes in enc.texts(batch.column(1)):
-                before, ends, flat = enc.repaired, np.cumsum(sizes).tolist(), ids.tolist()
-                lists = [flat[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
-                joined = [hashlib.sha256(repr(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in lists]
-                back = [hashlib.sha256(x.encode()).hexdigest() for x in enc.library.decode(lists, num_threads=1)] if lists else []
+                before, ends = enc.repaired, np.cumsum(sizes).tolist()
+                if len(ids) > RUN and len(sizes) == 1:
+                    joined, back = ([x] for x in enc.digest(ids))
+                else:
+                    flat = ids.tolist()
+                    lists = [flat[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+                    joined = [hashlib.sha256(repr(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in lists]
+                    back = [hashlib.sha256(x.encode()).hexdigest() for x in enc.library.decode(lists, num_threads=1)] if lists else []
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), pa.array(sizes), pa.array(joined, pa.string()), pa.array(back, pa.string()), pa.array(np.full(len(sizes), enc.repaired - before))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_repaired"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_repaired long")

@@ -64,6 +64,16 @@ def chunks(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, pa.
         i = j
 
 
+def slices(text: bytes, limit: int, at: np.ndarray) -> Iterator[bytes]:
+    """A text in pieces of about `limit` bytes, cut at some of the positions `at`, which ascend."""
+    done = 0
+    while done < len(text):
+        k = int(np.searchsorted(at, done + limit))
+        stop = int(at[k]) if k < len(at) else len(text)
+        yield text[done:stop]
+        done = stop
+
+
 def as_binary(array: pa.Array) -> pa.Array:
     """Nulls become empty; 64-bit offsets."""
     if isinstance(array, pa.ChunkedArray):
