@@ -4,9 +4,10 @@
    sets are one class of copies; everything below handles one representative per fingerprint, weighted by its copies.
 2. Bands and rows are chosen for a target recall at the threshold. Representatives are shuffled on band
    hashes; those that share a band hash are linked to the bucket's least member, and the linked ones form candidate groups.
-3. Inside a candidate group every pair that shares a band is verified on the full sets. A large group is split into blocks, and each
-   pair of blocks is a task of bounded size. Tasks return sums of links and a spanning forest of the
-   verified links, so no list of all pairs of a group ever exists, and no pair is dropped.
+3. Inside a candidate group every pair that shares a band is verified on the full sets. A group of at most BLOCK is one task (with others). A larger one is
+   verified whole, by pairs of blocks, or bucket by bucket, a pair in the first band that it shares: whichever sends fewer gram sets (buckets
+   where texts form chains, the whole where most are alike). Large buckets are split into pairs of blocks too. Tasks are of bounded size; they return sums of links and
+   a spanning forest of the verified links, so no list of all pairs of a group ever exists, and no pair is dropped.
 4. The components of the verified links are the classes.
 
 Defined results: a text of 1 to 4 words has one gram, all its words; a text without words (or null) links to nothing and is a class of
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, free_name, spread_join
 from graphloom.llm.textbatch import TextBatch, chunks, mix, windows
 from graphloom.plans.fixpoint import star_components
 
@@ -180,11 +181,13 @@ def _slot(bits: int):
     return slot
 
 
-def verify(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """(len(left), len(right)) booleans: the pairs that share a band and are similar on their full sets."""
+def verify(sets: list[np.ndarray], bands: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, only: int = -1) -> np.ndarray:
+    """(len(left), len(right)) booleans: the pairs that share a band (with `only`, this one first) and are similar on their full sets."""
     share = np.zeros((len(left), len(right)), bool)
-    for b in range(bands.shape[1]):
+    for b in range(bands.shape[1] if only < 0 else only):
         share |= bands[left, b][:, None] == bands[right, b][None, :]
+    if only >= 0:
+        share = (bands[left, only][:, None] == bands[right, only][None, :]) & ~share
     size = np.array([len(s) for s in sets])
     low, high = np.minimum.outer(size[left], size[right]), np.maximum.outer(size[left], size[right])
     share &= low >= threshold * high - 1e-9
@@ -248,20 +251,35 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     reps = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     reps = cut(reps)
     exploded = reps.select("fp", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "v")
-    groups = cut(star_components(exploded.join(buckets, "band").select(F.col("fp").alias("u"), "v")))
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = groups.join(sizes, "root").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = members.select(F.col("node").alias("fp"), "root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    full = members.join(reps.select("fp", "copies", "bands"), "fp").join(sets_of(docs, groups.select(F.col("node").alias("fp"))), "fp")
+    buckets = exploded.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = cut(star_components(exploded.join(buckets.select("band", "v"), "band").select(F.col("fp").alias("u"), "v")))
+    sizes = cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    about = reps.select("fp", "copies", "bands").join(sets_of(docs, groups.select(F.col("node").alias("fp"))), "fp")
+    members = groups.select(F.col("node").alias("fp"), "root")
+    n_blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    large = sizes.where(F.col("size") > BLOCK)
+    if large.isEmpty():
+        whole, by_bucket = members.select("fp", F.col("root").alias("group"), F.lit(1).alias("parts"), F.lit(-1).alias("only")), None
+    else:
+        buckets = cut(buckets)
+        homes = groups.select(F.col("node").alias("v"), "root")
+        sent = buckets.join(homes, "v").groupBy("root").agg(F.sum(F.col("n") * n_blocks("n")).alias("sent"))
+        sizes = cut(sizes.join(sent, "root", "left").withColumn("split", (F.col("size") > BLOCK) & (F.col("sent") < F.col("size") * n_blocks("size"))))
+        placed = cut(spread_join(members, sizes, "root", "size"))
+        whole = placed.where("NOT split").select("fp", F.col("root").alias("group"), n_blocks("size").cast("int").alias("parts"), F.lit(-1).alias("only"))
+        split = placed.where("split").select("fp").join(reps.select("fp", "bands"), "fp").select("fp", F.posexplode("bands").alias("only", "band"))
+        by_bucket = spread_join(split, buckets.select("band", "n"), "band", "n").select("fp", F.col("band").cast("string").cast("binary").alias("group"), n_blocks("n").cast("int").alias("parts"), "only")
+    placed = whole if by_bucket is None else whole.unionByName(by_bucket)
     bins = max(16, -(-groups.count() // BLOCK))
+    full = placed.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).join(about, "fp")
     spread = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    tasks = spread.select("fp", "root", "copies", "bands", "grams", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("parts") == 1, F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string").cast("binary")).otherwise(F.col("root")).alias("bin"))
+    bin_ = F.when((F.col("parts") == 1) & (F.col("only") < 0), F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string").cast("binary")).otherwise(F.col("group"))
+    tasks = spread.select("fp", F.col("group").alias("root"), "only", "copies", "bands", "grams", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), bin_.alias("bin"))
 
     def run(t: pa.Table) -> pa.Table:
         root = t["root"].to_pylist()
         fp, copies, part = t["fp"].to_pylist(), t["copies"].to_numpy(), t["part"].to_numpy()
-        i, j = t["i"][0].as_py(), t["j"][0].as_py()
+        i, j, only = t["i"][0].as_py(), t["j"][0].as_py(), t["only"][0].as_py()
         sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
         bands = np.array(t["bands"].combine_chunks().flatten()).reshape(len(sets), -1)
         by: dict[bytes, list[int]] = {}
@@ -273,35 +291,36 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
             left, right = own[part[own] == i], own[part[own] == j]
             if not len(left) or not len(right):
                 continue
-            hit = verify(sets, bands, left, right, threshold)
+            hit = verify(sets, bands, left, right, threshold, only)
             links[left] += hit @ copies[right]
             links[right] += copies[left] @ hit
             edges += forest(hit, left, right) if hit.any() else []
         n = np.flatnonzero(links)
         return pa.table({"u": pa.array([fp[k] for k in n] + [fp[a] for a, _ in edges], pa.binary()), "v": pa.array([None] * len(n) + [fp[b] for _, b in edges], pa.binary()), "links": pa.array(np.concatenate([links[n], np.zeros(len(edges), np.int64)]))})
 
-    found = cut(tasks.groupBy("bin", "i", "j").applyInArrow(run, "u binary, v binary, links long"))
+    found = cut(tasks.groupBy("bin", "only", "i", "j").applyInArrow(run, "u binary, v binary, links long"))
     joined = star_components(found.where("v IS NOT NULL").select("u", "v"))
     links = found.where("v IS NULL").groupBy(F.col("u").alias("fp")).agg(F.sum("links").alias("links"))
     named = reps.select("fp", "copies", "least_id").join(joined.withColumnRenamed("node", "fp"), "fp", "left").join(links, "fp", "left")
     named = cut(named.select("fp", "copies", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("members"))
-    about = named.join(ids, "root").where("members > 1").select("fp", "class_id", F.col("root").alias("class_key"), (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    return rows.select("doc_id", "text_key", "fp").join(about, "fp", "left").select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_key")
+    ids = cut(named.groupBy("root").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("members"), F.count(F.lit(1)).alias("size")))
+    about = cut(spread_join(named, ids, "root", "size").where("members > 1").select("fp", "copies", "class_id", F.col("root").alias("class_key"), (F.col("links") + F.col("copies") - 1).alias("n_links")))
+    return spread_join(rows.select("doc_id", "text_key", "fp"), about, "fp", "copies", "left").select("doc_id", "text_key", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "class_key")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of docs, with their columns, but of each class only the row with the least id."""
     found = cut(classes(docs, threshold, recall))
     linked = found.where("class_key IS NOT NULL")
-    kept = linked.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"), F.count(F.lit(1)).alias("n"))
-    gone = linked.join(kept, "class_key").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key")))).select("doc_id", "text_key").distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone"))
-    rest = keyed.join(gone, (keyed["__key"] == gone["__gone"]) & keyed["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
-    twice = cut(linked.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__gone")))
+    kept = cut(linked.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("k"), F.count(F.lit(1)).alias("n")))
+    gone = spread_join(linked, kept, "class_key", "n").where(~(F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key")))).select("doc_id", "text_key").distinct()
+    key, id_, text = (free_name(docs, x) for x in ("__key", "__id", "__gone"))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("text_key").alias(text))
+    rest = keyed.join(gone, (keyed[key] == gone[text]) & keyed["doc_id"].eqNullSafe(gone[id_]), "left_anti")
+    twice = cut(linked.groupBy("doc_id", "text_key").count().where("count > 1").select(F.col("doc_id").alias(id_), F.col("text_key").alias(text)))
     if not twice.isEmpty():
-        again = (keyed["__key"] == twice["__gone"]) & keyed["doc_id"].eqNullSafe(twice["__id"])
-        once = rest.join(twice, again, "left_semi").dropDuplicates(["doc_id", "__key"])
+        again = (keyed[key] == twice[text]) & keyed["doc_id"].eqNullSafe(twice[id_])
+        once = rest.join(twice, again, "left_semi").dropDuplicates(["doc_id", key])
         rest = rest.join(twice, again, "left_anti").unionByName(once)
-    return rest.drop("__key")
+    return rest.drop(key)

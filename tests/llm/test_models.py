@@ -136,6 +136,21 @@ def test_ngram_join(spark, monkeypatch, block):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root)) and kept.columns == d.columns
 
 
+def test_ngram_join_chain(spark, monkeypatch):
+    """A long chain of texts, each alike its neighbours only, is verified bucket by bucket; so is every pair of a cluster, once."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    r = random.Random(12)
+    words = [f"c{i}" for i in range(900)]
+    rows = [" ".join(words[i : i + 100]) for i in range(0, 800, 6)] + [" ".join(words[i : i + 100]) for i in (0, 60)]
+    base = [f"d{i}" for i in range(120)]
+    rows += [" ".join("x" if k == r.randrange(120) else w for k, w in enumerate(base)) for _ in range(30)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    near, root = jaccard_oracle(rows)
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), recall=0.99999).collect()}
+    assert got == {i: (root[i], len(near[i])) for i, _ in rows} and max(collections.Counter(root).values()) > 100
+
+
 def test_ngram_join_edges(spark):
     e = docs(spark)
     got = ngram_join.classes(e)
