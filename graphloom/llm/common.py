@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +55,13 @@ def spread_join(rows: DataFrame, about: DataFrame, key: str, size: str, how: str
     return rows.join(hot, key).unionByName(rest)
 
 
+def trim() -> None:
+    """Gives memory that a worker holds but doesn't use back to the system: freed arrays of many sizes otherwise stay with a worker that is used again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such function outside glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like `name` that df doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -60,4 +70,4 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["cut", "fold", "free_name", "remove", "spread_join", "stored", "table"]
+__all__ = ["cut", "fold", "free_name", "remove", "spread_join", "stored", "table", "trim"]

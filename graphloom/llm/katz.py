@@ -36,14 +36,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fold, remove, stored
+from graphloom.llm.common import fold, remove, stored, trim
 from graphloom.llm.textbatch import IS_SPACE, TextBatch, as_binary, chunks, mix, slices
 
 U = np.uint64
 K = 5
 ORDER = 3
 BLOCK_BYTES = 1 << 21
-BUCKET_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 19
 #: Least share of the training tokens of a history that is split: the bound of what reaches the driver.
 HOT = 1e-6
 END = U(1)
@@ -439,6 +439,7 @@ def count_grams(asks: DataFrame, level: int, model, buckets: int) -> DataFrame:
         blocks = t["block"].to_pylist()
         rows = [[unsqueeze(x) for x in data] for data in t["data"].to_pylist()]
         many, split, w, low, count = (np.concatenate([r[i] for r in rows]) for i in range(5))
+        asked_, groups = [len(r[2]) for r in rows], [len(r[0]) for r in rows]
         of = np.repeat(np.arange(len(many)), many)
         if level == 3:
             heads, times, size, v_bare, u = (np.concatenate([r[i] for r in rows]) for i in range(5, 10))
@@ -448,6 +449,7 @@ def count_grams(asks: DataFrame, level: int, model, buckets: int) -> DataFrame:
         else:
             v = history = np.concatenate([r[5] for r in rows])
             u = np.zeros_like(v)
+        del rows
         _, first, place = distinct(history)
         n = len(first)
         gram, at, back = distinct(place[of] << 40 | w)
@@ -463,14 +465,15 @@ def count_grams(asks: DataFrame, level: int, model, buckets: int) -> DataFrame:
         seen = np.bincount(h, p, n).astype(float)
         bare = (np.bincount(h, minlength=n) > 0) & (types.sum(0) == 0)
         out, a, g = [], 0, 0
-        for block, r in zip(blocks, rows, strict=True):
-            mine, own = c[back[a : a + len(r[2])]], place[g : g + len(r[0])]
-            asked = own[np.bincount(of[a : a + len(r[2])] - g, mine == 0, len(own)) > 0]
-            a, g = a + len(r[2]), g + len(r[0])
+        for block, n_asked, n_groups in zip(blocks, asked_, groups, strict=True):
+            mine, own = c[back[a : a + n_asked]], place[g : g + n_groups]
+            asked = own[np.bincount(of[a : a + n_asked] - g, mine == 0, len(own)) > 0]
+            a, g = a + n_asked, g + n_groups
             out.append(_told(block, level, bucket, [squeeze(mine), squeeze(bare[own]), squeeze(types[:, asked].reshape(-1)), seen[asked].tobytes()]))
         out.append({"level": level, "bucket": bucket, "sums": np.bincount(c[c <= K + 1], minlength=K + 2).tolist()})
         for i in np.flatnonzero(split[first]).tolist():
             out.append({"level": level, "bucket": bucket, "u": int(u[first[i]]), "v": int(v[first[i]]), "sums": types[:, i].tolist(), "seen": float(seen[i])})
+        trim()
         return pa.Table.from_pylist(out, _ANSWER)
 
     return asks.groupBy("bucket").applyInArrow(answer, ANSWERS)
@@ -499,6 +502,8 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT
         rows = t.select(["level", "bucket", "data"]).to_pylist()
         b, m = Block(next(r["data"] for r in rows if r["level"] == 0), deal), shared.value
         c, bare, size, _ = b.pairs().read(rows, deal, m.sums[2], m.d[2])
+        del rows
+        trim()
         return pa.Table.from_batches([b.triples(c, bare, size).asks(key[0].as_py())])
 
     def together() -> DataFrame:
@@ -520,6 +525,8 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT
         rows, m = t.select(["level", "bucket", "data"]).to_pylist(), shared.value
         b = Block(next(r["data"] for r in rows if r["level"] == 0), deal)
         known, base, score = b.scores(rows, m)
+        del rows
+        trim()
         piece = pa.array(np.full(b.n, b.piece[0])) if len(b.piece) else pa.nulls(b.n, pa.int64())
         columns = [piece, pa.array(b.ids, mask=b.null), pa.array(b.train == 0), pa.array(b.size - b.lead), pa.array(known), pa.array(np.full(b.n, m.uni.N)), pa.array(base.astype(float)), pa.array(score.astype(float))]
         return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
