@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 #: What marks a path as a test's (suffixes, and folder names followed by a separator).
 TEST_PATH = r"(?i)(\.(test|spec)\.(ts|tsx|js|jsx)$|(^|[/\\])(tests?|__tests?__|spec|fixtures?|__mocks?__)[/\\])"
-#: First match decides a file's category.
-CATEGORIES = (("tests", r"(?i)(\.(test|spec)\.(ts|tsx|js|jsx)$|(^|[/\\])(tests?|__tests?__|spec)[/\\])"), ("fixtures", r"(?i)(^|[/\\])fixtures?[/\\]"), ("mocks", r"(?i)(^|[/\\])__mocks?__[/\\]"))
+#: What makes a path a test's, a fixture's or a mock's; the first match decides.
+CATEGORIES = (
+    ("tests", r"(?i)(\.(test|spec)\.(ts|tsx|js|jsx)$|(^|[/\\])(tests?|__tests?__|spec)[/\\])"),
+    ("fixtures", r"(?i)((^|[/\\])fixtures?[/\\]|\.fixture\.(ts|tsx|js|jsx)$)"),
+    ("mocks", r"(?i)((^|[/\\])(__mocks__|mocks?)[/\\]|\.mock\.(ts|tsx|js|jsx)$)"),
+)
 
 
 def is_test_path(path: Column) -> Column:

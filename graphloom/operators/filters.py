@@ -67,8 +67,10 @@ def entrypoint_nodes(nodes: DataFrame, entrypoints: DataFrame, root: str) -> Dat
 def source_window(files: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """files: file_path, text. wanted: file_path, line (from 1). Lines within the radius: file_path, target, line, content."""
     w = wanted.select("file_path", F.col("line").alias("target"))
-    lines = files.join(w, "file_path").select("file_path", "target", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
-    return lines.select("file_path", "target", (F.col("pos") + 1).alias("line"), "content").where(F.abs(F.col("line") - F.col("target")) <= radius)
+    first = F.greatest(F.col("target") - radius, F.lit(1))
+    near = F.slice(F.split("text", "\n"), first, F.greatest(F.col("target") + radius + 1 - first, F.lit(0)))  # only these lines are made rows
+    lines = files.join(w, "file_path").select("file_path", "target", first.cast("int").alias("first"), F.posexplode(near).alias("pos", "content"))
+    return lines.select("file_path", "target", (F.col("pos") + F.col("first")).alias("line"), "content")
 
 
 def source_text(window: DataFrame) -> DataFrame:
@@ -99,5 +101,3 @@ def initial_scope(clusters: DataFrame) -> DataFrame:
     """Nodes of the clusters that hold an entrypoint, or of all clusters if none does."""
     some = clusters.where("has_entrypoint").limit(1).agg(F.count(F.lit(1)).alias("__some"))
     return clusters.join(some).where((F.col("__some") == 0) | F.col("has_entrypoint")).drop("__some")
-
-

@@ -5,6 +5,8 @@ Each closure has two ways with one result: a loop of joins over DataFrames, its
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,12 +17,23 @@ from graphloom.plans import local
 from graphloom.plans.fixpoint import cut, numbered, star_components
 
 PATHS, PATH_NODES, CYCLE_IDS = 25, 10, 10
+#: Open paths that are advanced at once; frontiers that are kept as parts before they are joined.
+BATCH, PARTS = 2000, 8
 
 
 def _type(df: DataFrame, column: str) -> str:
     return df.select(column).schema[0].dataType.simpleString()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _compact(parts: list[DataFrame]) -> list[DataFrame]:
+    """Parts are written once; only now and then are they written again, as one."""
+    return parts if len(parts) <= PARTS else [cut(_union(parts).coalesce(max(1, parts[0].rdd.getNumPartitions())))]
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, small: bool | None = None) -> DataFrame:
     """id of everything reached from the seeds (id) along edges of all kinds; unknown ids are reached and followed too."""
     steps = edges.select("src", "dst").distinct()
@@ -28,13 +41,14 @@ def reachable(edges: DataFrame, seeds: DataFrame, small: bool | None = None) ->
         kind = _type(seeds, "id")
         return local.solve({"edges": steps, "seeds": seeds.select("id", F.col("id").alias("__v"))}, local.reach, f"node {kind}").withColumnRenamed("node", "id")
     steps = cut(steps)
-    seen = frontier = cut(seeds.select("id").distinct())
+    frontier = cut(seeds.select("id").distinct())
+    seen = [frontier]
     while True:
         new = steps.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(new.join(seen, "id", "left_anti"))
+        frontier = cut(new.join(_union(seen), "id", "left_anti"))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionAll(frontier))
+            return _union(seen)
+        seen = _compact([*seen, frontier])
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, small: bool | None = None) -> DataFrame:
@@ -152,18 +166,17 @@ def layers(nodes: DataFrame, edges: DataFrame, membership: DataFrame, small: boo
         free = cut(free)
     else:
         rest = inside
-        left = cut(m.select("id").join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left"))
-        free, level = None, 0
+        left = cut(m.select("id"))
+        free, level = [], 0
         while True:
             ready = cut(left.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(level).cast("long")))
             if ready.isEmpty():
                 break
-            free = ready if free is None else cut(free.unionAll(ready))
+            free = _compact([*free, ready])
             left = cut(left.join(ready, "id", "left_anti"))
             rest = cut(rest.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
             level += 1
-        if free is None:
-            free = left.withColumn("layer", F.lit(0).cast("long")).limit(0)
+        free = _union(free) if free else left.withColumn("layer", F.lit(0).cast("long")).limit(0)
     bound = m.join(free.select("id"), "id", "left_anti")
     behind = inside.join(free.select(F.col("id").alias("src"), "layer"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("layer") + 1).alias("layer")).join(bound.select("id"), "id", "left_semi")
     known = free.select("id", "layer").unionByName(behind)
@@ -171,50 +184,50 @@ def layers(nodes: DataFrame, edges: DataFrame, membership: DataFrame, small: boo
     return m.join(known, "id", "left").join(last, "cluster_id", "left").select("id", "cluster_id", F.coalesce("layer", F.coalesce("last", F.lit(0)) + 1).alias("layer"))
 
 
-def call_paths(edges: DataFrame, target, most: int = PATHS, longest: int = PATH_NODES) -> DataFrame:
+def call_paths(edges: DataFrame, target, most: int = PATHS, longest: int = PATH_NODES, batch: int = BATCH) -> DataFrame:
     """place, path (ids from the outermost caller to the target, joined by '>'), truncated: simple paths backwards along calls, in depth-first order of edge_seq.
 
-    A path ends where every caller is already on it; one that would need more than `longest` nodes is dropped. The first `most` are kept. Without any, the target alone."""
+    A path ends where every caller is already on it; one that would need more than `longest` nodes is dropped. The first `most` are kept. Without any, the target alone.
+    Only the first `batch` open paths in depth-first order are advanced at once, so what is held grows with the callers of a batch, not with the number of paths; the search ends
+    when more than `most` paths have ended before all open ones."""
     calls = cut(edges.where("kind = 'call'").select("edge_seq", "src", "dst"))
-    start = calls.sparkSession.range(1).select(F.array(F.lit(target)).alias("path"), F.array().cast("array<long>").alias("ord"))
-    kind = _type(calls, "src")
-    open_ = cut(start.select(F.col("path").cast(f"array<{kind}>"), "ord"))
-    ends, dropped = None, False
-    for depth in range(1, longest + 1):
-        more = open_.withColumn("tip", F.element_at("path", 1)).join(calls.withColumnRenamed("dst", "tip"), "tip").where(~F.array_contains("path", F.col("src")))
-        leaf = open_.join(more.select("ord").withColumnRenamed("edge_seq", "x").groupBy("ord").agg(F.lit(1).alias("on")), "ord", "left_anti").select("path", "ord")
-        ends = leaf if ends is None else ends.unionByName(leaf)
-        longer = more.select(F.concat(F.array("src"), "path").alias("path"), F.concat("ord", F.array("edge_seq")).alias("ord"))
-        ends, longer = cut(ends), cut(longer)
-        if longer.isEmpty():
-            break
-        if depth == longest:
-            dropped = True
+    spark, kind = calls.sparkSession, _type(calls, "src")
+    schema = f"path array<{kind}>, ord array<long>"
+    open_, n_open, ends, dropped = spark.createDataFrame([([target], [])], schema), 1, [], False
+    while n_open:
+        now = [(list(r["path"]), list(r["ord"])) for r in open_.orderBy("ord").limit(batch).collect()]
+        if len(ends) > most and ends[most][0] < now[0][1]:
             break
-        # a leaf is final; an open path after the last leaf that can still count is not needed
-        full = ends.orderBy("ord").limit(most + 1)
-        if ends.count() > most:
-            bar = full.agg(F.max("ord").alias("bar"))
-            longer = cut(longer.join(bar).where(F.col("ord") < F.col("bar")).drop("bar"))
-        open_ = longer
-    total = ends.count()
-    if not total:
-        ends = open_.sparkSession.range(1).select(F.array(F.lit(target)).cast(f"array<{kind}>").alias("path"), F.array().cast("array<long>").alias("ord"))
-    place = F.row_number().over(W.orderBy("ord"))
-    top = ends.orderBy("ord").limit(most)
-    return top.select(place.alias("place"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.lit(bool(total > most or dropped)).alias("truncated"))
+        first = spark.createDataFrame(now, schema)
+        later = open_.join(F.broadcast(first.select("ord")), "ord", "left_anti") if n_open > len(now) else None
+        tips = F.broadcast(first.select(F.element_at("path", 1).alias("dst"), "path", F.col("ord").alias("before")))
+        more = calls.join(tips, "dst").where(~F.array_contains("path", F.col("src")))
+        more = cut(more.select("before", F.concat(F.array("src"), "path").alias("path"), F.concat("before", F.array("edge_seq")).alias("ord")))
+        fits = F.size("path") <= longest
+        about = {tuple(r["before"]): r for r in more.groupBy("before").agg(F.count_if(fits).alias("open"), F.count_if(~fits).alias("dropped")).collect()}  # a batch at most
+        ends = sorted([*ends, *((o, path) for path, o in now if tuple(o) not in about)])[: most + 1]
+        dropped = dropped or any(r["dropped"] for r in about.values())
+        n_open += sum(r["open"] for r in about.values()) - len(now)
+        open_ = more.where(fits).select("path", "ord")
+        open_ = open_ if later is None else cut(open_.unionByName(later))
+    total = len(ends)
+    rows = [(k + 1, ">".join(str(x) for x in path)) for k, (_, path) in enumerate(ends[:most])] or [(1, str(target))]
+    return spark.createDataFrame(rows, "place int, path string").withColumn("truncated", F.lit(bool(total > most or dropped)))
 
 
 def k_hop(edges: DataFrame, start, k: int) -> DataFrame:
-    """id, direction, depth of what lies within k steps out of or into a node (depth 1 to k, the least counts; the node itself excluded)."""
+    """id, direction, depth of what lies within k steps out of or into a node (depth 1 to k, the least counts; the node itself excluded). Each round is cut."""
     k = max(1, min(10, int(k)))
-    out = None
+    out = []
     for direction, a, b in (("out", "src", "dst"), ("in", "dst", "src")):
-        steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-        seen = steps.where(F.col("a") == start).select(F.col("a").alias("id")).distinct().select("id", F.lit(0).alias("depth"))
+        steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+        frontier = steps.sparkSession.range(1).select(F.lit(start).cast(_type(steps, "a")).alias("id"), F.lit(0).alias("depth"))
+        seen = [frontier]
         for d in range(1, k + 1):
-            new = steps.join(seen.where(F.col("depth") == d - 1).select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"), F.lit(d).alias("depth"))
-            seen = seen.unionAll(new).groupBy("id").agg(F.min("depth").alias("depth"))
-        found = seen.where((F.col("depth") > 0) & (F.col("id") != start)).select("id", F.lit(direction).alias("direction"), "depth")
-        out = found if out is None else out.unionAll(found)
-    return out
+            new = steps.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
+            frontier = cut(new.join(_union(seen), "id", "left_anti").select("id", F.lit(d).alias("depth")))
+            if frontier.isEmpty():
+                break
+            seen = _compact([*seen, frontier])
+        out.append(_union(seen).where("depth > 0").select("id", F.lit(direction).alias("direction"), "depth"))
+    return out[0].unionAll(out[1])

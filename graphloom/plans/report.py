@@ -9,7 +9,9 @@ from graphloom.functions import scalars as S
 from graphloom.operators import degree, duplicates, recursion
 
 CAPS = {"dead": 40, "cycles": 12, "call_cycles": 6, "god": 8, "duplicates": 12, "coupling": 20}
+#: Weight and line style of edges by kind.
 WEIGHTS = {"call": 4, "inherits": 3, "import": 2, "references": 1}
+STYLES = {"call": "solid", "inherits": "bold", "import": "dashed", "references": "dotted"}
 
 
 def findings(nodes: DataFrame, edges: DataFrame, entry_ids: DataFrame, functions: DataFrame | None = None, dead: bool = True, god: bool = True, copies: bool = True, coupling: bool = True, fan_out: int = degree.FAN_OUT, fan_in: int = degree.FAN_IN, least_cycle: int = 2) -> dict[str, DataFrame]:
@@ -96,9 +98,9 @@ def dot_edges(edges: DataFrame) -> DataFrame:
         g = g.join(names, ["src", "dst"])
         some = F.concat(F.array_join(F.slice("names", 1, 3), ", "), F.when(F.size("names") > 3, "…").otherwise(""))
         label = F.when((F.col("edge_count") == 1) & (F.size("names") > 0), F.concat(F.lit(', label="'), S.escape_dot(some), F.lit('"'))).otherwise(label)
-    weight = F.element_at(F.create_map(*[F.lit(x) for p in WEIGHTS.items() for x in p]), F.col("dominant_kind"))
+    of_kind = lambda values: F.element_at(F.create_map(*[F.lit(x) for p in values.items() for x in p]), F.col("dominant_kind"))
     q = lambda c: F.concat(F.lit('"'), S.escape_dot(F.col(c).cast("string")), F.lit('"'))
-    line = F.concat(F.lit("  "), q("src"), F.lit(" -> "), q("dst"), F.lit(' [id="'), S.edge_id(F.col("src"), F.col("dst")), F.lit('", weight='), weight.cast("string"), label, F.lit("];"))
+    line = F.concat(F.lit("  "), q("src"), F.lit(" -> "), q("dst"), F.lit(' [id="'), S.edge_id(F.col("src"), F.col("dst")), F.lit('", weight='), of_kind(WEIGHTS).cast("string"), F.lit(", style="), of_kind(STYLES), label, F.lit("];"))
     return g.select(F.lit(4).alias("section"), F.col("first_seq").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), line.alias("line"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import scalars as S
 from graphloom.functions import types as Y
-from graphloom.operators import degree, duplicates, filters, recursion
+from graphloom.operators import degree, duplicates, extract, filters, recursion
 from graphloom.plans import report
 from graphloom.sources import graph_json, views
 
@@ -35,7 +36,11 @@ def entry_ids(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("file_path") == views.ENTRY_FILE).select("id")
 
 
-_TEST = r"regexp_matches(file_path, '(\.(test|spec)\.(ts|tsx|js|jsx)$|(^|[/\\])(tests?|__tests?__|spec|fixtures?|__mocks?__)[/\\])', 'i')"
+def _matches(pattern: str) -> str:
+    return f"regexp_matches(file_path, '{pattern.removeprefix('(?i)')}', 'i')"
+
+
+_TEST = _matches(S.TEST_PATH)
 _FAN = ", fi as (select dst id, count(*) c from e group by 1), fo as (select src id, count(*) c from e group by 1), f as (select n.id, coalesce(fi.c, 0) fan_in, coalesce(fo.c, 0) fan_out from n left join fi using (id) left join fo using (id))"
 _REACH = f", r as (select id from n where file_path = '{views.ENTRY_FILE}' union select e.dst from r join e on e.src = r.id)"
 _COMPONENTS = """, u as (select src a, dst b from e where src in (select id from n) and dst in (select id from n) union select dst, src from e where src in (select id from n) and dst in (select id from n)),
@@ -169,12 +174,40 @@ def subgraph_edges(spark, sf):
     return filters.subgraph(n, e, n.where("id % 3 <> 0"))[1]
 
 
-_CATEGORY = r"case when regexp_matches(file_path, '(\.(test|spec)\.(ts|tsx|js|jsx)$|(^|[/\\])(tests?|__tests?__|spec)[/\\])', 'i') then 'tests' when regexp_matches(file_path, '(^|[/\\])fixtures?[/\\]', 'i') then 'fixtures' when regexp_matches(file_path, '(^|[/\\])__mocks?__[/\\]', 'i') then 'mocks' end"
+_CATEGORY = "case " + " ".join(f"when {_matches(p)} then '{name}'" for name, p in S.CATEGORIES) + " end"
 _VISIBLE = f", hid as (select id from n where {_CATEGORY} is not null or kind = 'interface')"
 
 
-@query("file_category", views.duck(None, f" select id, file_path, {_CATEGORY} category, {_TEST} is_test from n"))
+#: Paths with what they are, by hand: path, category, whether a test's path.
+PATHS = (
+    ("src/latest.ts", None, False), ("src/a.test.ts", "tests", True), ("src/a.spec.tsx", "tests", True), ("test/a.ts", "tests", True), ("src/__tests__/a.ts", "tests", True), ("spec/a.js", "tests", True), ("src/contests/a.ts", None, False),
+    ("lib/fixtures/a.ts", "fixtures", True), ("fixture/a.ts", "fixtures", True), ("src/a.fixture.ts", "fixtures", False), ("src/afixture.ts", None, False), ("mocks/a.ts", "mocks", False), ("src/mock/a.ts", "mocks", False),
+    ("src/__mocks__/a.ts", "mocks", True), ("src/__mock__/a.ts", None, True), ("src/a.mock.jsx", "mocks", False), ("src/hammocks/a.ts", None, False), ("TESTS/A.TS", "tests", True), ("tests/fixtures/a.ts", "tests", True),
+    ("fixtures/a.mock.ts", "fixtures", True), ("src\\tests\\a.ts", "tests", True), ("src/test.ts", None, False), ("src/a.test.py", None, False), ("mocks", None, False), ("", None, False),
+)
+
+
+def _sql(value) -> str:
+    return "null" if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, int) else "'" + value.replace("'", "''") + "'"
+
+
+def _values(rows, names: str) -> str:
+    """Rows as literals, numbered from 0, joined with the nations of these numbers."""
+    return "select n_nationkey, x.* exclude (k) from (values " + ", ".join("(" + ", ".join(map(_sql, (k, *r))) + ")" for k, r in enumerate(rows)) + f") x(k, {names}) join nation on n_nationkey = k"
+
+
+def _nations(spark, sf, rows, schema: str) -> DataFrame:
+    given = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, " + schema)
+    return spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey").join(F.broadcast(given), F.col("n_nationkey") == F.col("k")).drop("k")
+
+
+@query("file_category", _values(PATHS, "file_path, category, is_test"))
 def file_category(spark, sf):
+    return _nations(spark, sf, [r[:1] for r in PATHS], "file_path string").select("n_nationkey", "file_path", S.file_category(F.col("file_path")).alias("category"), S.is_test_path(F.col("file_path")).alias("is_test"))
+
+
+@query("file_category_nodes", views.duck(None, f" select id, file_path, {_CATEGORY} category, {_TEST} is_test from n"))
+def file_category_nodes(spark, sf):
     return views.nodes(spark, sf).select("id", "file_path", S.file_category(F.col("file_path")).alias("category"), S.is_test_path(F.col("file_path")).alias("is_test"))
 
 
@@ -301,9 +334,10 @@ for _name, _view, _kind in (("import_cycles", "sparse", "import"), ("call_cycles
         return recursion.cycles(*graph(spark, sf, view), kind)
 
 
-_LAYERS = _CLUSTERS + """, ie as (select distinct src, dst from e join cl x on x.id = src join cl y on y.id = dst where src <> dst and x.cluster_id = y.cluster_id),
- lp as (select id, 0 layer from cl where not is_orphan and id not in (select dst from ie) union select ie.dst, layer + 1 from lp join ie on ie.src = lp.id where layer < 60)
- select id, cluster_id, cast(max(layer) as bigint) layer from lp join cl using (id) group by all"""
+_LAYERED = _CLUSTERS + """, ie as (select distinct src, dst from e join cl x on x.id = src join cl y on y.id = dst where src <> dst and x.cluster_id = y.cluster_id),
+ lp as (select id, 0 layer from cl where not is_orphan and id not in (select dst from ie) union select ie.dst, layer + 1 from lp join ie on ie.src = lp.id where layer < 60),
+ lay as (select id, cluster_id, cast(max(layer) as bigint) layer from lp join cl using (id) group by all)"""
+_LAYERS = _LAYERED + " from lay select *"
 
 
 @query("layers", views.duck("thin", _LAYERS))
@@ -312,7 +346,15 @@ def layers(spark, sf):
     return recursion.layers(n, e, _clusters(spark, sf))
 
 
-@query("layers_cyclic")
+_CYCLIC = _CLUSTERS + """, ie as (select distinct src, dst from e join cl x on x.id = src join cl y on y.id = dst where src <> dst and x.cluster_id = y.cluster_id),
+ tc as (select src a, dst b from ie union select tc.a, ie.dst from tc join ie on tc.b = ie.src), cyc as (select a from tc where a = b), bound as (select a id from cyc union select b from tc where a in (from cyc)),
+ lp as (select id, 0 layer from cl where not is_orphan and id not in (from bound) and id not in (select dst from ie) union select ie.dst, layer + 1 from lp join ie on ie.src = lp.id where ie.dst not in (from bound)),
+ fr as (select id, max(layer) layer from lp group by id), known as (from fr union all select dst, max(layer) + 1 from ie join fr on src = fr.id where dst in (from bound) group by dst),
+ last as (select cluster_id, max(layer) l from known join cl using (id) group by 1)
+ select id, cluster_id, cast(coalesce(layer, coalesce(l, 0) + 1) as bigint) layer from cl left join known using (id) left join last using (cluster_id) where not is_orphan"""
+
+
+@query("layers_cyclic", views.duck("sparse", _CYCLIC))
 def layers_cyclic(spark, sf):
     n, e = graph(spark, sf, "sparse")
     return recursion.layers(n, e, _clusters(spark, sf, "sparse"))
@@ -337,6 +379,48 @@ def k_hop(spark, sf):
     return recursion.k_hop(views.edges(spark, sf, "sparse"), 7, 3)
 
 
+@query("k_hop_far", views.duck("sparse", ORACLE["k_hop"].split(", o as ")[1].replace("depth < 3", "depth < 10").join([", o as ", ""])))
+def k_hop_far(spark, sf):
+    return recursion.k_hop(views.edges(spark, sf, "sparse"), 7, 10)
+
+
+# the loops that large graphs take, whatever the size here
+
+
+@query("reachable_loop", ORACLE["reachable"])
+def reachable_loop(spark, sf):
+    n, e = graph(spark, sf, "sparse")
+    return recursion.reachable(e, entry_ids(n), small=False)
+
+
+@query("components_loop", ORACLE["components_sparse"])
+def components_loop(spark, sf):
+    return recursion.components(*graph(spark, sf, "sparse"), small=False).fillna(-1, "root")
+
+
+@query("clusters_loop", ORACLE["clusters_thin"])
+def clusters_loop(spark, sf):
+    n, e = graph(spark, sf, "thin")
+    return recursion.clusters(n, e, entry_ids(n), small=False)
+
+
+@query("cycles_loop", ORACLE["call_cycles"])
+def cycles_loop(spark, sf):
+    return recursion.cycles(*graph(spark, sf, "sparse"), "call", small=False)
+
+
+@query("layers_loop", ORACLE["layers"])
+def layers_loop(spark, sf):
+    n, e = graph(spark, sf, "thin")
+    return recursion.layers(n, e, _clusters(spark, sf), small=False)
+
+
+@query("layers_cyclic_loop", ORACLE["layers_cyclic"])
+def layers_cyclic_loop(spark, sf):
+    n, e = graph(spark, sf, "sparse")
+    return recursion.layers(n, e, _clusters(spark, sf, "sparse"), small=False)
+
+
 @query("edge_ids", views.duck("sparse", r", g as (select distinct src, dst from e) select src, dst, replace(replace(rtrim(to_base64(cast(src as varchar)::blob || '\x00'::blob || cast(dst as varchar)::blob), '='), '+', '-'), '/', '_') edge_id from g"))
 def edge_ids(spark, sf):
     e = views.edges(spark, sf, "sparse").select("src", "dst").distinct()
@@ -372,6 +456,97 @@ def form_fields(spark, sf):
     return _type_rows(spark, sf).select("p_partkey", Y.form_field(F.col("t")).alias("field"))
 
 
+_STRING, _NUMBER = ({"kind": "primitive", "name": x} for x in ("string", "number"))
+
+
+def _property(name: str, t: dict, optional: bool = False) -> dict:
+    return {"name": name, "typeInfo": t, "isOptional": optional, "isReadonly": False}
+
+
+#: Every kind of type expression with its canonical and readable text and its form field, by hand.
+TYPES = (
+    (_NUMBER, "number", "number", '{"kind": "number", "name": "value", "label": "value", "required": true}'),
+    ({"kind": "literal", "value": "a"}, '"a"', '"a"', '{"kind": "select", "name": "value", "label": "value", "required": true, "options": ["a"]}'),
+    ({"kind": "array", "elementType": _STRING}, "string[]", "string[]", '{"kind": "textarea", "name": "value", "label": "value (JSON array)", "required": true}'),
+    ({"kind": "tuple", "elements": [_STRING, _NUMBER]}, "[string, number]", "[string, number]", '{"kind": "textarea", "name": "value", "label": "value (JSON tuple array)", "required": true}'),
+    ({"kind": "union", "members": [{"kind": "literal", "value": x} for x in ("b", "a")]}, '"a" | "b"', '"b" | "a"', '{"kind": "select", "name": "value", "label": "value", "required": true, "options": ["b", "a"]}'),
+    ({"kind": "union", "members": [_STRING, _NUMBER]}, "number | string", "string | number", '{"kind": "text", "name": "value", "label": "value (string | number)", "required": true}'),
+    ({"kind": "union", "members": [_STRING, {"kind": "array", "elementType": _NUMBER}]}, "number[] | string", "string | number[]", '{"kind": "textarea", "name": "value", "label": "value (union — enter JSON)", "required": true}'),
+    (
+        {"kind": "intersection", "members": [{"kind": "object", "properties": [_property("a", _STRING)]}, {"kind": "reference", "name": "Named", "typeArguments": []}]}, "Named & { a: string }", "{ a: string } & Named",
+        '{"kind": "fieldset", "name": "value", "label": "value", "required": true, "fields": [{"kind": "text", "name": "value.a", "label": "a", "required": true}, {"kind": "text", "name": "value._part1", "label": "value (part 2) (Named — enter JSON)", "required": true}]}',
+    ),
+    (
+        {"kind": "object", "properties": [_property("b", _NUMBER, True), _property("a", _STRING)]}, "{ a: string; b?: number }", "{ b?: number, a: string }",
+        '{"kind": "fieldset", "name": "value", "label": "value", "required": true, "fields": [{"kind": "number", "name": "value.b", "label": "b", "required": false}, {"kind": "text", "name": "value.a", "label": "a", "required": true}]}',
+    ),
+    ({"kind": "reference", "name": "Map", "typeArguments": [_STRING, _NUMBER]}, "Map<string, number>", "Map<string, number>", '{"kind": "text", "name": "value", "label": "value (Map — enter JSON)", "required": true}'),
+    ({"kind": "function", "parameters": [{"name": "x", "typeInfo": _STRING, "isOptional": False, "isRest": False}], "returnType": {"kind": "primitive", "name": "void"}}, "(x: string) => void", "(x: string) => void", '{"kind": "textarea", "name": "value", "label": "value (function — enter JSON or arrow expression)", "required": true}'),
+    ({"kind": "unknown", "raw": "T[K]"}, "T[K]", "T[K]", '{"kind": "textarea", "name": "value", "label": "value (T[K] — enter JSON)", "required": true}'),
+)
+
+
+@query("type_kinds", _values([r[1:] for r in TYPES], "canonical, readable, field"))
+def type_kinds(spark, sf):
+    t = F.col("t")
+    return _nations(spark, sf, [(json.dumps(r[0]),) for r in TYPES], "t string").select("n_nationkey", Y.canonical_type(t).alias("canonical"), Y.readable_type(t).alias("readable"), Y.form_field(t).alias("field"))
+
+
+_PARAMETERS = '[{"name":"a","typeInfo":{"kind":"array","elementType":{"kind":"primitive","name":"%s"}},"isOptional":false,"isRest":false},{"name":"b","typeInfo":{"kind":"literal","value":"%s"},"isOptional":true,"isRest":false}]'
+
+
+@query("signatures", """select p_partkey, case p_size % 2 when 0 then 'string' else 'number' end || '[], "' || p_brand || '"' signature,
+ '{"functionId": "f", "functionName": "f", "fields": [{"kind": "textarea", "name": "a", "label": "a (JSON array)", "required": true}, {"kind": "select", "name": "b", "label": "b", "required": false, "options": ["' || p_brand || '"]}]}' form from part""")
+def signatures(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet").withColumn("p", F.format_string(_PARAMETERS, F.when(F.col("p_size") % 2 == 0, "string").otherwise("number"), "p_brand"))
+    return p.select("p_partkey", Y.parameter_signature(F.col("p")).alias("signature"), Y.function_form(F.lit("f"), F.lit("f"), F.col("p")).alias("form"))
+
+
+@query("body_classes", "select p_partkey id, min(p_partkey) over (partition by p_brand) first_alike from part")
+def body_classes(spark, sf):
+    """Functions that differ in names and literals, and in the brand that they call: equal structural hashes, equal brands."""
+    k, brand = F.col("p_partkey").cast("string"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_")
+    text = F.concat(F.lit("function f"), k, F.lit("(a"), k, F.lit(", b) {\n  const c"), k, F.lit(" = a"), k, F.lit(" + "), k, F.lit("; // "), k, F.lit("\n  return "), brand, F.lit("(c"), k, F.lit(", '"), k, F.lit("', b);\n}\n"))
+    p = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.concat(F.lit("p"), k, F.lit(".ts")).alias("file_path"), text.alias("text"))
+    alike = extract.bodies(p).select(F.regexp_extract("id", r"^p(\d+)\.ts#", 1).cast("long").alias("id"), "body")
+    first = alike.groupBy("body").agg(F.min("id").alias("first_alike"))
+    return alike.join(first, "body").select("id", "first_alike")
+
+
+def _sources(spark, sf) -> DataFrame:
+    """One made file a customer, each importing and calling the next customer's."""
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey")
+    k = F.col("c_custkey").cast("string")
+    n = ((F.col("c_custkey") + 1) % F.lit(c.count())).cast("string")
+    text = F.concat(F.lit("import { f"), n, F.lit(" } from './c"), n, F.lit(".js';\nexport interface I"), k, F.lit(" { a: string }\nclass K"), k, F.lit(" implements I"), k, F.lit(" { a = ''; }\nexport function f"), k, F.lit("(x: I"), k, F.lit("): number {\n  return f"), n, F.lit("(x);\n}\n"))
+    return c.select(F.concat(F.lit("src/c"), k, F.lit(".ts")).alias("file_path"), text.alias("text"))
+
+
+_SOURCES = "with m as (select count(*) m from customer), c as (select c_custkey k, (c_custkey + 1) % m n, 'src/c' || c_custkey || '.ts#' p, 'src/c' || ((c_custkey + 1) % m) || '.ts#' q from customer, m) "
+
+
+@query("extract_nodes", _SOURCES + "select p || 'module:c' || k id, 'module' kind, 'c' || k as name, 0 line, true is_exported from c union all select p || 'interface:I' || k, 'interface', 'I' || k, 2, true from c union all select p || 'class:K' || k, 'class', 'K' || k, 3, false from c union all select p || 'function:f' || k, 'function', 'f' || k, 4, true from c")
+def extract_nodes(spark, sf):
+    return extract.graph(_sources(spark, sf))[0].select("id", "kind", "name", "line", "is_exported")
+
+
+@query("extract_edges", _SOURCES + "select 'import' kind, p || 'module:c' || k src, q || 'module:c' || n dst, cast(null as int) line, 'f' || n as names from c union all select 'inherits', p || 'class:K' || k, p || 'interface:I' || k, null, null from c union all select 'references', p || 'function:f' || k, p || 'interface:I' || k, null, null from c union all select 'call', p || 'function:f' || k, q || 'function:f' || n, 5, null from c")
+def extract_edges(spark, sf):
+    return extract.graph(_sources(spark, sf))[1].select("kind", "src", "dst", "line", F.array_join("imported_names", ",").alias("names"))
+
+
+@query("escapes", r"""select doc_id, replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(13), '\r'), chr(10), '\n') dot, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') html from documents""")
+def escapes(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", S.escape_dot(F.col("text")).alias("dot"), S.escape_html(F.col("text")).alias("html"))
+
+
+@query("path_parts", views.duck(None, r" select id, split_part(file_path, '/n', 1) folder, 'n' || split_part(file_path, '/n', 2) file, '.ts' extension, file_path || '#' || kind || ':' || name node, kind || ':' || split_part(name, '#', 2) label, '/p/' || file_path full_path from n").replace("kind || ':' || split_part(name, '#', 2) label", "split_part(name, '#', 2) label"))
+def path_parts(spark, sf):
+    p, node = F.col("file_path"), S.node_id(F.col("file_path"), F.col("kind"), F.col("name"))
+    return views.nodes(spark, sf).select("id", S.dirname(p).alias("folder"), S.basename(p).alias("file"), S.extname(p).alias("extension"), node.alias("node"), S.node_label(node).alias("label"), S.absolute(F.concat(F.lit("./x/../"), p), "/p").alias("full_path"))
+
+
 @query("graph_roundtrip", views.duck("thin", " select id, file_path || '#module:' || name node_key, (select count(*) from e where src = id) calls from n where kind = 'module'"))
 def graph_roundtrip(spark, sf, view="thin"):
     """The view's modules and their outgoing edges, through a JSON document and back."""
@@ -390,14 +565,24 @@ def graph_roundtrip(spark, sf, view="thin"):
     return back.nodes.join(counts, "node_key", "left").join(modules.select("id", "node_key").withColumnRenamed("id", "number"), "node_key").select(F.col("number").alias("id"), "node_key", F.coalesce("calls", F.lit(0)).alias("calls"))
 
 
-@query("dot_edges", views.duck("sparse", _GROUPS.replace("select distinct src, dst, edge_count, dominant_kind, first_seq from p", r""", q as (select distinct src, dst, edge_count, dominant_kind, first_seq from p)
+_DOT = _GROUPS.replace("select distinct src, dst, edge_count, dominant_kind, first_seq from p", r""", q as (select distinct src, dst, edge_count, dominant_kind, first_seq from p)
  select 4 section, first_seq a, cast(0 as bigint) b, '  "' || src || '" -> "' || dst || '" [id="' || replace(replace(rtrim(to_base64(cast(src as varchar)::blob || '\x00'::blob || cast(dst as varchar)::blob), '='), '+', '-'), '/', '_') || '", weight=' ||
- case dominant_kind when 'call' then 4 when 'inherits' then 3 when 'import' then 2 else 1 end || case when edge_count > 1 then ', label="×' || edge_count || '"' else '' end || '];' line from q""")))
+ case dominant_kind when 'call' then '4, style=solid' when 'inherits' then '3, style=bold' when 'import' then '2, style=dashed' else '1, style=dotted' end || case when edge_count > 1 then ', label="×' || edge_count || '"' else '' end || '];' line from q""")
+_DOT_LINES = _LAYERED + """, rk as (select distinct cluster_id, label, has_entrypoint, is_orphan, case when has_entrypoint then 0 when is_orphan then 2000000000 else 1000000000 end + coalesce(try_cast(regexp_extract(cluster_id, '[0-9]+$') as bigint), 0) a from cl),
+ pl as (select n.*, cl.is_orphan, a, lay.layer from cl join rk using (cluster_id) join n using (id) left join lay using (id))
+ select 1 section, a, cast(-2 as bigint) b, '  subgraph cluster_' || cluster_id || ' { label="' || label || '"' || case when is_orphan then '; style=dashed' else '' end || ';' line from rk
+ union all select 1, a, cast(1152921504606846976 as bigint), '  }' from rk
+ union all select 1, a, cast(coalesce(layer, 0) * 4000000000 + node_seq + 1 as bigint), '    "' || id || '" [label="' || name || '", class="' || kind || '"' || case when file_path = '""" + views.ENTRY_FILE + """' then ', penwidth=3' else '' end || '];' from pl
+ union all select 1, a, cast(layer * 4000000000 as bigint), '    { rank=same; ' || string_agg('"' || id || '"', '; ' order by node_seq) || '; }' from pl where not is_orphan group by a, layer having count(*) > 1
+ union all from (with""" + _DOT.removeprefix(",") + ")"
+
+
+@query("dot_edges", views.duck("sparse", _DOT))
 def dot_edges(spark, sf):
     return report.dot_edges(views.edges(spark, sf, "sparse"))
 
 
-@query("dot_lines")
+@query("dot_lines", views.duck("thin", _DOT_LINES))
 def dot_lines(spark, sf):
     n, e = graph(spark, sf, "thin")
     return report.dot_lines(n, e, entry_ids(n))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 NODES = """select c_custkey id, c_custkey node_seq, c_name name,
        case c_mktsegment when 'BUILDING' then 'function' when 'AUTOMOBILE' then 'class' when 'FURNITURE' then 'interface'
                          when 'MACHINERY' then 'typeAlias' else 'module' end kind,
-       concat(case when c_nationkey % 5 = 4 then 'tests/' else 'src/' end, 'n', cast(c_nationkey as varchar(9)), '.ts') file_path
+       concat(case c_nationkey when 4 then 'tests/' when 9 then 'lib/fixtures/' when 14 then 'mocks/' when 19 then 'src/__mocks__/' when 24 then 'src/__tests__/' else 'src/' end,
+              'n', cast(c_nationkey as varchar(9)), case c_nationkey when 5 then '.fixture' when 6 then '.mock' when 7 then '.spec' else '' end, '.ts') file_path
 from {customer}"""
 
 _EDGES = """select o_orderkey edge_seq, o_custkey src, cast({dst} % (select count(*) from {{customer}}) as bigint) dst,
