@@ -1,4 +1,10 @@
-"""Documents through quality rules, quality classifier, near-duplicate removal and packing."""
+"""Documents through quality rules, quality classifier, near-duplicate removal and packing.
+
+Each stage reads what the one before it wrote. The first three return the columns of documents and drop rows only; packing returns one row a piece.
+
+Defined results: null and empty texts fail the quality rules and so are in no sequence; a row with a null id passes on its text alone; of repeated rows one is left (near-duplicate
+removal); further columns, whatever their names, are kept up to packing and have no effect; without labels the rules keep what passes the base rule and the classifier, whose score then
+is 0.5, keeps nothing; an empty table gives no rows."""
 
 from __future__ import annotations
 
