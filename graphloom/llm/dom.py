@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -23,17 +24,19 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 _SCOPE = frozenset("ul ol dl table div section article main aside nav form body td th header footer".split())
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
     tag: str
     words: frozenset = frozenset()  # of class, id, role and hidden attributes
+    parent: Element | None = None
+    context: object = None  # what a reader keeps about the element and its ancestors
 
 
 @dataclass
 class Block:
     text: str
     start: int  # of its first text in the source
-    path: tuple[Element, ...]
+    element: Element | None  # the innermost that holds it
     linked: int = 0  # characters inside links
     parts: list = field(default_factory=list)
 
@@ -67,6 +70,7 @@ def blocks(html: str) -> list[Block]:
     path: list[Element] = []
     now: Block | None = None
     hidden = links = 0
+    opened: Counter = Counter()  # tags on the path
     at = 0
 
     def text(a: int, b: int) -> None:
@@ -81,7 +85,7 @@ def blocks(html: str) -> list[Block]:
         if now is None:
             if not piece.strip():
                 return
-            now = Block("", a, tuple(path))
+            now = Block("", a, path[-1] if path else None)
         now.parts.append(piece)
         if links:
             now.linked += len(piece)
@@ -98,6 +102,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal hidden, links
         while len(path) > to:
             e = path.pop()
+            opened[e.tag] -= 1
             hidden -= e.tag in HIDDEN
             links -= e.tag == "a"
 
@@ -120,12 +125,13 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK:
                 close()
-            for i in range(len(path) - 1, -1, -1):
+            for i in range(len(path) - 1, -1, -1) if opened[tag] else ():
                 if path[i].tag == tag:
                     if tag in BLOCK or not any(e.tag in BLOCK for e in path[i + 1 :]):
                         pop(i)
                     else:  # an inline element that was left open inside blocks
                         e = path.pop(i)
+                        opened[tag] -= 1
                         links -= e.tag == "a"
                     break
             continue
@@ -135,9 +141,10 @@ def blocks(html: str) -> list[Block]:
             leave_head()
         if tag in BLOCK:
             close()
-            for i in range(len(path) - 1, -1, -1):
+            ended = {"p"} | CLOSES.get(tag, set())
+            for i in range(len(path) - 1, -1, -1) if any(opened[t] for t in ended) else ():
                 t = path[i].tag
-                if t == "p" or t in CLOSES.get(tag, ()):
+                if t in ended:
                     pop(i)
                     break
                 if t in _SCOPE:
@@ -152,7 +159,8 @@ def blocks(html: str) -> list[Block]:
             stop = re.compile(rf"</{tag}\s*[^>]*>|\Z", re.IGNORECASE).search(html, at)
             at = max(stop.end(), at)
             continue
-        path.append(Element(tag, _words(m[3])))
+        path.append(Element(tag, _words(m[3]), path[-1] if path else None))
+        opened[tag] += 1
         hidden += tag in HIDDEN
         links += tag == "a"
     close()

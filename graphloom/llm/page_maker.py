@@ -100,14 +100,14 @@ class PageMaker:
     def content(self) -> str:
         text = self.inline(self.one(self.prose(1, 8), self.prose(1, 3), self.sentence(), self.words(1, 12)))
         return self.one(
-            f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p><b>{text}<br>", f"<div>{text}</div>", f'<p class="{self.one("lead", "text", "intro", self.word())}">{text}</p>',
+            f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<p>{text}<br></p>", f"<div>{text}</div>", f'<p class="{self.one("lead", "text", "intro", self.word())}">{text}</p>',
             f"<h{self.one(2, 3, 4)}>{self.words(1, 8)}</h{self.one(2, 3)}>", f"<blockquote>{self.one(f'<p>{text}</p>', text)}</blockquote>", "<ul>" + "".join(f"<li>{self.inline(self.sentence())}</li>" for _ in range(self.r.randrange(1, 6))) + "</ul>",
             f"<pre>{self.words(3, 20)}</pre>", f"<table><tr><td>{self.words(1, 5)}</td><td>{self.words(1, 5)}</td></tr></table>", f"<figure><img src=x><figcaption>{self.sentence()}</figcaption></figure>",
         )
 
     def page(self) -> tuple[str, list[tuple[int, int]]]:
         """(html, spans of the article)."""
-        parts: list[tuple[str, bool]] = [(f'<!DOCTYPE html><html lang="xx"><head><title>{self.words(1, 9)}</title><style>p{{margin:0}}</style><script>var t="</p>";</script>{"</head>" if self.heads.random() < 0.8 else ""}<body>', False)]
+        parts: list[tuple[str, bool]] = [(f'<!DOCTYPE html><html lang="xx"><head><title>{self.words(1, 9)}</title><style>b{{color:red}}</style><script>let k = 1 < 2, m = "</i>";</script>{"</head>" if self.heads.random() < 0.8 else ""}<body>', False)]
         add = lambda html, main=False: parts.append((html, main))
         for make in (self.notice, self.header, self.menu, self.advert, self.side, self.form, self.notice):
             if self.chance(0.4):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.dom import Block, blocks
+from graphloom.llm.dom import Block, Element, blocks
 from graphloom.llm.page_maker import PageMaker
 
 TRAIN_PAGES, SEED = 800, 404
@@ -49,23 +49,42 @@ def _bucket(n: int) -> int:
     return min(9, n.bit_length())
 
 
+@dataclass
+class Context:
+    """What an element's own and its ancestors' tags and roles tell; children share what they don't change."""
+
+    tags: frozenset = frozenset()
+    roles: frozenset = frozenset()
+    near: tuple = ()  # the two innermost known tags
+    inner: tuple = ("-",)  # roles of the innermost element that has any
+    shell: str = "-"
+
+
+def _context(element: Element | None) -> Context:
+    """Carried down from the nearest ancestor whose context is known, so each element is visited once."""
+    todo = []
+    while element is not None and element.context is None:
+        todo.append(element)
+        element = element.parent
+    out = Context() if element is None else element.context
+    for e in reversed(todo):
+        roles = frozenset(_ROLE[w] for w in e.words if w in _ROLE)
+        known = e.tag in _TAGS
+        tags = out.tags if not known or e.tag in out.tags else out.tags | {e.tag}
+        out = Context(tags, out.roles if roles <= out.roles else out.roles | roles, (*out.near, e.tag)[-2:] if known else out.near, tuple(sorted(roles)) or out.inner, e.tag if e.tag in _SHELLS else out.shell)
+        e.context = out
+    return out
+
+
 def features(page: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     own = []
     for b in page:
         f = []
-        roles, tags = set(), set()
-        for e in b.path:
-            if e.tag in _TAGS:
-                tags.add(e.tag)
-            for w in e.words:
-                r = _ROLE.get(w)
-                if r:
-                    roles.add(r)
-        near = [e.tag for e in b.path if e.tag in _TAGS]
-        inner = next((sorted({_ROLE[w] for w in e.words if w in _ROLE}) for e in reversed(b.path) if any(w in _ROLE for w in e.words)), ["-"])
-        f += [f"inner:{r}" for r in inner]
-        f.append("shell:" + next((t for t in reversed(near) if t in _SHELLS), "-"))
+        here = _context(b.element)
+        roles, tags, near = here.roles, here.tags, here.near
+        f += [f"inner:{r}" for r in here.inner]
+        f.append(f"shell:{here.shell}")
         f += [f"in:{t}" for t in tags]
         f += [f"role:{r}" for r in roles]
         f.append(f"tag:{near[-1] if near else '-'}")
@@ -88,15 +107,16 @@ def features(page: list[Block]) -> list[list[str]]:
             f.append("copyright")
         if not any(c.isalpha() for c in b.text):
             f.append("no letters")
-        own.append((f, roles, tags, b.path))
+        own.append((f, roles, b.element))
     out = []
-    for i, (f, roles, _, path) in enumerate(own):
+    for i, (f, _, element) in enumerate(own):
         f = list(f)
         if i == 0:
             f.append("first")
         else:
             f += [f"before:role:{r}" for r in own[i - 1][1]]
-            f.append("same parent" if len(path) == len(own[i - 1][3]) and all(a is b for a, b in zip(path[:-1], own[i - 1][3][:-1])) else "new parent")
+            before = own[i - 1][2]
+            f.append("same parent" if element is before or element and before and element.parent is before.parent else "new parent")
         if i + 1 == len(own):
             f.append("last")
         else:

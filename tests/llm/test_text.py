@@ -173,6 +173,62 @@ def test_chat(spark):
     assert chat.digests(c.limit(0)).count() == 0
 
 
+def test_texts_longer_than_a_chunk(spark, monkeypatch):
+    """Long texts are encoded in pieces and runs; the result is that of the whole."""
+    r = random.Random(17)
+    text = "".join(r.choices(["many ", "Words,", " of é ", "\n\n", "日本 ", "  x", "don't. "], k=400_000))
+    assert len(text.encode()) > 2 * (1 << 20)
+    a, b = packing.encoder(packing.tokenizer_path()), pieces.encoder(pieces.model_path())
+    for module in (packing, pieces):
+        monkeypatch.setattr(module, "LONG", 1 << 16)
+    monkeypatch.setattr(pieces, "RUN", 1 << 12)
+    monkeypatch.setattr(jpeg, "RUN", 24 * 8184)
+    [(_, ids, _)] = a.texts(pa.array([text]))
+    assert ids.tolist() == [*a.tokenizer.encode(text, add_special_tokens=False).ids, packing.END]
+    [(_, ids, _)] = b.texts(pa.array([text]))
+    want = b.library.encode(text)
+    assert ids.tolist() == want
+    assert b.digest(ids) == (hashlib.sha256(",".join(map(str, want)).encode()).hexdigest(), hashlib.sha256(b.library.decode(want).encode()).hexdigest())
+    [(_, texts, stored, thumbs)] = jpeg._stored(pa.array([text]))
+    p = jpeg.payload(text.encode())
+    assert stored == jpeg.encode([p]) and b"".join(x.tobytes() for _, _, x in thumbs[0]) == p
+    monkeypatch.undo()
+    d = spark.createDataFrame([(1, text), (2, text), (3, "a")], "doc_id long, text string")
+    assert {x["doc_id"]: x["n_tokens"] for x in pieces.digests(d).collect()} == {1: len(want), 2: len(want), 3: 1}
+    assert packing.pack(d).agg({"length": "sum"}).first()[0] == 2 * (len(a.tokenizer.encode(text, add_special_tokens=False).ids) + 1) + 2
+
+
+def test_damaged_scans():
+    r = np.random.default_rng(4)
+    [good] = jpeg.encode([jpeg.payload(r.integers(0, 256, 20_000, dtype=np.uint8).tobytes())])
+    cut = [good[: len(good) * k // 10] for k in range(1, 10)]
+    over = [good[:k] + bytes(700) + good[k + 700 :] for k in (1000, 5000, 9000)]
+    assert jpeg.thumbnails([*cut, *over, good])[:-1] == [None] * 12 and jpeg.thumbnails([*cut, good])[-1] is not None
+
+
+def block_oracle(data):
+    """Bytes of a stream of flat blocks, by reading its bits one by one."""
+    out, i = [], data.index(b"\xff\xda") + 10
+    codes = {(length, code): symbol for symbol, (code, length) in jpeg._codes(jpeg.DC_BITS, jpeg.DC_SYMBOLS).items()}
+    for row in re.split(rb"\xff[\xd0-\xd9]", data[i:])[:-1]:
+        bits, at, value = "".join(f"{b:08b}" for b in row.replace(b"\xff\0", b"\xff")), 0, 128
+        for _ in range(jpeg.ACROSS):
+            size = next(n for n in range(1, 17) if (n, int(bits[at : at + n], 2)) in codes)
+            length = codes[size, int(bits[at : at + size], 2)]
+            extra = bits[at + size : at + size + length]
+            value += 0 if not length else int(extra, 2) if extra[0] == "1" else int(extra, 2) - (1 << length) + 1
+            at += size + length + 1  # the end of the block is one bit
+            out.append(value)
+    return bytes(out)
+
+
+def test_stream_bit_by_bit():
+    r = np.random.default_rng(6)
+    for n in (1, 576, 3000):
+        p = jpeg.payload(r.integers(0, 256, n, dtype=np.uint8).tobytes())
+        assert block_oracle(jpeg.encode([p])[0]) == p
+
+
 def test_word_table_smaller_than_a_text():
     """More distinct words at once than the table holds."""
     r = np.random.default_rng(5)
