@@ -14,7 +14,7 @@ WEIGHTS = {"call": 4, "inherits": 3, "import": 2, "references": 1}
 STYLES = {"call": "solid", "inherits": "bold", "import": "dashed", "references": "dotted"}
 
 
-def findings(nodes: DataFrame, edges: DataFrame, entry_ids: DataFrame, functions: DataFrame | None = None, dead: bool = True, god: bool = True, copies: bool = True, coupling: bool = True, fan_out: int = degree.FAN_OUT, fan_in: int = degree.FAN_IN, least_cycle: int = 2) -> dict[str, DataFrame]:
+def findings(nodes: DataFrame, edges: DataFrame, entry_ids: DataFrame, functions: DataFrame | None = None, dead: bool = True, god: bool = True, copies: bool = True, coupling: bool = True, cycles: bool = True, fan_out: int = degree.FAN_OUT, fan_in: int = degree.FAN_IN, least_cycle: int = 2) -> dict[str, DataFrame]:
     """Every section as a table; sections that aren't asked for are empty. Nothing runs until a table is read, but for the closures' loops."""
     reached = recursion.reachable(edges, entry_ids)
     out = {
@@ -28,7 +28,7 @@ def findings(nodes: DataFrame, edges: DataFrame, entry_ids: DataFrame, functions
     }
     if functions is not None:
         out["duplicates"] = duplicates.duplicates(functions)
-    for name, wanted in (("dead", dead), ("god", god), ("coupling", coupling), ("duplicates", copies)):
+    for name, wanted in (("dead", dead), ("god", god), ("coupling", coupling), ("duplicates", copies), ("import_cycles", cycles), ("call_cycles", cycles)):
         if not wanted and name in out:
             out[name] = out[name].limit(0)
     return out
@@ -43,8 +43,8 @@ def _table(df: DataFrame, columns: list[str], order: list, most: int) -> list[st
     return [*out, *(["", f"(the first {most})"] if len(rows) > most else []), ""]
 
 
-def markdown(found: dict[str, DataFrame], caps: dict[str, int] | None = None) -> str:
-    """A summary of the findings; only the rows shown reach the driver."""
+def markdown(found: dict[str, DataFrame], caps: dict[str, int] | None = None, snippets: DataFrame | None = None) -> str:
+    """A summary of the findings; only the rows shown reach the driver. snippets: file_path, target, listing."""
     caps = CAPS | (caps or {})
     o = found["overview"].first().asDict()
     lines = ["# Graph report", "", "## Overview", "", *[f"- {k}: {v}" for k, v in o.items()], ""]
@@ -66,6 +66,9 @@ def markdown(found: dict[str, DataFrame], caps: dict[str, int] | None = None) ->
     rigid = found["coupling"].where("verdict = 'stable-concrete' AND ca >= 3").orderBy(F.desc("ca"), "node_seq").limit(5).collect()
     if rigid:
         lines += ["## Depended upon, but concrete", "", *[f"- {r['name']} ({r['ca']} dependents)" for r in rigid], ""]
+    if snippets is not None:
+        for r in snippets.orderBy("file_path", "target").collect():
+            lines += [f"### {r['file_path']}:{r['target']}", "", "```", r["listing"], "```", ""]
     questions = [q for q, there in (("Which edge of each import cycle could be turned around?", not found["import_cycles"].isEmpty()), ("Which unreached code can go?", not found["dead"].isEmpty()), ("Which of the most connected nodes should be split?", not found["god"].isEmpty())) if there]
     return "\n".join([*lines, *(["## Questions", "", *[f"- {q}" for q in questions], ""] if questions else [])])
 

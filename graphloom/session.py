@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,18 +23,53 @@ class GraphSession:
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> GraphSession:
+        """A stored graph; sources are read from its root, where that is there."""
         g = graph_json.read_graph(spark, path)
-        return cls(g.nodes, g.edges, g.entrypoints.select("path"), g.meta.first()["project_root"])
+        root = g.meta.first()["project_root"]
+        return cls(g.nodes, g.edges, g.entrypoints.select("path"), root, cls._sources(spark, root).persist() if os.path.isdir(root) else None)
 
-    @classmethod
-    def scan(cls, spark: SparkSession, root: str, explicit: list[str] | None = None) -> GraphSession:
-        """Extracts the graph of the sources below root."""
+    @staticmethod
+    def _sources(spark: SparkSession, root: str) -> DataFrame:
         found = filters.source_files(sources.scan(spark, root, (".ts", ".tsx")), root)
-        files = found.select(F.substr("path", F.lit(len(root.rstrip("/")) + 2)).alias("file_path"), "text").persist()
+        return found.select(F.substr("path", F.lit(len(root.rstrip("/")) + 2)).alias("file_path"), "text")
+
+    @classmethod
+    def scan(cls, spark: SparkSession, root: str, explicit: list[str] | None = None, config: str | None = None) -> GraphSession:
+        """Extracts the graph of the sources below root. Entrypoints: explicit ones, else those of the project's configuration, which must be there."""
+        root = os.path.abspath(root)
+        holds = sources.configured(sources.config_path(root, config))
+        files = cls._sources(spark, root).persist()
         nodes, edges = extract.graph(files)
-        names = sorted(r["file_path"] for r in files.select("file_path").collect())
-        entries = spark.createDataFrame([(p,) for p in extract.entrypoints(names, explicit)], "path string")
-        return cls(nodes, edges, entries, root, files)
+        names = [r["file_path"] for r in files.select("file_path").orderBy("file_path").toLocalIterator()]
+        entries = extract.entrypoints(names, explicit, [f for f in names if holds(os.path.join(root, f))])
+        return cls(nodes, edges, spark.createDataFrame([(p,) for p in entries], "path string"), root, files)
+
+    def close(self) -> None:
+        """Releases what is kept in memory."""
+        for df in (self.nodes, self.edges, self.files):
+            if df is not None:
+                df.unpersist()
+
+    def __enter__(self) -> GraphSession:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
+
+    def functions(self) -> DataFrame:
+        """id, name, file_path, node_seq, signature (canonical parameter types), body (structural hash; null without sources): what duplicates are found by."""
+        f = self.nodes.where("kind = 'function'")
+        parameters = F.get_json_object("doc", "$.parameters")
+        f = f.withColumn("signature", F.when(parameters != "[]", Y.parameter_signature(parameters)))
+        if "body" not in f.columns:
+            f = f.join(extract.bodies(self.files), "id", "left") if self.files is not None else f.withColumn("body", F.lit(None).cast("string"))
+        return f.select("id", "name", "file_path", "node_seq", "signature", "body")
+
+    def problems(self) -> DataFrame:
+        """Statements of the sources that end before they are complete."""
+        if self.files is None:
+            raise LookupError("the sources aren't there")
+        return extract.problems(self.files)
 
     def entry_ids(self) -> DataFrame:
         return filters.entrypoint_nodes(self.nodes, self.entrypoints, self.root).select("id")
@@ -50,14 +86,30 @@ class GraphSession:
     def node(self, node: str) -> DataFrame:
         return self.nodes.where(F.col("id") == node)
 
+    def _with_context(self, found: DataFrame, radius: int = 3) -> DataFrame:
+        """Edges with what there is to see of them: imported names, and the lines around a call (context, by line)."""
+        if self.files is None or "line" not in found.columns:
+            return found.withColumn("context", F.lit(None).cast("array<struct<line:int,content:string>>"))
+        at = self.nodes.select(F.col("id").alias("src"), "file_path")
+        calls = found.where("kind = 'call'").select("src", "line").distinct().join(at, "src")
+        lines = filters.source_window(self.files, calls.select("file_path", "line").distinct(), radius)
+        around = lines.groupBy("file_path", "target").agg(F.array_sort(F.collect_list(F.struct("line", "content"))).alias("context"))
+        shown = calls.join(around.withColumnRenamed("target", "line"), ["file_path", "line"]).select("src", "line", F.lit("call").alias("kind"), "context")
+        return found.join(shown, ["src", "line", "kind"], "left").select(*found.columns, "context")
+
+    def _known(self, node: str) -> None:
+        if self.node(node).isEmpty():
+            raise LookupError(f"no node {node}")
+
     def node_edges(self, node: str) -> DataFrame:
-        return filters.node_edges(self.edges, node)
+        self._known(node)
+        return self._with_context(filters.node_edges(self.edges, node))
 
     def edges_between(self, src: str, dst: str) -> DataFrame:
         found = filters.edges_between(self.edges, src, dst)
         if found.isEmpty():
             raise LookupError(f"no edge from {src} to {dst}")
-        return found
+        return self._with_context(found)
 
     def call_paths(self, node: str) -> DataFrame:
         return recursion.call_paths(self.edges, node)
@@ -93,7 +145,18 @@ class GraphSession:
         return report.dot(report.dot_lines(nodes, edges, self.entry_ids()))
 
     def report(self, **options) -> dict[str, DataFrame]:
-        return report.findings(self.nodes, self.edges, self.entry_ids(), **options)
-
-    def markdown(self, **options) -> str:
-        return report.markdown(self.report(**options))
+        return report.findings(self.nodes, self.edges, self.entry_ids(), self.functions(), **options)
+
+    def snippets(self, nodes: DataFrame, radius: int) -> DataFrame:
+        """file_path, target, listing: the source around nodes (file_path, line)."""
+        wanted = nodes.where("line IS NOT NULL").select("file_path", "line").distinct()
+        return filters.source_text(filters.source_window(self.files, wanted, radius))
+
+    def markdown(self, context_lines: int = 0, caps: dict[str, int] | None = None, **options) -> str:
+        """The report; with context_lines, and sources, the source around the most connected nodes that it names."""
+        found = self.report(**options)
+        shown = None
+        if context_lines and self.files is not None:
+            top = found["god"].orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "node_seq").limit((report.CAPS | (caps or {}))["god"])
+            shown = self.snippets(top.select("id").join(self.nodes, "id"), context_lines)
+        return report.markdown(found, caps, shown)

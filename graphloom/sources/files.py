@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import posixpath
+import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,3 +102,62 @@ def read_config(path: str) -> dict:
         return json.loads("".join(out))
     except ValueError as e:
         raise FileError("PARSE_ERROR", path) from e
+
+
+class ConfigError(Exception):
+    """code: TSCONFIG_NOT_FOUND or INVALID_TSCONFIG."""
+
+    def __init__(self, code: str, path: str, reason: str = ""):
+        super().__init__(f"{code}: {path} {reason}".rstrip())
+        self.code, self.path = code, path
+
+
+def config_path(root: str, explicit: str | None = None) -> str:
+    """The named project configuration, or the nearest tsconfig.json from root upwards."""
+    path = os.path.abspath(explicit) if explicit else find_upward(root, "tsconfig.json")
+    if path is None or not os.path.isfile(path):
+        raise ConfigError("TSCONFIG_NOT_FOUND", path or root)
+    return path
+
+
+def _pattern(glob: str) -> str:
+    """A regular expression for a pattern of the configuration: ** is any number of folders, * and ? stay in one name; a folder stands for all below it."""
+    glob = posixpath.normpath(glob)
+    last = glob.rsplit("/", 1)[-1]
+    if "*" not in last and "?" not in last and "." not in last:
+        glob += "/**/*"
+    out = re.escape(glob).replace(r"\*\*/", "(?:[^/]+/)*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    return out
+
+
+def configured(path: str, seen: tuple[str, ...] = ()) -> Callable[[str], bool]:
+    """Whether a file (absolute) belongs to the project that the configuration describes: what `files` names, and what `include` matches and `exclude` doesn't; without both, all below it.
+    What it doesn't say comes from the configuration that it extends."""
+    try:
+        config = read_config(path)
+    except FileError as e:
+        raise ConfigError("INVALID_TSCONFIG", path) from e
+    lists = {k: config.get(k) for k in ("files", "include", "exclude")}
+    if not isinstance(config, dict) or any(v is not None and not (isinstance(v, list) and all(isinstance(x, str) for x in v)) for v in lists.values()):
+        raise ConfigError("INVALID_TSCONFIG", path, "files, include and exclude are lists of text")
+    folder = os.path.dirname(path)
+    base = config.get("extends")
+    if isinstance(base, str) and base.startswith(".") and path not in seen and lists["files"] is None and lists["include"] is None:
+        above = os.path.normpath(os.path.join(folder, base if base.endswith(".json") else base + ".json"))
+        if not os.path.isfile(above):
+            raise ConfigError("INVALID_TSCONFIG", path, f"{base} isn't there")
+        if any(read_config(above).get(k) is not None for k in ("files", "include")):
+            return configured(above, (*seen, path))
+    named = {os.path.normpath(os.path.join(folder, f)) for f in lists["files"] or []}
+    include = lists["include"] if lists["include"] is not None else [] if lists["files"] is not None else ["**/*"]
+    out_dir = (config.get("compilerOptions") or {}).get("outDir")
+    exclude = lists["exclude"] if lists["exclude"] is not None else ["**/node_modules", "**/bower_components", "**/jspm_packages", *([out_dir] if isinstance(out_dir, str) else [])]
+    wanted, unwanted = ([re.compile(_pattern(g)) for g in globs] for globs in (include, exclude))
+
+    def holds(file: str) -> bool:
+        if file in named:
+            return True
+        inside = posixpath.relpath(file, folder)
+        return any(p.fullmatch(inside) for p in wanted) and not any(p.fullmatch(inside) for p in unwanted)
+
+    return holds
