@@ -93,9 +93,11 @@ def read_config(path: str) -> dict:
             i = text.find("\n", i) if "\n" in text[i:] else len(text)
         elif text.startswith("/*", i):
             i = text.find("*/", i) + 2 if "*/" in text[i:] else len(text)
-        elif text[i] == "," and text[i + 1 :].lstrip()[:1] in ("}", "]"):
-            i += 1
         else:
+            if text[i] in "}]":  # a comma before it, with only space and comments between, is dropped
+                last = next((k for k in range(len(out) - 1, -1, -1) if not out[k].isspace()), -1)
+                if last >= 0 and out[last] == ",":
+                    del out[last]
             out.append(text[i])
             i += 1
     try:
