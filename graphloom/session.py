@@ -20,6 +20,7 @@ class GraphSession:
 
     def __init__(self, nodes: DataFrame, edges: DataFrame, entrypoints: DataFrame, root: str = "/", files: DataFrame | None = None):
         self.nodes, self.edges, self.entrypoints, self.root, self.files = nodes.persist(), edges.persist(), entrypoints, root, files
+        self._entries: DataFrame | None = None
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> GraphSession:
@@ -72,7 +73,10 @@ class GraphSession:
         return extract.problems(self.files)
 
     def entry_ids(self) -> DataFrame:
-        return filters.entrypoint_nodes(self.nodes, self.entrypoints, self.root).select("id")
+        """Written once: every closure starts from them."""
+        if self._entries is None:
+            self._entries = recursion.cut(filters.entrypoint_nodes(self.nodes, self.entrypoints, self.root).select("id"))
+        return self._entries
 
     def stats(self) -> DataFrame:
         return degree.page_stats(self.nodes, self.edges)
@@ -136,16 +140,18 @@ class GraphSession:
 
     def scope(self, cluster_ids: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges of the named clusters, or of the initial ones."""
-        all_ = recursion.clusters(self.nodes, self.edges, self.entry_ids())
+        all_ = recursion.cut(recursion.clusters(self.nodes, self.edges, self.entry_ids()))
         chosen = filters.selected_clusters(all_, cluster_ids) if cluster_ids else filters.initial_scope(all_)
-        return filters.subgraph(self.nodes, self.edges, chosen)
+        nodes, edges = filters.subgraph(self.nodes, self.edges, chosen)
+        return recursion.cut(nodes), recursion.cut(edges)
 
     def dot(self, cluster_ids: str | None = None) -> str:
         nodes, edges = self.scope(cluster_ids)
         return report.dot(report.dot_lines(nodes, edges, self.entry_ids()))
 
     def report(self, **options) -> dict[str, DataFrame]:
-        return report.findings(self.nodes, self.edges, self.entry_ids(), self.functions(), **options)
+        functions = recursion.cut(self.functions()) if options.get("copies", True) else self.functions()
+        return report.findings(self.nodes, self.edges, self.entry_ids(), functions, **options)
 
     def snippets(self, nodes: DataFrame, radius: int) -> DataFrame:
         """file_path, target, listing: the source around nodes (file_path, line)."""
@@ -154,7 +160,7 @@ class GraphSession:
 
     def markdown(self, context_lines: int = 0, caps: dict[str, int] | None = None, **options) -> str:
         """The report; with context_lines, and sources, the source around the most connected nodes that it names."""
-        found = self.report(**options)
+        found = {name: recursion.cut(table) for name, table in self.report(**options).items()}  # sections are read more than once
         shown = None
         if context_lines and self.files is not None:
             top = found["god"].orderBy(F.desc(F.col("fan_in") + F.col("fan_out")), "node_seq").limit((report.CAPS | (caps or {}))["god"])
