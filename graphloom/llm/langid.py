@@ -6,8 +6,8 @@ the lower-cased letters) predicts the bit from whole texts. Decoding adds up, fo
 the predicted margins, weighted by how well each bit did on training texts set aside, and takes the language with
 the least; a text whose two best languages are closer than a margin learnt from the same texts is flagged as ambiguous.
 
-Training uses at most `per_language` texts of each language (those with the least hashes of their ids), a documented bound, outside the
-held-out fold. Defined results: null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learnt; with
+Training uses about `per_language` texts of each language (those with the least hashes of their ids), fewer where that makes more than MAX_TEXTS of
+all languages: documented bounds, outside the held-out fold. Long texts are read in runs. Defined results: null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learnt; with
 one language all others get it; repeated rows have equal results; null languages teach nothing.
 """
 
@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import fold
-from graphloom.llm.textbatch import TextBatch, chunks
+from graphloom.llm.textbatch import CHUNK_BYTES, TextBatch, chunks
 
 PER_LANGUAGE = 600
+#: Texts of all languages together: bounds what reaches the driver.
+MAX_TEXTS = 6000
 SLOTS = 1 << 12
 #: Languages with fewer training texts are not learnt.
 LEAST = 3
@@ -41,6 +43,24 @@ _HIGH = np.arange(256) >= 128
 _MIX = np.random.default_rng(5).integers(0, 2**31, (3, 256), dtype=np.int64)
 
 
+def _grams(d: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """Slot of the 1-, 2- and 3-gram that begins at each byte, and whether it counts."""
+    one = _MIX[0][d]
+    two = one[1:] ^ _MIX[1][d[:-1]]
+    three = two[1:] ^ _MIX[2][d[:-2]]
+    keep = d != 32
+    return (one % SLOTS, keep), (two % SLOTS, keep[1:] | keep[:-1]), (three % SLOTS, keep[1:-1])
+
+
+def _long(d: np.ndarray, run: int) -> np.ndarray:
+    """Grams of one text by slot, counted in runs."""
+    total = np.zeros(SLOTS, np.int64)
+    for at in range(0, len(d), run):
+        for g, k in _grams(d[at : at + run + 2]):
+            total += np.bincount(g[:run][k[:run]], minlength=SLOTS)
+    return total
+
+
 def counts(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows, SLOTS) square-rooted gram shares of length 1, and whether each text has a letter."""
     b = TextBatch(part)
@@ -48,16 +68,14 @@ def counts(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for i in np.flatnonzero(~letters & (b.count(_HIGH) > 0)).tolist():
         letters[i] = any(c.isalpha() for c in b.data[b.begin[i] : b.end[i]].tobytes().decode())
     d = _FOLDED[b.data]
-    one = _MIX[0][d]
-    two = one[1:] ^ _MIX[1][d[:-1]]
-    three = two[1:] ^ _MIX[2][d[:-2]]
-    keep = d != 32
-    grams = ((one % SLOTS, keep, 0), (two % SLOTS, keep[1:] | keep[:-1], 1), (three % SLOTS, keep[1:-1], 2))
     out = np.zeros((b.n, SLOTS), np.float32)
-    for i in range(b.n):
-        for g, k, n in grams:
-            s = slice(int(b.begin[i]), max(int(b.begin[i]), int(b.end[i]) - n))
-            out[i] += np.bincount(g[s][k[s]], minlength=SLOTS)
+    if b.n == 1 and len(d) > CHUNK_BYTES:
+        out[0] = _long(d[:-1], CHUNK_BYTES)
+    else:
+        for n, (g, k) in enumerate(_grams(d)):
+            for i in range(b.n):
+                s = slice(int(b.begin[i]), max(int(b.begin[i]), int(b.end[i]) - n))
+                out[i] += np.bincount(g[s][k[s]], minlength=SLOTS)
     np.sqrt(out, out=out)
     out /= np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-9)
     return out, letters
@@ -143,6 +161,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Coded | None:
     if not sizes:
         return None
     languages = sorted(sizes)
+    per_language = min(per_language, max(LEAST, MAX_TEXTS // len(languages)))
     # A share of the ids by hash that holds per_language of them on average; the limit below bounds what chance adds.
     ticket = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
     share = F.lit(-1)

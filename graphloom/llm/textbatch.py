@@ -17,6 +17,8 @@ import pyarrow as pa
 U = np.uint64
 #: Bytes handled at once; a longer text forms a batch of its own.
 CHUNK_BYTES = 1 << 20
+#: Batches beyond this size, which are single long texts, are hashed in runs of CHUNK_BYTES.
+LONG_BYTES = 1 << 22
 
 _rng = np.random.default_rng(20240229)
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -83,6 +85,27 @@ def as_binary(array: pa.Array) -> pa.Array:
     return array.fill_null(b"") if array.null_count else array
 
 
+def _sums(data: np.ndarray) -> np.ndarray:
+    s = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[data] * _powers("b", len(data)), out=s[1:])
+    return s
+
+
+def _spans(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of spans from the running sums of their bytes; a span's hash doesn't depend on its place."""
+    inv = _powers("i", len(s))
+    return mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
+def _long_span(data: np.ndarray) -> np.uint64:
+    """The hash of one span, added up in runs."""
+    total = len(data)
+    for at in range(0, len(data), CHUNK_BYTES):
+        part = data[at : at + CHUNK_BYTES]
+        total += int((BYTE_VALUE[part] * _powers("b", len(part))).sum()) * pow(BASE, at, 2**64)
+    return mix(np.array([total % 2**64], np.uint64))[0]
+
+
 class TextBatch:
     """One chunk as arrays. Offsets are byte positions in `data`."""
 
@@ -106,15 +129,25 @@ class TextBatch:
 
     def prefix(self) -> np.ndarray:
         if self._prefix is None:
-            s = np.zeros(len(self.data) + 1, np.uint64)
-            np.cumsum(BYTE_VALUE[self.data] * _powers("b", len(self.data)), out=s[1:])
-            self._prefix = s
+            self._prefix = _sums(self.data)
         return self._prefix
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        s = self.prefix()
-        inv = _powers("i", len(self.data) + 1)
-        return mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
+        """Of spans in ascending order that don't overlap."""
+        if len(self.data) <= LONG_BYTES:
+            return _spans(self.prefix(), start, end)
+        out = np.empty(len(start), np.uint64)
+        i = 0
+        while i < len(start):
+            lo = int(start[i])
+            j = int(np.searchsorted(end, lo + CHUNK_BYTES, "right"))
+            if j > i:
+                out[i:j] = _spans(_sums(self.data[lo : end[j - 1]]), start[i:j] - lo, end[i:j] - lo)
+            else:
+                j = i + 1
+                out[i] = _long_span(self.data[lo : end[i]])
+            i = j
+        return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word."""
@@ -129,6 +162,8 @@ class TextBatch:
 
     def count(self, table: np.ndarray) -> np.ndarray:
         """Bytes of each text for which table is true."""
+        if self.n == 1:
+            return np.array([np.count_nonzero(table[self.data[:-1]])])
         c = np.zeros(len(self.data) + 1, np.int64)
         np.cumsum(table[self.data], out=c[1:])
         return c[self.end] - c[self.begin]

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from graphloom.llm import chat, jpeg, packing, pieces
+from graphloom.llm import chat, jpeg, langid, packing, pieces, textbatch
 from graphloom.llm.textstats import NAMES, text_stats
 from graphloom.llm.wordtable import WordTable
 
@@ -198,6 +198,22 @@ def test_texts_longer_than_a_chunk(spark, monkeypatch):
     assert packing.pack(d).agg({"length": "sum"}).first()[0] == 2 * (len(a.tokenizer.encode(text, add_special_tokens=False).ids) + 1) + 2
 
 
+def test_counts_of_long_texts_in_runs(monkeypatch):
+    """Statistics, word hashes and grams of a long text in runs, with words longer than a run, are those of the whole."""
+    r = random.Random(23)
+    long = " ".join("".join(r.choices("abcdefé\n.#", k=r.randrange(1, 9))) for _ in range(3000)) + " " + "w" * 7000 + " " + "xy" * 900 + " end"
+    whole, grams = text_stats(pa.array([long])), [langid.counts(pa.array([t]))[0] for t in (long, "ab" * 600)]
+    b = textbatch.TextBatch(pa.array([long, "a b"]))
+    h = b.hashes(*b.words())
+    monkeypatch.setattr(textbatch, "CHUNK_BYTES", 1000)
+    monkeypatch.setattr(textbatch, "LONG_BYTES", 1000)
+    monkeypatch.setattr(langid, "CHUNK_BYTES", 1000)
+    got = text_stats(pa.array([long]))
+    assert all(np.array_equal(got[k], whole[k]) for k in NAMES) and tuple(int(got[n][0]) for n in NAMES[:5]) == stats_oracle(long)
+    assert np.array_equal(b.hashes(*b.words()), h)
+    assert all(np.array_equal(langid.counts(pa.array([t]))[0], g) for t, g in zip((long, "ab" * 600), grams))
+
+
 def test_damaged_scans():
     r = np.random.default_rng(4)
     [good] = jpeg.encode([jpeg.payload(r.integers(0, 256, 20_000, dtype=np.uint8).tobytes())])
