@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +56,35 @@ def spread_join(rows: DataFrame, about: DataFrame, key: str, size: str, how: str
     return rows.join(hot, key).unionByName(rest)
 
 
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a worker from task to task."""
+    return _caches.setdefault(owner, {})
+
+
+def enter(owner: str = "") -> None:
+    """Called where a task begins: a worker that served another operator drops what that one kept."""
+    for other, cache in _caches.items():
+        if other != owner:
+            cache.clear()
+
+
+def frugal(owner: str = "") -> Callable:
+    """For functions over batches: others' caches go before a task, freed memory after it."""
+
+    def wrap(run: Callable) -> Callable:
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            enter(owner)
+            yield from run(batches)
+            trim()
+
+        return task
+
+    return wrap
+
+
 def trim() -> None:
     """Gives memory that a worker holds but doesn't use back to the system: freed arrays of many sizes otherwise stay with a worker that is used again."""
     pa.default_memory_pool().release_unused()
@@ -70,4 +100,4 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["cut", "fold", "free_name", "remove", "spread_join", "stored", "table", "trim"]
+__all__ = ["cut", "enter", "fold", "free_name", "frugal", "remove", "spread_join", "stored", "table", "trim", "worker_cache"]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, free_name, spread_join
+from graphloom.llm.common import cut, free_name, frugal, spread_join, trim
 from graphloom.llm.textbatch import TextBatch, chunks, mix, windows
 from graphloom.plans.fixpoint import star_components
 
@@ -121,6 +121,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def sketch(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     """doc_id, text_key, fp (null without words), bands: one row per document."""
 
+    @frugal()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, grams, sizes in gram_sets(batch.column(2)):
@@ -150,6 +151,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     field[slots["w"].to_numpy()] = slots["b"].to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
+    @frugal()
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, seen = shared.value, set()
         for batch in batches:
@@ -296,6 +298,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
             links[right] += copies[left] @ hit
             edges += forest(hit, left, right) if hit.any() else []
         n = np.flatnonzero(links)
+        trim()
         return pa.table({"u": pa.array([fp[k] for k in n] + [fp[a] for a, _ in edges], pa.binary()), "v": pa.array([None] * len(n) + [fp[b] for _, b in edges], pa.binary()), "links": pa.array(np.concatenate([links[n], np.zeros(len(edges), np.int64)]))})
 
     found = cut(tasks.groupBy("bin", "only", "i", "j").applyInArrow(run, "u binary, v binary, links long"))

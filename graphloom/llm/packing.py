@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, frugal, worker_cache
 from graphloom.llm.textbatch import IS_SPACE, LOWER, TextBatch, chunks, slices
 from graphloom.llm.wordtable import WordTable
 
@@ -129,7 +129,7 @@ class WordEncoder:
         return ids, np.bincount(b.owner(start), sizes, b.n).astype(np.int64)
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = worker_cache("packing")
 
 
 def encoder(path: str) -> WordEncoder:
@@ -152,6 +152,8 @@ def cuts(n: int, capacity: int, max_part: int) -> Iterator[tuple[int, int]]:
 
 def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, max_part: int = MAX_PART) -> DataFrame:
     """PIECES of every row; a piece's salt mixes task, row and place."""
+
+    @frugal("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         task, rows = TaskContext.get().partitionId(), 0

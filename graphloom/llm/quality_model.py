@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, fold, free_name
+from graphloom.llm.common import cut, enter, fold, free_name, trim
 from graphloom.llm.textstats import text_stats
 
 MAX_TRAIN = 20_000
@@ -41,7 +41,9 @@ def features(text: pa.Array) -> np.ndarray:
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def features_of(text: pa.Array) -> pa.Array:
+    enter()
     x = features(text)
+    trim()
     return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
 
 
@@ -175,7 +177,10 @@ def scorer(model: Additive):
 def text_scorer(model: Additive):
     @F.arrow_udf(T.DoubleType())
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(model.score(features(text)))
+        enter()
+        out = pa.array(model.score(features(text)))
+        trim()
+        return out
 
     return score
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, free_name
+from graphloom.llm.common import cut, enter, free_name, trim
 from graphloom.llm.textstats import NAMES, text_stats
 
 RISK, DELTA = 0.05, 0.05
@@ -45,7 +45,9 @@ STATS_TYPE = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
 
 @F.arrow_udf(STATS_TYPE)
 def stats_of(text: pa.Array) -> pa.Array:
+    enter()
     s = text_stats(text)
+    trim()
     return pa.StructArray.from_arrays([pa.array(s[n]) for n in NAMES], names=list(NAMES))
 
 
