@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat, jpeg, katz, langid, ngram_join, packing, page_text, pieces, quality_model, quality_rules
+from graphloom.llm import aligning, chat, jpeg, katz, langid, mixing, ngram_join, packing, page_text, pieces, quality_model, quality_rules, resample
 from graphloom.llm.common import table
 
 
@@ -55,6 +55,18 @@ def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_aligning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligning.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.draw(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg": op1_jpeg,
     "op2_langid": op2_langid,
@@ -66,6 +78,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_page_text": op8_page_text,
     "op9_ngram_join": op9_ngram_join,
     "op10_katz": op10_katz,
+    "op11_aligning": op11_aligning,
+    "op12_resample": op12_resample,
+    "op13_mixing": op13_mixing,
 }
 LLM_ORACLE: dict[str, str] = {}
 
@@ -91,3 +106,33 @@ with recursive t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x
  r as (select x a, y b from l union select r.a, l.y from r join l on l.x = r.b),
  m as (select a, min(b) b from r group by 1), q as (select x, count(*) c from l group by 1)
 select t.doc_id, least(t.doc_id, coalesce(m.b, t.doc_id)) class_id, coalesce(q.c, 0) n_links from t left join m on m.a = t.doc_id left join q on q.x = t.doc_id"""
+
+#: CRC-32 of each distinct word, byte by byte, from the table of its 256 values.
+LLM_ORACLE["op12_resample"] = r"""
+with recursive bits as (select range i, range c, 0 k from range(256) union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+ tab as (select list(c order by i) t from bits where k = 8),
+ w as (select 'd' kind, doc_id id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) word from documents
+   union all select 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) from benchmark),
+ h as (select word, hex(encode(word)) x from (select distinct word from w)),
+ b as (select word, xor(list_reduce(list_transform(range(1, length(x) + 1, 2), lambda p: cast('0x' || x[p:p + 1] as bigint)), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295) % 10000 bucket from h, tab),
+ g as (select bucket, count(*) filter (kind = 'd') s, count(*) filter (kind = 'b') t from w join b using (word) group by 1),
+ n as (select sum(s)::double + 10000 sn, sum(t)::double + 10000 tn from g),
+ gain as (select bucket, cast(floor(1000 * ln((t + 1)::double * sn / ((s + 1)::double * tn))) as bigint) v from g, n),
+ d as (select id doc_id, count(*) n_features, cast(sum(v) as bigint) weight from w join b using (word) join gain using (bucket) where kind = 'd' group by 1),
+ e as (select doc_id, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+   coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || sha256('2024:' || doc_id)[1:8] as bigint) + 0.5::double) / 4294967296::double))) as bigint) score from documents left join d using (doc_id)),
+ r as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) k, count(*) filter (n_features >= 20) over () m from e)
+select doc_id, n_features, weight, score, case when n_features >= 20 and k <= 10 * m // 100 then k end "rank" from r"""
+
+#: A source is at its limit if the level of the sources with no lower ratio of limit to weight, once all lower ones are at theirs, is above its own.
+LLM_ORACLE["op13_mixing"] = r"""
+with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size from documents),
+ s as (select source, cast(sum(size) as bigint) source_size, [5, 2, 1][1 + (row_number() over (order by source nulls last) - 1) % 3] w from d group by 1),
+ o as (select *, 2 * source_size lim, 1.5::double * sum(source_size) over () total, coalesce(sum(2 * source_size) over (order by 2 * source_size / w::double, source nulls last rows between unbounded preceding and 1 preceding), 0) below,
+   sum(w) over (order by 2 * source_size / w::double, source nulls last rows between current row and unbounded following) rest from s),
+ c as (select *, lim < w * ((total - below) / rest) at_limit from o),
+ f as (select source, source_size, case when at_limit then lim::double else w * (total - coalesce(sum(lim) filter (at_limit) over (), 0))::double / (sum(w) filter (not at_limit) over ())::double end target from c),
+ j as (select d.doc_id, d.size, f.source_size, f.target, case when f.source_size > 0 then f.target / f.source_size else 0 end rate from d join f on d.source is not distinct from f.source)
+select doc_id, size, source_size, target, cast(size * (floor(rate) + case when cast('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:12] as bigint)::double / 281474976710656::double < rate - floor(rate) then 1 else 0 end) as bigint) taken,
+ cast(floor(rate) + case when cast('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:12] as bigint)::double / 281474976710656::double < rate - floor(rate) then 1 else 0 end as bigint) copies from j"""
