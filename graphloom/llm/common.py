@@ -56,6 +56,16 @@ def spread_join(rows: DataFrame, about: DataFrame, key: str, size: str, how: str
     return rows.join(hot, key).unionByName(rest)
 
 
+#: Ids that are broadcast at most.
+MOST_IDS = 1 << 22
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is among ids; what is computed on them later is computed on these alone. Ids are counted: up to MOST_IDS are broadcast, so that texts stay where they are; more are shuffled."""
+    ids = ids.select(key).distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= MOST_IDS else ids, key, "left_semi")
+
+
 _caches: dict[str, dict] = {}
 
 
@@ -100,4 +110,4 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-__all__ = ["cut", "enter", "fold", "free_name", "frugal", "remove", "spread_join", "stored", "table", "trim", "worker_cache"]
+__all__ = ["cut", "enter", "fold", "free_name", "frugal", "remove", "spread_join", "stored", "table", "trim", "with_ids", "worker_cache"]

@@ -7,7 +7,10 @@ partition of k windows, of which one holds it; the two partial partitions with t
 spread are merged, the fullest window of one with the emptiest of the other, until one is left. k starts at the least count
 that could hold the group and rises while the fullest window exceeds CAPACITY.
 
-Groups bound memory whatever the input: a group is a few thousand small rows, a hot or repeated id spreads over
+Parts of fewer than SMALL ids are first tied into bundles of about BUNDLE ids, which stay together, so the number of partial partitions follows the tokens
+also where texts are short or empty.
+
+Groups bound memory whatever the input: a group is at most some half a million rows of seven numbers (a few thousand, unless texts are tiny), a hot or repeated id spreads over
 groups (the salt holds the row's place, not only its id), and no task sees all of the table.
 
 Defined results: null and empty texts hold END alone; each row of the input, repeated or not, is packed; a null id is
@@ -39,6 +42,7 @@ GROUP_WINDOWS = 128
 #: Several small parts to a window come out almost even; larger parts mean fewer cuts and more padding.
 MAX_PART = 512
 PART_ENTRIES = 100_000
+SMALL, BUNDLE = 128, 256
 #: Bytes of a text that are encoded at once, when it is longer.
 LONG = 1 << 21
 
@@ -214,8 +218,24 @@ def differencing(sizes: np.ndarray, k: int) -> tuple[np.ndarray, int]:
     return window, int(np.bincount(window, sizes, k).max())
 
 
+def bundles(sizes: np.ndarray, small: int = SMALL, size: int = BUNDLE) -> np.ndarray:
+    """Bundle of each part, from 0: small parts share bundles of less than size + small ids, in their order; each other part is one."""
+    tiny = sizes < small
+    out = np.empty(len(sizes), np.int64)
+    ends = np.cumsum(sizes[tiny])
+    out[tiny] = (ends - sizes[tiny]) // size
+    n = int(out[tiny].max(initial=-1)) + 1
+    out[~tiny] = n + np.arange(len(sizes) - len(ends))
+    return np.unique(out, return_inverse=True)[1]
+
+
 def pack_parts(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Window of each part; no window exceeds capacity."""
+    bundle = bundles(sizes, min(SMALL, max(1, capacity // 32)), min(BUNDLE, max(1, capacity // 16)))
+    return pack_bundles(np.bincount(bundle, sizes).astype(np.int64), capacity)[bundle]
+
+
+def pack_bundles(sizes: np.ndarray, capacity: int) -> np.ndarray:
     total = int(sizes.sum())
     k = max(1, -(-total // capacity))
     while True:

@@ -7,7 +7,7 @@ have changed since is skipped. Characters outside the vocabulary become byte pie
 No piece of such a vocabulary has a mark after another character or holds a newline, so a text is encoded segment by
 segment: a run of marks with what follows it, or what follows a newline. Each distinct segment goes through the agenda once a
 worker, and is checked against the library in the same Arrow batch; where they differ, the library's ids are
-taken and counted in n_repaired, a figure of the batch. Texts that hold the mark itself, and vocabularies that break the two rules, are
+taken and counted in n_repaired of each text that holds the segment. Texts that hold the mark itself, and vocabularies that break the two rules, are
 encoded whole.
 
 Defined results: null and empty texts have no ids (and the empty text back); repeated rows have equal results; empty tables give empty results.
@@ -91,7 +91,9 @@ class PieceEncoder:
                 self.unknown = i
         self.splits = not any("\n" in p or MARK in p.lstrip(MARK) for p in self.ids)
         self.table = WordTable(np.int32)
-        self.repaired = 0
+        self.repaired = 0  # segments so far
+        self.wrong = np.zeros(0, np.uint64)  # their hashes
+        self.repaired_of = np.zeros(0, np.int64)  # such segments of each row of the run that texts gave last
 
     def merge(self, text: str) -> list[int]:
         """Ids of marked text, by the agenda."""
@@ -133,7 +135,7 @@ class PieceEncoder:
                     out.append(self.unknown)
         return out
 
-    def segments(self, texts: list[str]) -> list[list[int]]:
+    def segments(self, texts: list[str], hashes: np.ndarray) -> list[list[int]]:
         """Ids of segments as they stand in a text (a leading space is the mark), checked against the library."""
         own = [self.merge(t.replace(" ", MARK)) for t in texts]
         # The library puts a mark in front: it stands for a segment's own first space; other segments are given a newline to follow.
@@ -144,6 +146,7 @@ class PieceEncoder:
             if want != own[i]:
                 own[i] = want
                 self.repaired += 1
+                self.wrong = np.union1d(self.wrong, hashes[i : i + 1])
         return own
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -155,7 +158,12 @@ class PieceEncoder:
                 continue
             d = np.frombuffer(text, np.uint8)
             at = 1 + np.flatnonzero((d[1:] == 32) & (d[:-1] != 32) | (d[1:] == 10))
-            ids = np.concatenate([self._run(pa.array([b" " * (k == 0) + x], pa.large_binary()), np.ones(1, bool))[0] for k, x in enumerate(slices(text, LONG, at))])
+            found, repaired = [], 0
+            for k, x in enumerate(slices(text, LONG, at)):
+                found.append(self._run(pa.array([b" " * (k == 0) + x], pa.large_binary()), np.ones(1, bool))[0])
+                repaired += int(self.repaired_of[0])
+            self.repaired_of = np.array([repaired])
+            ids = np.concatenate(found)
             yield row, ids, np.array([len(ids)])
 
     def _run(self, part: pa.Array, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +185,9 @@ class PieceEncoder:
         inside = (begin < b.end[own]) & full[own]  # not the separator after each text
         begin, stop, own = begin[inside], stop[inside], own[inside]
         raw = d.tobytes()
-        ids, sizes = self.table.encode(b.hashes(begin, stop), lambda at: self.segments([raw[i:j].decode() for i, j in zip(begin[at].tolist(), stop[at].tolist())]))
+        hashes = b.hashes(begin, stop)
+        ids, sizes = self.table.encode(hashes, lambda at: self.segments([raw[i:j].decode() for i, j in zip(begin[at].tolist(), stop[at].tolist())], hashes[at]))
+        self.repaired_of = np.bincount(own, np.isin(hashes, self.wrong), b.n).astype(np.int64) if len(self.wrong) else np.zeros(b.n, np.int64)
         return ids, np.bincount(own, sizes, b.n).astype(np.int64)
 
     def digest(self, ids: np.ndarray) -> tuple[str, str]:
@@ -230,7 +240,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         enc = encoder(path)
         for batch in batches:
             for row, ids, sizes in enc.texts(batch.column(1)):
-                before, ends = enc.repaired, np.cumsum(sizes).tolist()
+                ends = np.cumsum(sizes).tolist()
                 if len(ids) > RUN and len(sizes) == 1:
                     joined, back = ([x] for x in enc.digest(ids))
                 else:
@@ -238,6 +248,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                     lists = [flat[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
                     joined = [hashlib.sha256(repr(x)[1:-1].replace(" ", "").encode()).hexdigest() for x in lists]
                     back = [hashlib.sha256(x.encode()).hexdigest() for x in enc.library.decode(lists, num_threads=1)] if lists else []
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), pa.array(sizes), pa.array(joined, pa.string()), pa.array(back, pa.string()), pa.array(np.full(len(sizes), enc.repaired - before))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_repaired"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(sizes)), pa.array(sizes), pa.array(joined, pa.string()), pa.array(back, pa.string()), pa.array(enc.repaired_of)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_repaired"])
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_repaired long")

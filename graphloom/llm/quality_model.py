@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, enter, fold, free_name, trim
+from graphloom.llm.common import cut, enter, fold, free_name, trim, with_ids
 from graphloom.llm.textstats import text_stats
 
 MAX_TRAIN = 20_000
@@ -155,9 +155,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
+def teachers(labels: DataFrame) -> DataFrame:
+    """doc_id, y: one row a labelled id outside the held-out fold; the lowest label wins."""
+    return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("y"))
+
+
 def train(measured: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Additive:
     """measured: doc_id, x. Only ids outside the held-out fold teach; at most max_train rows reach the driver."""
-    marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2)).groupBy("doc_id").agg(F.min("quality").alias("y"))
+    marks = teachers(labels)
     one = measured.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = one.select("x", "y").toArrow()
     y = np.array(rows["y"].to_pylist(), float)
@@ -198,6 +203,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) ->
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """The rows of docs, with their columns, that score CUTOFF at least."""
-    model = train(docs.select("doc_id", features_of("text").alias("x")), labels, max_train)
+    model = train(with_ids(docs.select("doc_id", "text"), teachers(labels)).select("doc_id", features_of("text").alias("x")), labels, max_train)
     score = free_name(docs, "__score")
     return docs.withColumn(score, text_scorer(model)("text")).where(F.col(score) >= CUTOFF).drop(score)

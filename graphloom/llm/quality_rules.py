@@ -2,14 +2,14 @@
 
 Each rule rejects a text whose measure lies beyond a cutoff. The rules are tightened together: rule set l takes the l-th least rejecting cutoff of
 every rule's fixed grid, so the sets are nested and each rejects what the one before it does. Cutoffs come from labelled holdouts: for
-every stratum (language) and rule set, the texts that any of its rules rejects among those labelled good are counted over all labelled rows. A set is
+every stratum (language) and rule set, the distinct texts that any of its rules rejects among those labelled good are counted over all labelled rows (copies are no further evidence). A set is
 admissible if the exact (Clopper-Pearson) upper confidence bound of its false rejection rate stays within `risk`. The sets of a stratum are tested in their
 fixed order up to the first that fails, which needs no correction within the sequence; the confidence level is divided by the number of
 sequences (strata). So with probability 1 - delta the rules together reject at most `risk` of the good texts of every stratum at once. A stratum with too few
 labels gets no cutoff.
 
 Defined results: a null or empty text has no words and fails the base rule; a null language is a stratum of
-its own; repeated ids count once as labels (the lowest label wins) and each row gets its own
+its own; repeated ids and equal texts of a stratum count once as labels (the lowest label wins), so that repeating rows certifies nothing, and each row gets its own
 verdict; without labels only the base rule acts; an empty table gives an empty result.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm.common import cut, enter, free_name, trim
+from graphloom.llm.common import cut, enter, free_name, trim, with_ids
 from graphloom.llm.textstats import NAMES, text_stats
 
 RISK, DELTA = 0.05, 0.05
@@ -106,16 +106,21 @@ def _measure(sql: str, stats: str) -> Column:
     return F.expr(sql)
 
 
+def marks_of(labels: DataFrame) -> DataFrame:
+    """doc_id, quality: one row a labelled id; the lowest label wins."""
+    return labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+
+
 def fit_cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> Cutoffs:
-    """measured: doc_id, stratum, stats. Counts over every labelled row; one row per stratum reaches the driver."""
-    good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    """measured: doc_id, stratum, text_id, stats. Counts over every labelled row, equal texts of a stratum once; one row per stratum reaches the driver."""
     counts = [F.count(F.lit(1)).alias("good")]
     for i, cutoffs in enumerate(SETS):
         hit = F.lit(False)
         for name, c in cutoffs.items():
             hit = hit | (_measure(RULES[name][0], "stats") > F.lit(c))
         counts.append(F.count_if(hit).alias(f"set_{i}"))
-    rows = measured.join(good, "doc_id", "left_semi").groupBy("stratum").agg(*counts).collect()
+    texts = measured.join(marks_of(labels), "doc_id").groupBy("stratum", "text_id").agg(F.min("quality").alias("quality"), F.min("stats").alias("stats"))
+    rows = texts.where("quality = 1").groupBy("stratum").agg(*counts).collect()
     chosen: dict[str | None, dict[str, float]] = {}
     evidence = []
     for r in rows:
@@ -134,8 +139,8 @@ def base_failed(stats: str) -> Column:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, stratum, stats of each row."""
-    return docs.select("doc_id", F.col("lang").alias("stratum"), stats_of("text").alias("stats"))
+    """doc_id, stratum, text_id, stats of each row; equal texts have equal text_id."""
+    return docs.select("doc_id", F.col("lang").alias("stratum"), F.md5(F.coalesce("text", F.lit(""))).alias("text_id"), stats_of("text").alias("stats"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -147,7 +152,7 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of docs, with their columns, that pass; their texts are read once for the labelled counts and once for the verdicts."""
-    cutoffs = fit_cutoffs(measure(docs), labels, risk, delta)
+    """The rows of docs, with their columns, that pass; labelled texts are read once for the counts, and every text once for the verdicts."""
+    cutoffs = fit_cutoffs(measure(with_ids(docs.select("doc_id", "lang", "text"), marks_of(labels))), labels, risk, delta)
     stats = free_name(docs, "__stats")
     return docs.withColumn(stats, stats_of("text")).where(~base_failed(stats) & ~cutoffs.rejects(F.col("lang"), stats)).drop(stats)

@@ -115,15 +115,23 @@ def test_language_decoding_by_hand():
 
 
 def test_cutoffs_by_brute_force(spark):
-    """The chosen set is the last of the first run of certified sets, counted text by text; the promise holds on texts that weren't used."""
+    """The chosen set is the last of the first run of certified sets, counted over distinct texts; repeated rows and copies under other ids change nothing."""
     rows, labels = corpus()
+    rows += [(100_000 + i, *r[1:]) for i, r in enumerate(rows[:40])]  # copies, labelled like their originals, but for one
+    labels += [(100_000 + i, q if i else 1 - q, 0) for i, (_, q, _) in enumerate([next((x for x in labels if x[0] == r[0]), (0, 0, 0)) for r in rows[:40]])]
     d = spark.createDataFrame(rows, SCHEMA)
     got = quality_rules.fit_cutoffs(quality_rules.measure(d), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    good = {i for i, q, _ in labels if q}
-    strata = collections.defaultdict(list)
+    lowest = {}
+    for i, q, _ in labels:
+        lowest[i] = min(q, lowest.get(i, q))
+    verdicts = collections.defaultdict(set)
     for r in rows:
-        if r[0] in good:
-            strata[r[2]].append({k: int(v[0]) for k, v in quality_rules.text_stats(pa.array([r[1]], pa.string())).items()})
+        if r[0] in lowest:
+            verdicts[r[2], r[1] or ""].add(lowest[r[0]])
+    strata = collections.defaultdict(list)
+    for (stratum, text), seen in verdicts.items():
+        if min(seen) == 1:
+            strata[stratum].append({k: int(v[0]) for k, v in quality_rules.text_stats(pa.array([text], pa.string())).items()})
     for stratum, stats in strata.items():
         want = {}
         for cutoffs in quality_rules.SETS:
@@ -132,4 +140,15 @@ def test_cutoffs_by_brute_force(spark):
                 break
             want = cutoffs
         assert got.by_stratum[stratum] == want
+    assert {(s, n) for s, _, n, _, _ in got.evidence} == {(s, len(x)) for s, x in strata.items()}
+    again = quality_rules.fit_cutoffs(quality_rules.measure(d.unionAll(d).unionAll(d)), spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int"))
+    assert again.by_stratum == got.by_stratum and sorted(again.evidence, key=str) == sorted(got.evidence, key=str)
     assert WORD.findall("a b") == ["a", "b"] and zlib.crc32(b"") == 0
+
+
+def test_labelled_texts_alone_are_read_twice(spark, folder):
+    """The features that teach are computed above the join with the labelled ids."""
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    for df in (quality_rules.measure(quality_rules.with_ids(docs.select("doc_id", "lang", "text"), quality_rules.marks_of(labels))), quality_model.with_ids(docs.select("doc_id", "text"), quality_model.teachers(labels)).select("doc_id", quality_model.features_of("text"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("ArrowEvalPython") < plan.index("LeftSemi")

@@ -4,6 +4,7 @@ import io
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -74,6 +75,21 @@ def test_piece_digests(spark):
     assert pieces.digests(d.limit(0)).count() == 0 and pieces.encoded(d).count() == len(got)
 
 
+def test_repairs_are_counted(spark, monkeypatch):
+    """A wrong agenda's ids are replaced by the library's and counted by text, also where a segment is known already."""
+    right = pieces.PieceEncoder.merge
+    monkeypatch.setattr(pieces.PieceEncoder, "merge", lambda self, text: right(self, text)[:-1] if text.endswith("bad") else right(self, text))
+    e = pieces.PieceEncoder(pieces.model_path())
+    texts = ["bad good bad", "good", None, "bad", "fine bad" * 2]
+    for _ in range(2):
+        for row, ids, sizes in e.texts(pa.array(texts)):
+            assert row == 0 and ids.tolist() == [i for t in texts for i in e.library.encode(t or "")] and e.repaired_of.tolist() == [2, 0, 0, 1, 1]
+    pieces._encoders["broken"] = e
+    long = "bad good " * (pieces.LONG // 8)
+    run = next(iter(e.texts(pa.array([long]))))
+    assert e.repaired_of.tolist() == [pieces.LONG // 8] and run[1].tolist() == e.library.encode(long)
+
+
 def test_word_ids_equal_the_library():
     e = packing.encoder(packing.tokenizer_path())
     r = random.Random(7)
@@ -111,6 +127,21 @@ def test_differencing():
     sizes = r.integers(1, 513, 3000)
     sums = np.bincount(packing.pack_parts(sizes), sizes)
     assert sums.max() <= 4096 and sizes.sum() / (4096 * len(sums)) > 0.98
+    for sizes in (np.ones(524_288, np.int64), r.integers(1, 30, 40_000), r.integers(1, 200, 6000)):  # a group of tiny parts
+        tracemalloc.start()
+        sums = np.bincount(packing.pack_parts(sizes), sizes)
+        assert tracemalloc.get_traced_memory()[1] < 100e6
+        tracemalloc.stop()
+        assert sums.max() <= 4096 and sizes.sum() / (4096 * len(sums)) > 0.98
+    assert packing.bundles(np.array([1, 300, 200, 50, 127, 100, 90])).tolist() == [0, 2, 3, 0, 0, 0, 1]
+
+
+def test_many_empty_texts(spark):
+    from pyspark.sql import functions as F
+
+    got = packing.pack(spark.range(1_000_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")))
+    r = got.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("windows")).first()
+    assert r["n"] == 1_000_000 and r["most"] <= 4096 and r["windows"] <= 250
 
 
 def _exif_free_baseline():
