@@ -3,10 +3,11 @@
 A page is cut into blocks (dom.blocks). Each has binary features: its own and its ancestors' tags, what their class, id and role words
 tell, its length, link share and punctuation, and the same of its neighbours. The field has a weight for each feature and label, and one for
 each pair of neighbouring labels; it is trained on labelled pages by maximum likelihood (forward-backward over a padded batch,
-Adam steps, an L2 penalty) and decoded by Viterbi. By default the labelled pages come from page_maker, with a
+Adam steps, an L2 penalty) and decoded by Viterbi. A page whose best labelling is all outside, though some block stands outside every landmark that is never an article's (menus,
+headers, footers, sidebars, notices, adverts, forms, comments, by tag or name), takes the best labelling with such a block inside. By default the labelled pages come from page_maker, with a
 fixed seed and number; `train` takes any others.
 
-A page is one row and is read to its end, so rows need no shuffle. Defined results: null, empty or textless pages have an empty text; repeated rows have equal results; unknown
+A page is one row and is read to its end, so rows need no shuffle. Defined results: null, empty or textless pages, and pages that have marked blocks only and are told to hold no article, have an empty text; repeated rows have equal results; unknown
 markup is text inside its parent; a page cut off inside a tag ends there.
 """
 
@@ -27,21 +28,24 @@ from graphloom.llm.page_maker import PageMaker
 TRAIN_PAGES, SEED = 800, 404
 #: What words of class, id and role stand for.
 ROLES = {
-    "ad": "ad ads advert adverts advertisement advertising adsbox adsense sponsored sponsor promo promotion banner outbrain taboola",
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topnav toolbar pagination pager tabs toc skip",
-    "comment": "comment comments reply replies respond response responses discussion disqus thread reader readers",
-    "side": "sidebar side related widget recommended recommendations trending popular more teaser aside complementary bio recent rail",
-    "notice": "cookie cookies consent notice gdpr alert popup modal newsletter subscribe subscription paywall warning message privacy dialog alertdialog overlay signup toast disclaimer",
-    "foot": "footer foot copyright legal bottom contentinfo colophon",
-    "head": "header masthead topbar branding logo top",
+    "ad": "ad ads advert adverts advertisement advertising adsbox adsense sponsored sponsor promo promotion banner outbrain taboola anzeige anzeigen werbung publicidad publicite pubblicita reklame",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs topnav toolbar pagination pager tabs toc skip menue navigazione navegacion navegador navi hauptmenu migas brotkrumen ariane",
+    "comment": "comment comments reply replies respond response responses discussion disqus thread reader readers kommentar kommentare commentaire commentaires comentario comentarios commenti",
+    "side": "sidebar side related widget recommended recommendations trending popular more teaser aside complementary bio recent rail seitenleiste barra lateral laterale marginalspalte",
+    "notice": "cookie cookies consent notice gdpr alert popup modal newsletter subscribe subscription paywall warning message privacy dialog alertdialog overlay signup toast disclaimer hinweis aviso avis meldung banniere",
+    "foot": "footer foot copyright legal bottom contentinfo colophon fuss fusszeile impressum pie pied rodape piede",
+    "head": "header masthead topbar branding logo top kopf kopfzeile cabecera entete encabezado testata",
     "share": "share sharing social tags meta byline date",
     "form": "form login search contact",
-    "main": "content article post entry main body story text page",
+    "main": "content article post entry main body story text page inhalt contenido contenu contenuto artikel articulo beitrag texto texte",
     "hidden": "hidden",
 }
 _ROLE = {w: r for r, words in ROLES.items() for w in words.split()}
 _TAGS = frozenset("article main section div p li ul ol td table blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 nav aside footer header form fieldset dialog dl dt dd a address details".split())
 
+#: Tags and roles of what is never an article, unless an article's own tag stands inside.
+_APART = frozenset("nav aside header footer form dialog".split())
+_NEVER = frozenset("ad menu comment side notice foot head share form hidden".split())
 _SHELLS = frozenset("article main section nav aside footer header form dialog".split())
 
 
@@ -111,16 +115,26 @@ def features(page: list[Block]) -> list[list[str]]:
     out = []
     for i, (f, _, element) in enumerate(own):
         f = list(f)
+        near = min(i, len(own) - 1 - i)
+        f.append(f"blocks:{_bucket(len(own))}")
+        if near < 3:
+            f.append(f"{'start' if i == near else 'end'}:{near}")
+            f += [f"{'start' if i == near else 'end'}:{near}+{x}" for x in own[i][0] if x.startswith(("size:", "links:", "tag:", "no home"))]
+        shape = [x for x in f if x.startswith(("size:", "links:"))]
+        f.append("+".join(shape))
+        f += [f"{shape[1]}+{x}" for x in f if x.startswith(("tag:", "home", "no home", "stop")) and "+" not in x]
         if i == 0:
             f.append("first")
         else:
             f += [f"before:role:{r}" for r in own[i - 1][1]]
+            f += [f"before:{x}" for x in own[i - 1][0] if x.startswith(("size:", "links:", "tag:", "stop"))]
             before = own[i - 1][2]
             f.append("same parent" if element is before or element and before and element.parent is before.parent else "new parent")
         if i + 1 == len(own):
             f.append("last")
         else:
             f += [f"after:role:{r}" for r in own[i + 1][1]]
+            f += [f"after:{x}" for x in own[i + 1][0] if x.startswith(("size:", "links:", "tag:", "stop"))]
         out.append(f)
     return out
 
@@ -134,28 +148,50 @@ class Field:
     start: float
 
     def decode(self, page: list[Block]) -> list[bool]:
-        """Viterbi over the page's blocks."""
+        """Viterbi over the page's blocks; if nothing is inside, over the labellings that have an open block inside, if there is any."""
         if not page:
             return []
-        w, m = self.weights, self.moves.tolist()
+        u = [sum([self.weights.get(x, 0.0) for x in f]) for f in features(page)]
+        best = self.viterbi(u, [])
+        if any(best):
+            return best
+        open_ = [is_open(b) for b in page]
+        return self.viterbi(u, open_) if any(open_) else best
+
+    def viterbi(self, u: list[float], needed: list[bool]) -> list[bool]:
+        """The best labelling for the scores u of label 1; with `needed`, the best of those that give 1 to one of its blocks at least."""
+        m = self.moves.tolist()
+        # states: label, and whether a needed block has had label 1
+        last = {(0, not needed): 0.0}
+        if not needed:
+            last[1, True] = u[0] + self.start
+        else:
+            last[1, needed[0]] = u[0] + self.start
         back = []
-        s0 = s1 = 0.0
-        for i, f in enumerate(features(page)):
-            u = sum([w.get(x, 0.0) for x in f])
-            if i == 0:
-                s0, s1 = 0.0, u + self.start
-                continue
-            a, b, c, d = s0 + m[0][0], s1 + m[1][0], s0 + m[0][1], s1 + m[1][1]
-            back.append((b > a, d > c))
-            s0, s1 = max(a, b), max(c, d) + u
-        label = s1 > s0
-        out = [label]
+        for i in range(1, len(u)):
+            now, step = {}, {}
+            for (a, had), score in last.items():
+                for b in (0, 1):
+                    state = (b, had or bool(b and needed and needed[i]))
+                    total = score + m[a][b] + (u[i] if b else 0.0)
+                    if state not in now or total > now[state]:
+                        now[state], step[state] = total, (a, had)
+            last = now
+            back.append(step)
+        state = max((s for s in last if s[1]), key=lambda s: (last[s], -s[0]))
+        out = [bool(state[0])]
         for step in reversed(back):
-            label = step[label]
-            out.append(label)
+            state = step[state]
+            out.append(bool(state[0]))
         return out[::-1]
 
 
+def is_open(b: Block) -> bool:
+    """Whether a block stands outside every landmark that is never an article's, and isn't links alone."""
+    here = _context(b.element)
+    return not here.roles & _NEVER and not here.tags & _APART and b.linked < 0.8 * len(b.text)
+
+
 def train(pages: list[tuple[str, list[tuple[int, int]]]], steps: int = 200, rate: float = 0.08, penalty: float = 2e-4) -> Field:
     """pages: (html, source spans of the article)."""
     rows, labels = [], []

@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 
 from graphloom.llm import page_text
@@ -28,18 +29,79 @@ LAYOUTS = [
     ('<div class="breadcrumb"><a href=/>Home</a> &gt; <a href=/g>Garden</a></div><article><h1>Pruning roses</h1><p>Cut <em>above</em> an outward bud.</p></article><div class="sponsored"><a href=z>Cheap secateurs</a></div>', "Pruning roses\nCut above an outward bud."),
     ('<main><div class="content"><h3>Answer</h3><p>Yes, it can be done in two steps.</p><ul><li>Open the lid.</li><li>Turn the key.</li></ul></div></main><footer><ul><li><a href=t>Terms</a></li></ul></footer>', "Answer\nYes, it can be done in two steps.\nOpen the lid.\nTurn the key."),
     ('<dialog open><p>Your session has ended.</p></dialog><article lang=fr><p>Le pont est fermé jusqu’à lundi.</p></article><p class="copyright">© 2021 Le Journal</p>', "Le pont est fermé jusqu’à lundi."),
+    # straight in the body
+    ("<body><nav><a href=/>Home</a> <a href=/b>Blog</a></nav><p>The mill stopped turning in the spring of that year.</p><p>Nobody knew who had closed the sluice.</p><footer>Copyright 2019</footer></body>", "The mill stopped turning in the spring of that year.\nNobody knew who had closed the sluice."),
+    ("<html><body><nav><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul></nav><p>A first paragraph about the harbour and its boats.</p><p>A second one, about the people who mend the nets.</p><p>The third says when the market opens.</p><footer><p>All rights reserved.</p></footer></body></html>", "A first paragraph about the harbour and its boats.\nA second one, about the people who mend the nets.\nThe third says when the market opens."),
+    ("<body><p>Only this one paragraph stands on the page.</p></body>", "Only this one paragraph stands on the page."),
+    ("<p>One paragraph here.</p><p>And another there.</p>", "One paragraph here.\nAnd another there."),
+    ("Text without any tag at all, as some old servers send it.", "Text without any tag at all, as some old servers send it."),
+    ("<article><p>The report can be read <a href=r>at the library</a>.</p></article>", "The report can be read at the library."),
+    ("<article><p>See <a href=a>the map</a>, <a href=b>the list</a> and <a href=c>the calendar</a>.</p></article>", "See the map, the list and the calendar."),
+    ("<body><p>Long ago the valley was a lake, and its shores were lined with reeds and small wooden houses.</p><p>When the dam broke, the water left within a week, and the houses stood on dry poles.</p><p>People moved them down, log by log, to where the fields are now.</p><p>Some of those logs can still be seen in the walls of the inn.</p><p>The innkeeper shows them to anyone who asks in the evening.</p></body>", "Long ago the valley was a lake, and its shores were lined with reeds and small wooden houses.\nWhen the dam broke, the water left within a week, and the houses stood on dry poles.\nPeople moved them down, log by log, to where the fields are now.\nSome of those logs can still be seen in the walls of the inn.\nThe innkeeper shows them to anyone who asks in the evening."),
+    ("<article><p>You need three things.</p><ol><li>A rope of ten metres.</li><li>A good knife.</li></ol><p>Then you can start.</p></article>", "You need three things.\nA rope of ten metres.\nA good knife.\nThen you can start."),
+    ('<div id="inhalt"><p>Der Zug hielt auf freier Strecke, und niemand sagte, warum.</p></div><div id="fuss">Impressum</div>', "Der Zug hielt auf freier Strecke, und niemand sagte, warum."),
+    ("<h1>Notes on rope</h1><p>Hemp swells when it is wet.</p><p>Nylon stretches under load.</p><hr><small>Last changed in May</small>", "Notes on rope\nHemp swells when it is wet.\nNylon stretches under load."),
+    ("<center><a href=/>Index</a> | <a href=/n>Next</a> | <a href=/p>Back</a></center><h2>Chapter four</h2><p>The ship left at dawn with forty men on board.<p>It was not seen again until the winter.", "Chapter four\nThe ship left at dawn with forty men on board.\nIt was not seen again until the winter."),
+    ("<title>Soup</title><h1>Leek soup</h1><ul><li>Four leeks</li><li>A litre of stock</li><li>Salt and pepper</li></ul><p>Cut the leeks, boil them in the stock for twenty minutes and season.</p>", "Leek soup\nFour leeks\nA litre of stock\nSalt and pepper\nCut the leeks, boil them in the stock for twenty minutes and season."),
+    ('<div id="page"><div id="top"><a href=/>Museum</a></div><div id="nav"><a href=/a>Visit</a><a href=/b>Tickets</a></div><div id="text"><p>The new wing opens on Sunday.</p><p>Entry is free for children.</p></div><div id="bottom">Museum street 4</div></div>', "The new wing opens on Sunday.\nEntry is free for children."),
+    ("<table><tr><td width=120><a href=1>News</a><br><a href=2>Archive</a></td><td><p>The council met for six hours and decided nothing.</p><p>It will meet again on Friday.</p></td></tr></table>", "The council met for six hours and decided nothing.\nIt will meet again on Friday."),
+    ("First line of a poem,<br>second line of it,<br>and the last.", "First line of a poem, second line of it, and the last."),
+    ("<body>Some words before a paragraph, which nobody marked up.<p>Then a paragraph that somebody did mark up.</p></body>", "Some words before a paragraph, which nobody marked up.\nThen a paragraph that somebody did mark up."),
+    ('<div class="kopfzeile"><a href=/>Zeitung</a></div><div class="artikel"><h1>Brücke gesperrt</h1><p>Die Brücke bleibt bis Montag gesperrt, teilte die Stadt mit.</p></div><div class="werbung"><p>Jetzt Schuhe kaufen!</p></div><div class="fusszeile">Impressum</div>', "Brücke gesperrt\nDie Brücke bleibt bis Montag gesperrt, teilte die Stadt mit."),
+    ('<ul id="navegacion"><li><a href=/>Inicio</a></li><li><a href=/c>Contacto</a></li></ul><div id="contenido"><p>El barco llegó tarde por la niebla.</p><p>Los pasajeros durmieron a bordo.</p></div><div id="pie">Todos los derechos reservados</div>', "El barco llegó tarde por la niebla.\nLos pasajeros durmieron a bordo."),
+    ("<dl><dt>Anchor</dt><dd>An iron hook that holds a ship to the ground.</dd><dt>Bow</dt><dd>The front of a ship.</dd></dl>", "Anchor\nAn iron hook that holds a ship to the ground.\nBow\nThe front of a ship."),
+    ("<div><div><div><p>Deep inside three boxes there is one paragraph of text.</p></div></div></div>", "Deep inside three boxes there is one paragraph of text."),
+    ('<div class="q7"><a href=1>Start</a> <a href=2>Rooms</a> <a href=3>Prices</a></div><div class="x1"><h1>House by the lake</h1><p>Six rooms look out on the water, and two on the wood.</p><p>Breakfast is served until eleven.</p></div><div class="z9"><a href=i>Imprint</a></div>', "House by the lake\nSix rooms look out on the water, and two on the wood.\nBreakfast is served until eleven."),
+    ("<pre>for i in range(3):\n    print(i)</pre><p>This prints three numbers, one a line.</p>", "for i in range(3): print(i)\nThis prints three numbers, one a line."),
+    ('<p>She wrote: <a href=x>the bees are back</a>. We went to see them, and <a href=y>took photographs</a>.</p><p>They live under the roof of the barn.</p><div class="comments"><p>Lovely!</p></div>', "She wrote: the bees are back. We went to see them, and took photographs.\nThey live under the roof of the barn."),
+    ("<blockquote>To sail is necessary.</blockquote><p>So the captain is said to have spoken before the storm.</p>", "To sail is necessary.\nSo the captain is said to have spoken before the storm."),
+    ('<div id="cookie-banner">This site uses cookies.</div><h1>Opening hours</h1><p>We are open from nine to five on all days but Monday.</p>', "Opening hours\nWe are open from nine to five on all days but Monday."),
+    # with article or main
+    ('<header><a href=/>Blog</a></header><article><p>Short note.</p></article><footer>Made by hand</footer>', "Short note."),
+    ('<main><p>The ferry runs <a href=t>every hour</a> in summer and <a href=w>twice a day</a> in winter.</p></main><aside><h3>See also</h3><ul><li><a href=1>Buses</a></li></ul></aside>', "The ferry runs every hour in summer and twice a day in winter."),
+    ("<article><ul><li>Milk</li><li>Eggs and flour</li><li>One lemon</li></ul></article><nav><a href=1>Next</a></nav>", "Milk\nEggs and flour\nOne lemon"),
+    ("<article><ol><li><a href=1>Step one</a> explains the tools.</li><li><a href=2>Step two</a> explains the wood.</li></ol></article>", "Step one explains the tools.\nStep two explains the wood."),
+    ('<article><h1>Interview</h1><p><b>Why did you leave?</b></p><p>Because the roof leaked.</p><aside class="promo"><p>Listen to our podcast!</p></aside><p><b>And then?</b></p><p>Then I built a new house.</p></article>', "Interview\nWhy did you leave?\nBecause the roof leaked.\nAnd then?\nThen I built a new house."),
+    ('<main id="main"><article><h2>Results</h2><table><tr><td>Home</td><td>3</td></tr><tr><td>Guests</td><td>1</td></tr></table></article></main><section class="related"><h3>More games</h3><a href=x>Last week</a></section>', "Results\nHome\n3\nGuests\n1"),
+    ('<div role="alert">Our office is closed today.</div><main><h1>Forms</h1><p>Fill in the form and bring it along.</p></main><div class="site-footer"><a href=p>Privacy</a></div>', "Forms\nFill in the form and bring it along."),
+    ('<article><p>One.</p><p>Two.</p><p>Three.</p></article><div class="share"><a href=f>Share</a></div>', "One.\nTwo.\nThree."),
+    ('<div class="topbar">Call us: 555 0100</div><article><h1>Roof repair</h1><p>Tiles are laid from the gutter upwards.</p><figure><img src=r.jpg><figcaption>A tiled roof</figcaption></figure></article><div class="widget"><p>Ask for an offer.</p></div>', "Roof repair\nTiles are laid from the gutter upwards.\nA tiled roof"),
+    ("<article>Before <b>anything</b> else, breathe.<ul><li>In</li><li>Out</li></ul>Then go on.</article>", "Before anything else, breathe.\nIn\nOut\nThen go on."),
+    ('<main><form action=/s><input name=q><button>Find</button></form><p>Nothing was ever found in the north field.</p></main>', "Nothing was ever found in the north field."),
+    ('<article><p>The choir sings on Tuesday.</p></article><section class="comments"><article><p>I will be there.</p></article><article><p>Me too!</p></article></section>', "The choir sings on Tuesday."),
+    ('<nav class="breadcrumb"><a href=/>Home</a></nav><main><h1>Water</h1><section><h2>Cold</h2><p>It freezes at nought.</p></section><section><h2>Hot</h2><p>It boils at a hundred.</p></section></main>', "Water\nCold\nIt freezes at nought.\nHot\nIt boils at a hundred."),
+    ('<article><p>Paid content ends here.</p><div class="paywall"><p>Subscribe for more.</p></div></article><footer><ul><li><a href=a>About</a></li><li><a href=b>Jobs</a></li></ul></footer>', "Paid content ends here."),
+    # nothing to read
+    ("<nav><a href=1>One</a> <a href=2>Two</a></nav><footer>Copyright</footer>", ""),
 ]
 
 
 def test_hand_made_layouts():
-    """At most one block in twenty is told wrongly."""
+    """At most three blocks in a hundred are told wrongly; a third of the pages and more have neither article nor main, and none loses its whole text."""
     field, wrong, total = page_text.default_field(), 0, 0
     for html, want in LAYOUTS:
-        got, want = page_text.main_text(html, field).split("\n"), want.split("\n")
+        text = page_text.main_text(html, field)
+        assert bool(text) == bool(want), html
+        got, want = text.split("\n"), want.split("\n")
         wrong += len(set(got) ^ set(want))
         total += len(page_text.blocks(html))
     print(f"{wrong} of {total} blocks of {len(LAYOUTS)} pages by hand are wrong")
-    assert wrong <= total / 20
+    assert wrong <= 0.03 * total and len(LAYOUTS) >= 60
+    assert sum("<article" not in h and "<main" not in h for h, _ in LAYOUTS) >= len(LAYOUTS) / 3
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_needed_blocks_by_brute_force(seed):
+    """The best labelling, and the best of those that give 1 to a needed block."""
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 8))
+    u, needed = (r.normal(size=n) - 2).tolist(), (r.random(n) < 0.4).tolist()
+    field = page_text.Field({}, r.normal(size=(2, 2)), float(r.normal()))
+    score = lambda y: field.start * y[0] + sum(x * b for x, b in zip(u, y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:]))
+    every = [[k >> i & 1 for i in range(n)] for k in range(1 << n)]
+    assert [int(x) for x in field.viterbi(u, [])] == max(every, key=score)
+    if any(needed):
+        assert [int(x) for x in field.viterbi(u, needed)] == max((y for y in every if any(a and b for a, b in zip(y, needed))), key=score)
 
 
 @pytest.mark.parametrize("html", ["<div>" * 20000 + "deep words" + "</div>" * 20000 + "<p>after", "<b>" * 20000 + "<p>x.</p>" * 2000, "<p>a</q>" * 20000, "<article>" + "<p>One sentence of a long page.</p>" * 60000])
