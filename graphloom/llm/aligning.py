@@ -7,7 +7,7 @@ hold it linked; among an A id's pairs those of the highest count are its best.
 Plan. Each text is encoded once by both tokenizers; the events of one side in a window of bytes travel as one row (a run: the bytes before it, and its ids, whose byte lengths give the offsets), so that an event costs
 two bytes rather than a row. The machine takes runs of many documents at once and keeps between them the open document's sums, its hash and the tokens since its last closed group,
 never a document's events. Finished documents are written in blocks with their *distinct* pairs. Pairs are counted over blocks, the counts' table (bounded by the
-product of the vocabularies, not broadcast) meets each block's distinct pairs by shuffle, pairs that very many blocks hold by broadcast of a bounded number, and a block's answers meet the block again by its number.
+product of the vocabularies, not broadcast) meets each block's distinct pairs by shuffle, pairs that very many blocks hold by broadcast of a bounded number, and a block's answers meet the block again by its number. Blocks and counts are removed when the result, a few numbers a document, is written.
 
 Offsets are of a space and the text. Texts hold tokenizer marks as plain text.
 
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import frugal, spread_join, stored, worker_cache
+from graphloom.llm.common import frugal, remove, spread_join, stored, worker_cache
 from graphloom.llm.katz import squeeze, unsqueeze
 from graphloom.llm.packing import byte_letters
 from graphloom.llm.pieces import MARK, PieceEncoder
@@ -509,9 +509,9 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, window: int = WINDOW, step: int = STEP) -> DataFrame:
     """ALIGNED: one row per document."""
     paths = paths or tokenizer_paths()
-    blocks, _ = stored(blocks_of(docs, paths, window, step))
+    blocks, blocks_at = stored(blocks_of(docs, paths, window, step))
     pairs = _pairs(blocks)
-    about, _ = stored(pair_counts(pairs))
+    about, about_at = stored(pair_counts(pairs))
     told = spread_join(pairs.select("block", "place", "code"), about, "code", "n_blocks").select("block", "place", "n", "best")
 
     def answer(key: tuple, block: pa.Table, told: pa.Table) -> pa.Table:
@@ -530,7 +530,9 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None, window: int =
             out.append(pa.table(columns, names=[x.split()[0] for x in ALIGNED.split(", ")]))
         return pa.concat_tables(out)
 
-    return blocks.select("block", "doc_id", "sums", "digests", "entries", "times").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, ALIGNED)
+    out, _ = stored(blocks.select("block", "doc_id", "sums", "digests", "entries", "times").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, ALIGNED))
+    remove(docs.sparkSession, blocks_at, about_at)
+    return out
 
 
 def link_table(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:

@@ -47,10 +47,14 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Keys that are broadcast at most.
+HOT_KEYS = 20_000
+
+
 def spread_join(rows: DataFrame, about: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with about, which has one row a key and the number of its rows. Keys with more than a thousandth of all rows, fewer than 1,000 whatever
+    """rows joined (inner or left) with about, which has one row a key and the number of its rows, and is read more than once. Keys with more than 1 / HOT_KEYS of all rows, fewer than HOT_KEYS whatever
     the input, are broadcast, so their rows stay where they are; the others are shuffled."""
-    most = max(1000, int(about.agg(F.sum(size)).first()[0] or 0) // 1000)
+    most = max(1000, int(about.agg(F.sum(size)).first()[0] or 0) // HOT_KEYS)
     hot = F.broadcast(about.where(F.col(size) > most))
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(about.where(F.col(size) <= most), key, how)
     return rows.join(hot, key).unionByName(rest)

@@ -18,7 +18,7 @@ the first level. Buckets follow the number of tokens, so none grows with the inp
 with more than a quarter of a bucket's tokens is split by the next word, and its sums (at most 1 / HOT histories a level, whatever the input) are the
 only thing that reaches the driver besides totals. A text longer than a block becomes several pieces, which know the two words before them.
 
-Tables are written to the shared folder and removed when the next one is there; what a lost executor held is read or computed again.
+Tables are written to the shared folder; all are removed when the scores, a few numbers a document, are written. What a lost executor held is read or computed again.
 
 Words are told apart by 64-bit hashes, and histories of two words inside a bucket by hashes of their numbers.
 
@@ -491,7 +491,7 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT
     model = Model(Unigrams(tokens, types, small))
     texts, texts_at = stored(encoded(blocks, told, deal.buckets))
     remove(spark, blocks_at, told_at)
-    parts = [texts]
+    parts, paths = [texts], [texts_at]
 
     def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -516,7 +516,8 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT
     if deal.begins:
         for level in (2, 3):
             asks = texts.select("block", "data").mapInArrow(ask_pairs, ASKS) if level == 2 else together().applyInArrow(ask_triples, ASKS)
-            found, _ = stored(count_grams(asks, level, shared, deal.buckets))
+            found, found_at = stored(count_grams(asks, level, shared, deal.buckets))
+            paths.append(found_at)
             model.learn(level, found)
             shared = spark.sparkContext.broadcast(model)
             parts.append(found)
@@ -531,9 +532,9 @@ def scores(docs: DataFrame, bucket_tokens: int = BUCKET_TOKENS, hot: float = HOT
         columns = [piece, pa.array(b.ids, mask=b.null), pa.array(b.train == 0), pa.array(b.size - b.lead), pa.array(known), pa.array(np.full(b.n, m.uni.N)), pa.array(base.astype(float)), pa.array(score.astype(float))]
         return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
 
-    out = together().applyInArrow(evaluate, SCORES)
+    out, _ = stored(together().applyInArrow(evaluate, SCORES))
+    remove(spark, *paths)
     if total["pieces"]:
-        out, _ = stored(out)
         whole = out.where("piece IS NOT NULL").groupBy("piece", "doc_id", "held_out", "train_tokens").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
         out = out.where("piece IS NULL").unionByName(whole)
     return out.drop("piece")

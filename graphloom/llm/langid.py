@@ -8,7 +8,7 @@ the least; a text whose two best languages are closer than a margin learnt from
 
 Training uses about `per_language` texts of each language (those with the least hashes of their ids), fewer where that makes more than MAX_TEXTS of
 all languages: documented bounds, outside the held-out fold. Long texts are read in runs. Defined results: null texts and texts without a letter are `und` with score 0; so is every text if nothing could be learnt; with
-one language all others get it; repeated rows have equal results; null languages teach nothing.
+one language all others get it; a language is learnt from one text on; repeated rows have equal results; null languages teach nothing.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ PER_LANGUAGE = 600
 #: Texts of all languages together: bounds what reaches the driver.
 MAX_TEXTS = 6000
 SLOTS = 1 << 12
-#: Languages with fewer training texts are not learnt.
-LEAST = 3
 UNKNOWN = "und"
 #: Bytes that part words: all ASCII but letters. Small letters stand for large ones.
 _FOLDED = np.full(256, 32, np.uint8)
@@ -132,9 +130,9 @@ class Coded:
 
 
 def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, rate: float = 8.0, decay: float = 1e-5) -> Coded:
-    """x: vectors; y: indexes of languages. Every fifth text is set aside to weigh the bits."""
+    """x: vectors; y: indexes of languages, ascending. Every fifth text of a language is set aside to weigh the bits."""
     code = codewords(len(languages)).astype(np.float32)
-    aside = np.arange(len(y)) % 5 == 4
+    aside = (np.arange(len(y)) - np.searchsorted(y, y)) % 5 == 4
     w, bias = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     xt, target = x[~aside], code[y[~aside]]
     share = np.bincount(y[~aside], minlength=len(languages)).astype(np.float32)
@@ -157,11 +155,11 @@ def fit(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150, ra
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Coded | None:
     """Learns from a bounded sample of each language; only vectors reach the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 3) != 1)).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] >= LEAST}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    per_language = min(per_language, max(LEAST, MAX_TEXTS // len(languages)))
+    per_language = min(per_language, max(1, MAX_TEXTS // len(languages)))
     # A share of the ids by hash that holds per_language of them on average; the limit below bounds what chance adds.
     ticket = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
     share = F.lit(-1)

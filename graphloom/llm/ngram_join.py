@@ -253,8 +253,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     reps = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     reps = cut(reps)
     exploded = reps.select("fp", F.explode("bands").alias("band"))
-    buckets = exploded.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = cut(star_components(exploded.join(buckets.select("band", "v"), "band").select(F.col("fp").alias("u"), "v")))
+    buckets = cut(exploded.groupBy("band").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    groups = cut(star_components(spread_join(exploded, buckets, "band", "n").select(F.col("fp").alias("u"), "v")))
     sizes = cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     about = reps.select("fp", "copies", "bands").join(sets_of(docs, groups.select(F.col("node").alias("fp"))), "fp")
     members = groups.select(F.col("node").alias("fp"), "root")
@@ -263,7 +263,6 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     if large.isEmpty():
         whole, by_bucket = members.select("fp", F.col("root").alias("group"), F.lit(1).alias("parts"), F.lit(-1).alias("only")), None
     else:
-        buckets = cut(buckets)
         homes = groups.select(F.col("node").alias("v"), "root")
         sent = buckets.join(homes, "v").groupBy("root").agg(F.sum(F.col("n") * n_blocks("n")).alias("sent"))
         sizes = cut(sizes.join(sent, "root", "left").withColumn("split", (F.col("size") > BLOCK) & (F.col("sent") < F.col("size") * n_blocks("size"))))
