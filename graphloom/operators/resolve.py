@@ -397,7 +397,12 @@ def environments(used: DataFrame, look: Lookups) -> DataFrame:
 
 def written(nodes: DataFrame, look: Lookups, paths: DataFrame) -> DataFrame:
     """nodes (id, file_path, doc and others) with types written out. paths: key, info, context of followed paths."""
-    paths = paths.where("info IS NOT NULL")
+    # a function's name as a value has the function's type; what else only names something has none
+    form = F.concat(F.lit('{"kind": "function", "parameters": '), F.get_json_object("doc", "$.parameters"), F.lit(', "returnType": '), F.get_json_object("doc", "$.returnType"), F.lit("}"))
+    functions = nodes.where("kind = 'function'").select(F.col("id").alias("of"), form.alias("form"), F.col("file_path").alias("there"))
+    names_it = F.get_json_object("info", "$.kind") == "symbol"
+    values = paths.where(names_it).withColumn("of", F.get_json_object("info", "$.id")).join(functions, "of").select("key", F.col("form").alias("info"), F.col("there").alias("context"))
+    paths = cut(paths.where(~names_it).select("key", "info", "context").unionByName(values))
     used = paths.select(F.col("context").alias("root"), F.col("context").alias("file"), F.explode(inside("info")["names"]).alias("name"))
     used = used.unionByName(nodes.select(F.col("file_path").alias("root"), F.col("file_path").alias("file"), F.explode(inside("doc")["names"]).alias("name")))
     env = cut(environments(used, look))

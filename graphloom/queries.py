@@ -535,6 +535,61 @@ def extract_edges(spark, sf):
     return extract.graph(_sources(spark, sf))[1].select("kind", "src", "dst", "line", F.array_join("imported_names", ",").alias("names"))
 
 
+#: Four files a customer @k, whose next is @n: a class and a function behind two re-exports under other names, and uses of them that a name alone doesn't tell.
+_WORKSHOP = {
+    "lib/g@k.ts": "import { Gear@n } from './g@n';\nexport type Size = 'small' | 'large' | @k;\nexport class Gear@k {\n  teeth = @k;\n  constructor(private next: Gear@n) {}\n  turn(by: number) { return by > 2 ? 'small' : 'large'; }\n  other() { return this.next; }\n}\nexport function weigh(x: number, size?: Size) { return x * @k; }\n",
+    "hub/h@k.ts": "export { weigh as measure, Gear@k as Cog } from '../lib/g@k';\n",
+    "hub/i@k.ts": "export * from './h@k';\n",
+    "app/a@k.ts": "import { measure as size, Cog } from '../hub/i@k.js';\nexport function shadow(size: (n: number) => string) { return size(@k); }\nexport function far() { return size(@k); }\nexport function typed(g: Cog, list: Cog[]) {\n  list[0].other();\n  return g.other().turn(1);\n}\nexport const later = async () => typed;\nexport async function made() { const c = new Cog(null); { const size = c; size.turn(2); } return c; }\n",
+}
+
+
+def _workshop(spark, sf) -> DataFrame:
+    c = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey")
+    k, n = F.col("c_custkey").cast("string"), ((F.col("c_custkey") + 1) % F.lit(c.count())).cast("string")
+    filled = lambda x: F.replace(F.replace(x, F.lit("@k"), k), F.lit("@n"), n)
+    files = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(t).alias("t")) for p, t in _WORKSHOP.items()]))
+    return c.withColumn("f", files).select(filled(F.col("f.p")).alias("file_path"), filled(F.col("f.t")).alias("text"))
+
+
+#: Caller, called, line.
+_WORKSHOP_CALLS = [
+    ("app/a@k.ts#function:far", "lib/g@k.ts#function:weigh", 3), ("app/a@k.ts#function:typed", "lib/g@k.ts#function:Gear@k.other", 5), ("app/a@k.ts#function:typed", "lib/g@k.ts#function:Gear@k.other", 6),
+    ("app/a@k.ts#function:typed", "lib/g@n.ts#function:Gear@n.turn", 6), ("app/a@k.ts#function:made", "lib/g@k.ts#function:Gear@k.turn", 9),
+]
+_SIZES = '{"kind": "literal", "value": "small"}, {"kind": "literal", "value": "large"}'
+_NUMBER = '{"kind": "primitive", "name": "number"}'
+_GEAR = '{"kind": "reference", "name": "Gear%s", "typeArguments": []}'
+_GIVEN = '"isOptional": false, "isRest": false}'
+_TYPED = f'{{"name": "g", "typeInfo": {_GEAR % "@k"}, {_GIVEN}, {{"name": "list", "typeInfo": {{"kind": "array", "elementType": {_GEAR % "@k"}}}, {_GIVEN}'
+#: Name, file, line, column, whether it is async, parameters, what it returns.
+_WORKSHOP_DOCS = [
+    ("weigh", "lib/g@k.ts", 9, 1, "false", f'{{"name": "x", "typeInfo": {_NUMBER}, {_GIVEN}, {{"name": "size", "typeInfo": {{"kind": "union", "members": [{_SIZES}, {{"kind": "literal", "value": @k}}]}}, "isOptional": true, "isRest": false}}', _NUMBER),
+    ("Gear@k.constructor", "lib/g@k.ts", 5, 3, "false", f'{{"name": "next", "typeInfo": {_GEAR % "@n"}, {_GIVEN}', '{"kind": "primitive", "name": "void"}'),
+    ("Gear@k.turn", "lib/g@k.ts", 6, 3, "false", f'{{"name": "by", "typeInfo": {_NUMBER}, {_GIVEN}', f'{{"kind": "union", "members": [{_SIZES}]}}'),
+    ("Gear@k.other", "lib/g@k.ts", 7, 3, "false", "", _GEAR % "@n"),
+    ("shadow", "app/a@k.ts", 2, 1, "false", f'{{"name": "size", "typeInfo": {{"kind": "function", "parameters": [{{"name": "n", "typeInfo": {_NUMBER}, {_GIVEN}], "returnType": {{"kind": "primitive", "name": "string"}}}}, {_GIVEN}', '{"kind": "primitive", "name": "string"}'),
+    ("far", "app/a@k.ts", 3, 1, "false", "", _NUMBER),
+    ("typed", "app/a@k.ts", 4, 1, "false", _TYPED, f'{{"kind": "union", "members": [{_SIZES}]}}'),
+    ("later", "app/a@k.ts", 8, 14, "true", "", f'{{"kind": "reference", "name": "Promise", "typeArguments": [{{"kind": "function", "parameters": [{_TYPED}], "returnType": {{"kind": "union", "members": [{_SIZES}]}}}}]}}'),
+    ("made", "app/a@k.ts", 9, 1, "true", "", f'{{"kind": "reference", "name": "Promise", "typeArguments": [{_GEAR % "@k"}]}}'),
+]
+_FILLED = "replace(replace({}, '@k', k::varchar), '@n', n::varchar)"
+
+
+@query("extract_calls", _SOURCES + f"select {_FILLED.format('src')} src, {_FILLED.format('dst')} dst, line from c, (values {', '.join(map(str, _WORKSHOP_CALLS))}) v(src, dst, line)")
+def extract_calls(spark, sf):
+    """Calls through shadowed names, re-exports, receivers and inferred types."""
+    return extract.graph(_workshop(spark, sf))[1].where("kind = 'call'").select("src", "dst", "line")
+
+
+@query("extract_docs", _SOURCES + f"""select {_FILLED.format("f || '#function:' || nm")} id, {_FILLED.format("'{{\"kind\": \"function\", \"id\": \"' || f || '#function:' || nm || '\", \"name\": \"' || nm || '\", \"filePath\": \"' || f || '\", \"line\": ' || l || ', \"column\": ' || col || ', \"isExported\": true, \"isAsync\": ' || a || ', \"parameters\": [' || ps || '], \"returnType\": ' || r || '}}'").replace('{{', '{').replace('}}', '}')} doc
+ from c, (values {", ".join(map(str, _WORKSHOP_DOCS))}) v(nm, f, l, col, a, ps, r)""")
+def extract_docs(spark, sf):
+    """Whole documents of functions, with inferred types and aliases written out."""
+    return extract.graph(_workshop(spark, sf))[0].where("kind = 'function'").select("id", "doc")
+
+
 @query("escapes", r"""select doc_id, replace(replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(13), '\r'), chr(10), '\n') dot, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;') html from documents""")
 def escapes(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -588,14 +643,6 @@ def dot_lines(spark, sf):
     return report.dot_lines(n, e, entry_ids(n))
 
 
-@query("import_pages", "select page_id, count(*) links from (select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) h from pages) group by 1")
-def import_pages(spark, sf):
-    """Links of pages, as import edges out of a module."""
-    p = spark.read.parquet(f"{sf}/pages.parquet")
-    links = p.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("h"))
-    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
-
-
 def _visible(n, e):
     return filters.visible(n, e, hidden_kinds=("interface",))
 

@@ -153,6 +153,13 @@ def test_types_written_out(built):
     assert built[0][G + "function:Part.weigh"]["parameters"][0]["typeInfo"] == N and built[0][G + "typeAlias:Teeth"]["typeInfo"] == N
 
 
+def test_functions_as_values(spark):
+    files = [("a.ts", "import { f } from './b';\nexport const g = () => f;\nexport const h = () => C;\nclass C {}\n"), ("b.ts", "type T = 1 | 2;\nexport function f(x: T) { return w(x); }\nfunction w(y: T) { return y; }\n")]
+    docs = {r["name"]: json.loads(r["doc"]) for r in extract.graph(spark.createDataFrame(files, "file_path string, text string"))[0].collect()}
+    assert docs["g"]["returnType"] == {"kind": "function", "parameters": [{"name": "x", "typeInfo": literal(1, 2), "isOptional": False, "isRest": False}], "returnType": literal(1, 2)}
+    assert docs["h"]["returnType"] == {"kind": "unknown", "raw": "C"} and docs["f"]["returnType"] == literal(1, 2)
+
+
 def test_nothing_is_left_unwritten(built):
     assert '"path"' not in json.dumps(built[0]) and '"instance"' not in json.dumps(built[0])
 
