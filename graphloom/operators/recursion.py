@@ -1,7 +1,8 @@
 """Recursive operators: reachability, cycles, components, layers, call paths, neighbourhoods.
 
 Each closure has two ways with one result: a loop of joins over DataFrames, its lineage cut by reliable checkpoints, and, for graphs of at most
-`local.SMALL` rows, one task. `small` forces either."""
+`local.SMALL` rows, one task. `small` forces either. Loops first contract the graph (plans/contract.py), as long as that takes off a part of it: rounds grow with the logarithm of long chains, of trees' sizes and of rings,
+and with the depth only of what can't be contracted."""
 
 from __future__ import annotations
 
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 from graphloom.functions.scalars import is_test_path
 from graphloom.operators.degree import fan_metrics
 from graphloom.plans import local
+from graphloom.plans.contract import NEVER, Chains, Rounds, chains, degrees, merged, weighted
 from graphloom.plans.fixpoint import cut, numbered, star_components
 
 PATHS, PATH_NODES, CYCLE_IDS = 25, 10, 10
+#: The share of the edges that contracting must take off to go on.
+WORTH = 1 / 8
 #: Open paths that are advanced at once; frontiers that are kept as parts before they are joined.
 BATCH, PARTS = 2000, 8
 
@@ -34,21 +38,42 @@ def _compact(parts: list[DataFrame]) -> list[DataFrame]:
     return parts if len(parts) <= PARTS else [cut(_union(parts).coalesce(max(1, parts[0].rdd.getNumPartitions())))]
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, small: bool | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, small: bool | None = None, rounds: Rounds | None = None) -> DataFrame:
     """id of everything reached from the seeds (id) along edges of all kinds; unknown ids are reached and followed too."""
     steps = edges.select("src", "dst").distinct()
     if local.is_small(steps, seeds) if small is None else small:
         kind = _type(seeds, "id")
         return local.solve({"edges": steps, "seeds": seeds.select("id", F.col("id").alias("__v"))}, local.reach, f"node {kind}").withColumnRenamed("node", "id")
-    steps = cut(steps)
-    frontier = cut(seeds.select("id").distinct())
-    seen = [frontier]
-    while True:
-        new = steps.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(new.join(_union(seen), "id", "left_anti"))
+    done = rounds or Rounds()
+    start = done(seeds.select("id").distinct())
+    kept = start.withColumnRenamed("id", "node")
+    e, shed = done(weighted(steps.where("src <> dst"))), []  # shed: (from, to) of nodes taken off, reached where `from` is
+    n = e.count()
+    while n:
+        c = chains(e, done, kept)
+        if c:
+            shed.append(c.inner.select(F.col("head").alias("from"), F.col("node").alias("to")))
+            e = c.edges.where("src <> dst")
+        d = done(degrees(e).where("i = 0 OR o = 0").join(kept, "node", "left_anti").select("node", "i", "o"))
+        ends = e.join(d.where("o = 0").select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("from"), F.col("dst").alias("to"))
+        shed.append(done(ends))
+        # nothing leads to a source that is no seed
+        e = done(e.join(d.where("o = 0").select(F.col("node").alias("dst")), "dst", "left_anti").join(d.where("i = 0").select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "w", "c"))
+        left = e.count()
+        if left > (1 - WORTH) * n:
+            break
+        n = left
+    frontier, seen = start, [start]
+    while not e.isEmpty():
+        new = e.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = done(new.join(_union(seen), "id", "left_anti"))
         if frontier.isEmpty():
-            return _union(seen)
+            break
         seen = _compact([*seen, frontier])
+    for off in reversed(shed):
+        more = off.join(_union(seen).withColumnRenamed("id", "from"), "from", "left_semi").select(F.col("to").alias("id")).distinct()
+        seen = _compact([*seen, done(more)])
+    return _union(seen)
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, small: bool | None = None) -> DataFrame:
@@ -65,48 +90,65 @@ def ordered_dead_code(dead: DataFrame) -> DataFrame:
     return dead.orderBy(F.collate("file_path", "UNICODE"), F.collate("name", "UNICODE"))
 
 
-def strong_components(edges: DataFrame, small: bool | None = None) -> DataFrame:
+def strong_components(edges: DataFrame, small: bool | None = None, rounds: Rounds | None = None) -> DataFrame:
     """node, root (the least node) of strongly connected components of two nodes or more."""
     e = edges.select("src", "dst").where("src <> dst").distinct()
     kind = _type(e, "src")
     if local.is_small(e) if small is None else small:
         return local.solve({"edges": e}, local.strong, f"node {kind}, root {kind}")
-    e = cut(e)
-    done = None
+    done = rounds or Rounds()
+    e, records, found = done(weighted(e)), [], [e.select(F.col("src").alias("node"), F.col("dst").alias("label")).limit(0)]
     while True:
-        while True:  # nodes without a way in or without a way out are in no cycle
-            kept = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-            kept, before = cut(kept), e.count()
-            e = kept
-            if e.count() == before:
-                break
+        e = _contracted_for_components(e, done, records, found)
         if e.isEmpty():
             break
         # every node's colour: the greatest node that reaches it
-        colour = cut(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        colour = done(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("colour", F.col("node")))
         while True:
             seen = e.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("c"))
-            new = cut(colour.join(seen, "node", "left").select("node", F.greatest("colour", "c").alias("new"), "colour"))
+            new = done(colour.join(seen, "node", "left").select("node", F.greatest("colour", "c").alias("new"), "colour"))
             changed = not new.where("new <> colour").isEmpty()
             colour = new.select("node", F.col("new").alias("colour"))
             if not changed:
                 break
-        # what reaches the node that gives the colour, within the colour, is its component
-        inside = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst")
-        inside = cut(inside)
-        found = frontier = cut(colour.where("node = colour"))
+        # what reaches the node that gives the colour, within the colour, is its component; no component spans two colours
+        inside = e.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", "w", "c")
+        inside = done(inside)
+        own = frontier = done(colour.where("node = colour"))
         while True:
             back = inside.join(frontier.select(F.col("node").alias("dst"), "colour"), "dst").select(F.col("src").alias("node"), "colour").distinct()
-            frontier = cut(back.join(found, "node", "left_anti"))
+            frontier = done(back.join(own, "node", "left_anti"))
             if frontier.isEmpty():
                 break
-            found = cut(found.unionAll(frontier))
-        done = found if done is None else cut(done.unionAll(found))
-        e = cut(e.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    if done is None:
-        return e.select(F.col("src").alias("node"), F.col("dst").alias("root")).limit(0)
-    least = done.groupBy("colour").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return done.join(least, "colour").select("node", "root")
+            own = done(own.unionAll(frontier))
+        found.append(own.select("node", F.col("colour").alias("label")))
+        e = done(inside.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti"))
+    labels = done(_union(found))
+    for c in reversed(records):  # a chain belongs to the component of both its ends; one that comes back to its head makes one with it
+        ends = c.inner.join(c.tails, "first").select("node", "head", "tail").join(labels.select(F.col("node").alias("head"), F.col("label").alias("a")), "head", "left").join(labels.select(F.col("node").alias("tail"), F.col("label").alias("b")), "tail", "left")
+        ends = done(ends.withColumn("label", F.when(F.col("head") == F.col("tail"), F.coalesce("a", "head")).when(F.col("a") == F.col("b"), F.col("a"))).where("label IS NOT NULL"))
+        heads = ends.where("head = tail AND a IS NULL").select(F.col("head").alias("node"), "label").distinct()
+        labels = done(labels.unionAll(ends.select("node", "label")).unionAll(heads))
+    least = labels.groupBy("label").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return labels.join(least, "label").select("node", "root")
+
+
+def _contracted_for_components(e: DataFrame, done: Rounds, records: list[Chains], found: list[DataFrame]) -> DataFrame:
+    """e without chains (kept in records), rings (in found), loops, and nodes without a way in or out, which are in no cycle."""
+    n = e.count()
+    while n:
+        c = chains(e, done)
+        if c:
+            records.append(c)
+            found.append(c.rings.select("node", F.col("root").alias("label")))
+            e = c.edges.where("src <> dst")
+        d = degrees(e).where("i > 0 AND o > 0").select("node")
+        e = done(e.join(d.withColumnRenamed("node", "src"), "src", "left_semi").join(d.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "w", "c"))
+        left = e.count()
+        if left > (1 - WORTH) * n:
+            break
+        n = left
+    return e
 
 
 def cycles(nodes: DataFrame, edges: DataFrame, kind: str, least: int = 2, small: bool | None = None) -> DataFrame:
@@ -152,7 +194,45 @@ def clusters(nodes: DataFrame, edges: DataFrame, entry_ids: DataFrame, small: bo
     return out.select("id", F.coalesce("cluster_id", F.lit("orphans")).alias("cluster_id"), F.coalesce("label", F.lit("Orphaned")).alias("label"), F.coalesce("has_entrypoint", F.lit(False)).alias("has_entrypoint"), F.col("root").isNull().alias("is_orphan"))
 
 
-def layers(nodes: DataFrame, edges: DataFrame, membership: DataFrame, small: bool | None = None) -> DataFrame:
+def _levels(edges: DataFrame, nodes: DataFrame, done: Rounds) -> DataFrame:
+    """node, level: the longest path to each node that is neither in nor behind a cycle.
+
+    Round by round sources are given their level and taken off, sinks put aside with their ways in, and chains made edges; what is left in the end lies in or behind cycles. Then chains and sinks, in the opposite order,
+    get theirs, if all that leads to them has one."""
+    e = done(weighted(edges))
+    base = nodes.select("node", F.lit(0).cast("long").alias("base"))
+    level, aside = [nodes.join(e.select(F.explode(F.array("src", "dst")).alias("node")), "node", "left_anti").select("node", F.lit(0).cast("long").alias("level"))], []
+    base = done(base)
+    n = e.count()
+    while n:
+        c = chains(e, done, base=base)
+        if c:
+            aside.append(c.inner.select(F.col("head").alias("src"), F.col("node").alias("dst"), "w", "c"))
+            e = c.edges
+        d = done(degrees(e).select("node", "i", "o"))
+        sources = done(d.where("i = 0").join(base, "node").select("node", F.col("base").alias("level")))
+        told = e.join(sources.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.greatest(F.col("level") + F.col("w"), "c")).alias("more"))
+        base = done(base.join(told, "node", "left").select("node", F.greatest("base", "more").alias("base")))
+        e = e.join(sources.select(F.col("node").alias("src")), "src", "left_anti")
+        sinks = d.where("o = 0").select(F.col("node").alias("dst"))
+        last = e.join(sinks, "dst", "left_semi").join(base.withColumnRenamed("node", "dst"), "dst").select("src", "dst", "w", F.greatest("c", "base").alias("c"))
+        aside.append(done(last))
+        e = done(e.join(sinks, "dst", "left_anti").select("src", "dst", "w", "c"))
+        # what only sources led to, and nothing but sinks followed, is known as well
+        held = e.select(F.explode(F.array("src", "dst")).alias("node")).unionAll(aside[-1].select("dst"))
+        alone = d.where("i > 0").join(held, "node", "left_anti").join(base, "node").select("node", F.col("base").alias("level"))
+        level = _compact([*level, sources, done(alone)])
+        before, n = n, e.count()
+        if n == before:
+            break
+    for off in reversed(aside):
+        known = _union(level)
+        ways = off.join(known.withColumnRenamed("node", "src"), "src", "left").groupBy(F.col("dst").alias("node")).agg(F.bool_and(F.col("level").isNotNull()).alias("free"), F.max(F.greatest(F.col("level") + F.col("w"), "c")).alias("level"))
+        level = _compact([*level, done(ways.where("free").select("node", "level"))])
+    return _union(level)
+
+
+def layers(nodes: DataFrame, edges: DataFrame, membership: DataFrame, small: bool | None = None, rounds: Rounds | None = None) -> DataFrame:
     """id, layer of the nodes of clusters (membership: id, cluster_id; orphans excluded): longest path from the sources inside the cluster.
 
     A node inside or behind a cycle stands one layer below its lowest free predecessor, or, if it has none, one below the cluster's last layer."""
@@ -165,18 +245,7 @@ def layers(nodes: DataFrame, edges: DataFrame, membership: DataFrame, small: boo
         free = local.solve({"edges": inside, "nodes": m.select("id", F.col("id").alias("__v"))}, local.layered, f"node {kind}, layer long").where("layer >= 0").withColumnRenamed("node", "id")
         free = cut(free)
     else:
-        rest = inside
-        left = cut(m.select("id"))
-        free, level = [], 0
-        while True:
-            ready = cut(left.join(rest.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("layer", F.lit(level).cast("long")))
-            if ready.isEmpty():
-                break
-            free = _compact([*free, ready])
-            left = cut(left.join(ready, "id", "left_anti"))
-            rest = cut(rest.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
-            level += 1
-        free = _union(free) if free else left.withColumn("layer", F.lit(0).cast("long")).limit(0)
+        free = _levels(inside, m.select(F.col("id").alias("node")), rounds or Rounds()).select(F.col("node").alias("id"), F.col("level").alias("layer"))
     bound = m.join(free.select("id"), "id", "left_anti")
     behind = inside.join(free.select(F.col("id").alias("src"), "layer"), "src").groupBy(F.col("dst").alias("id")).agg((F.max("layer") + 1).alias("layer")).join(bound.select("id"), "id", "left_semi")
     known = free.select("id", "layer").unionByName(behind)
