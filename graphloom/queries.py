@@ -681,22 +681,40 @@ _WHOLE: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "call_paths": lambda n, e: recursion.call_paths(e, 7),
     "dot_lines": lambda n, e: report.dot_lines(n, e, entry_ids(n)),
 }
-#: Their SQL walks all pairs or paths: too slow over all edges.
-_SLOW = {"components", "clusters", "cluster_summary", "initial_scope", "cluster_select", "import_cycles", "call_cycles", "layers", "call_paths", "dot_lines"}
+#: SQL of another name's query, which holds over these views too.
+_SQL_OF = {"components": "components_thin", "clusters": "clusters_thin", "layers": "layers_cyclic"}
 
 
-def _whole_oracle(name: str) -> str | None:
-    """The query's SQL with the edges of all orders in place of its view."""
-    if name in _SLOW:
-        return None
-    sql, names = ORACLE[name], {"customer": "customer", "orders": "orders"}
+def _whole_oracle(name: str, view: str) -> str:
+    """The query's SQL with the view's edges, those of all orders, in place of its own."""
+    sql, names = ORACLE[_SQL_OF.get(name, name)], {"customer": "customer", "orders": "orders"}
+    if name == "dot_lines":  # layers in and behind cycles as well
+        sql = sql.replace(_LAYERED.removeprefix(_CLUSTERS), _CYCLIC.removeprefix(_CLUSTERS).replace("select id, cluster_id, cast", ", lay as (select id, cluster_id, cast") + ")")
     for part in ("thin", "dense", "sparse"):  # sparse is the beginning of thin
-        sql = sql.replace(views.EDGES[part].format(**names), views.EDGES["all"].format(**names))
+        sql = sql.replace(views.EDGES[part].format(**names), views.EDGES[view].format(**names))
     return sql
 
 
 for _name, _f in _WHOLE.items():
 
-    @query(f"{_name}_all", _whole_oracle(_name))
+    @query(f"{_name}_all", _whole_oracle(_name, "all"))
     def whole(spark, sf, f=_f):
         return f(*graph(spark, sf, "all")) if f else graph_roundtrip(spark, sf, "all")
+
+
+_BLOCKS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
+    n: _WHOLE[n] for n in ("effective_orphans", "reachable", "dead_code", "dead_code_by_file", "components", "clusters", "cluster_summary", "initial_scope", "cluster_select", "import_cycles", "call_cycles", "layers", "dot_lines")
+} | {
+    "call_paths": lambda n, e: recursion.call_paths(e, 27),
+    "reachable_loop": lambda n, e: recursion.reachable(e, entry_ids(n), small=False),
+    "components_loop": lambda n, e: recursion.components(n, e, small=False).fillna(-1, "root"),
+    "clusters_loop": lambda n, e: recursion.clusters(n, e, entry_ids(n), small=False),
+    "cycles_loop": lambda n, e: recursion.cycles(n, e, "import", small=False),
+    "layers_loop": lambda n, e: recursion.layers(n, e, recursion.clusters(n, e, entry_ids(n)), small=False),
+}
+_SQL_OF |= {"components_loop": "components_thin", "clusters_loop": "clusters_thin", "cycles_loop": "import_cycles", "layers_loop": "layers_cyclic"}
+for _name, _f in _BLOCKS.items():
+
+    @query(f"{_name}_blocks", views.duck("blocks", _paths(27)) if _name == "call_paths" else _whole_oracle(_name, "blocks"))
+    def blocks(spark, sf, f=_f):
+        return f(*graph(spark, sf, "blocks"))

@@ -21,6 +21,8 @@ EDGES = {
     "sparse": _EDGES.format(dst="(o_custkey * 7 + o_orderkey % 2)", where="o_orderstatus = 'P'"),
     "dense": _EDGES.format(dst="(o_custkey * 7 + o_orderkey)", where="o_orderstatus in ('P', 'O')"),
     "all": _EDGES.format(dst="(o_custkey * 7 + o_orderkey)", where="true"),
+    # over all orders too, but mostly forwards inside blocks of ten customers: many components, orphans, dead code, layers, and cycles in some blocks
+    "blocks": _EDGES.format(dst="(case when o_orderkey % 97 = 0 then o_custkey - o_custkey % 10 else least(o_custkey - o_custkey % 10 + 9, o_custkey + 1 + o_orderkey % 3) end)", where="true"),
     "thin": _EDGES.format(dst="(o_custkey * 7 + o_orderkey % 2)", where="o_orderstatus = 'P' and o_orderpriority = '1-URGENT' and o_totalprice < 120000"),
 }
 ENTRY_FILE = "src/n0.ts"

@@ -11,7 +11,7 @@ def test_all_orders(spark):
     assert QUERIES["edge_groups_all"](spark, SF).agg({"edge_count": "sum"}).first()[0] == views.edges(spark, SF, "all").count()
 
 
-@pytest.mark.parametrize("name", ["reachable_all", "visibility_all", "subgraph_edges_all", "effective_orphans_all"])
+@pytest.mark.parametrize("name", ["reachable_all", "visibility_all", "subgraph_edges_all", "effective_orphans_all", "dead_code_by_file_blocks", "layers_blocks", "call_paths_blocks", "dot_lines_blocks"])
 def test_queries_over_all_orders(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
