@@ -33,9 +33,9 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, parts)
 
 
-def _compact(parts: list[DataFrame]) -> list[DataFrame]:
+def _compact(parts: list[DataFrame], write=cut) -> list[DataFrame]:
     """Parts are written once; only now and then are they written again, as one."""
-    return parts if len(parts) <= PARTS else [cut(_union(parts).coalesce(max(1, parts[0].rdd.getNumPartitions())))]
+    return parts if len(parts) <= PARTS else [write(_union(parts).coalesce(max(1, parts[0].rdd.getNumPartitions())))]
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, small: bool | None = None, rounds: Rounds | None = None) -> DataFrame:
@@ -69,11 +69,11 @@ def reachable(edges: DataFrame, seeds: DataFrame, small: bool | None = None, rou
         frontier = done(new.join(_union(seen), "id", "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _compact([*seen, frontier])
+        seen = _compact([*seen, frontier], done)
     for off in reversed(shed):
         more = off.join(_union(seen).withColumnRenamed("id", "from"), "from", "left_semi").select(F.col("to").alias("id")).distinct()
-        seen = _compact([*seen, done(more)])
-    return _union(seen)
+        seen = _compact([*seen, done(more)], done)
+    return done.last(_union(seen))
 
 
 def dead_code(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, small: bool | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ def strong_components(edges: DataFrame, small: bool | None = None, rounds: Round
         heads = ends.where("head = tail AND a IS NULL").select(F.col("head").alias("node"), "label").distinct()
         labels = done(labels.unionAll(ends.select("node", "label")).unionAll(heads))
     least = labels.groupBy("label").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return labels.join(least, "label").select("node", "root")
+    return done.last(labels.join(least, "label").select("node", "root"))
 
 
 def _contracted_for_components(e: DataFrame, done: Rounds, records: list[Chains], found: list[DataFrame]) -> DataFrame:
@@ -221,15 +221,15 @@ def _levels(edges: DataFrame, nodes: DataFrame, done: Rounds) -> DataFrame:
         # what only sources led to, and nothing but sinks followed, is known as well
         held = e.select(F.explode(F.array("src", "dst")).alias("node")).unionAll(aside[-1].select("dst"))
         alone = d.where("i > 0").join(held, "node", "left_anti").join(base, "node").select("node", F.col("base").alias("level"))
-        level = _compact([*level, sources, done(alone)])
+        level = _compact([*level, sources, done(alone)], done)
         before, n = n, e.count()
         if n == before:
             break
     for off in reversed(aside):
         known = _union(level)
         ways = off.join(known.withColumnRenamed("node", "src"), "src", "left").groupBy(F.col("dst").alias("node")).agg(F.bool_and(F.col("level").isNotNull()).alias("free"), F.max(F.greatest(F.col("level") + F.col("w"), "c")).alias("level"))
-        level = _compact([*level, done(ways.where("free").select("node", "level"))])
-    return _union(level)
+        level = _compact([*level, done(ways.where("free").select("node", "level"))], done)
+    return done.last(_union(level))
 
 
 def layers(nodes: DataFrame, edges: DataFrame, membership: DataFrame, small: bool | None = None, rounds: Rounds | None = None) -> DataFrame:

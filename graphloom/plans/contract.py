@@ -9,12 +9,13 @@ same kind. Other uses leave w and c alone."""
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.plans.fixpoint import cut
+from graphloom.plans.fixpoint import shared_folder
 
 #: Less than any value.
 NEVER = -(1 << 60)
@@ -22,13 +23,27 @@ NEVER = -(1 << 60)
 
 @dataclass
 class Rounds:
-    """Counts the rounds of a loop, each of one join over what is left."""
+    """The rounds of a loop, each a table in the shared folder, so that nothing grows from round to round: neither lineage nor the sizes that plans are chosen by (a checkpoint hands on estimates, which
+    each join multiplies), and small tables are broadcast by their real size. `last` removes all of them but the result."""
 
+    paths: list[str] = field(default_factory=list)
     n: int = 0
 
     def __call__(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
         self.n += 1
-        return cut(df)
+        self.paths.append(f"{shared_folder(spark)}/round-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        return spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def last(self, df: DataFrame) -> DataFrame:
+        out = self(df)
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths[:-1]:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        del self.paths[:]
+        return out
 
 
 def weighted(edges: DataFrame) -> DataFrame:

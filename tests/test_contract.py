@@ -16,11 +16,10 @@ def edges_of(spark, pairs):
 def graphs():
     r = random.Random(11)
     yield 40, [(i, i + 1) for i in range(20)] + [(30 + i, 30 + (i + 1) % 8) for i in range(8)] + [(5, 31), (3, 22), (22, 23), (23, 10), (10, 24), (24, 10), (39, 39), (7, 7)]
-    yield 30, [(r.randrange(i), i) for i in range(1, 30)] + [(40 - i, 41 - i) for i in range(1, 9)]
     yield 25, [(r.randrange(25), r.randrange(25)) for _ in range(34)]
 
 
-@pytest.mark.parametrize("k", range(3))
+@pytest.mark.parametrize("k", range(2))
 def test_contracted_loops(spark, k):
     n, pairs = list(graphs())[k]
     edges, plain = edges_of(spark, pairs), [(a, b) for a, b in pairs if a != b]
