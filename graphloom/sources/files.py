@@ -90,9 +90,9 @@ def read_config(path: str) -> dict:
             out.append(text[i : j + 1])
             i = j + 1
         elif text.startswith("//", i):
-            i = text.find("\n", i) if "\n" in text[i:] else len(text)
+            i = end if (end := text.find("\n", i)) >= 0 else len(text)
         elif text.startswith("/*", i):
-            i = text.find("*/", i) + 2 if "*/" in text[i:] else len(text)
+            i = end + 2 if (end := text.find("*/", i)) >= 0 else len(text)
         else:
             if text[i] in "}]":  # a comma before it, with only space and comments between, is dropped
                 last = next((k for k in range(len(out) - 1, -1, -1) if not out[k].isspace()), -1)
@@ -128,38 +128,74 @@ def _pattern(glob: str) -> str:
     last = glob.rsplit("/", 1)[-1]
     if "*" not in last and "?" not in last and "." not in last:
         glob += "/**/*"
-    out = re.escape(glob).replace(r"\*\*/", "(?:[^/]+/)*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    out = re.escape(glob).replace(r"\*\*/", r"(?:(?!\.\./)[^/]+/)*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
     return out
 
 
-def configured(path: str, seen: tuple[str, ...] = ()) -> Callable[[str], bool]:
-    """Whether a file (absolute) belongs to the project that the configuration describes: what `files` names, and what `include` matches and `exclude` doesn't; without both, all below it.
-    What it doesn't say comes from the configuration that it extends."""
+def _base(path: str, name: str) -> str:
+    """The file that a configuration extends: by a path, or from a package in the nearest node_modules that has it."""
+    folder = os.path.dirname(path)
+    if name.startswith((".", "/")):
+        tries = [os.path.normpath(os.path.join(folder, name))]
+    else:
+        tries = []
+        while True:
+            tries.append(os.path.join(folder, "node_modules", name))
+            if os.path.dirname(folder) == folder:
+                break
+            folder = os.path.dirname(folder)
+    for t in tries:
+        for found in (t, t + ".json", os.path.join(t, "tsconfig.json")):
+            if os.path.isfile(found):
+                return found
+    raise ConfigError("INVALID_TSCONFIG", path, f"{name} isn't there")
+
+
+def inherited(path: str, seen: tuple[str, ...] = ()) -> dict[str, tuple[str, object]]:
+    """files, include, exclude and outDir, each with the folder of the configuration that says it: its own, else that of the last one it extends that does."""
+    path = os.path.abspath(path)
+    if path in seen:
+        raise ConfigError("INVALID_TSCONFIG", path, "extends itself")
     try:
         config = read_config(path)
     except FileError as e:
         raise ConfigError("INVALID_TSCONFIG", path) from e
+    if not isinstance(config, dict):
+        raise ConfigError("INVALID_TSCONFIG", path, "an object expected")
+    options = config.get("compilerOptions")
+    if options is not None and not isinstance(options, dict):
+        raise ConfigError("INVALID_TSCONFIG", path, "compilerOptions is an object")
+    bases = config.get("extends", [])
+    bases = [bases] if isinstance(bases, str) else bases
     lists = {k: config.get(k) for k in ("files", "include", "exclude")}
-    if not isinstance(config, dict) or any(v is not None and not (isinstance(v, list) and all(isinstance(x, str) for x in v)) for v in lists.values()):
-        raise ConfigError("INVALID_TSCONFIG", path, "files, include and exclude are lists of text")
-    folder = os.path.dirname(path)
-    base = config.get("extends")
-    if isinstance(base, str) and base.startswith(".") and path not in seen and lists["files"] is None and lists["include"] is None:
-        above = os.path.normpath(os.path.join(folder, base if base.endswith(".json") else base + ".json"))
-        if not os.path.isfile(above):
-            raise ConfigError("INVALID_TSCONFIG", path, f"{base} isn't there")
-        if any(read_config(above).get(k) is not None for k in ("files", "include")):
-            return configured(above, (*seen, path))
-    named = {os.path.normpath(os.path.join(folder, f)) for f in lists["files"] or []}
-    include = lists["include"] if lists["include"] is not None else [] if lists["files"] is not None else ["**/*"]
-    out_dir = (config.get("compilerOptions") or {}).get("outDir")
-    exclude = lists["exclude"] if lists["exclude"] is not None else ["**/node_modules", "**/bower_components", "**/jspm_packages", *([out_dir] if isinstance(out_dir, str) else [])]
-    wanted, unwanted = ([re.compile(_pattern(g)) for g in globs] for globs in (include, exclude))
+    if any(v is not None and not (isinstance(v, list) and all(isinstance(x, str) for x in v)) for v in [*lists.values(), bases]):
+        raise ConfigError("INVALID_TSCONFIG", path, "extends, files, include and exclude are lists of text")
+    out: dict[str, tuple[str, object]] = {}
+    for name in bases:
+        out |= inherited(_base(path, name), (*seen, path))
+    folder, own = os.path.dirname(path), {k: v for k, v in lists.items() if v is not None}
+    if isinstance((options or {}).get("outDir"), str):
+        own["outDir"] = options["outDir"]
+    return out | {k: (folder, v) for k, v in own.items()}
+
+
+def configured(path: str) -> Callable[[str], bool]:
+    """Whether a file (absolute) belongs to the project that the configuration describes: what `files` names, and what `include` matches and `exclude` doesn't; without both, all below it.
+    What it doesn't say comes from those that it extends, key by key, and is relative to them."""
+    config, here = inherited(path), os.path.dirname(os.path.abspath(path))
+    at = lambda k: config[k][0] if k in config else here
+    say = lambda k: config[k][1] if k in config else None
+    named = {os.path.normpath(os.path.join(at("files"), f)) for f in say("files") or []}
+    include = say("include") if "include" in config else [] if "files" in config else ["**/*"]
+    out_dir = say("outDir")
+    exclude = [(at("exclude"), g) for g in say("exclude")] if "exclude" in config else [(here, g) for g in ("**/node_modules", "**/bower_components", "**/jspm_packages")] + ([(at("outDir"), out_dir)] if out_dir else [])
+    wanted = [(at("include"), re.compile(_pattern(g))) for g in include]
+    unwanted = [(f, re.compile(_pattern(g))) for f, g in exclude]
 
     def holds(file: str) -> bool:
         if file in named:
             return True
-        inside = posixpath.relpath(file, folder)
-        return any(p.fullmatch(inside) for p in wanted) and not any(p.fullmatch(inside) for p in unwanted)
+        inside = lambda globs: any(p.fullmatch(posixpath.relpath(file, f)) for f, p in globs)
+        return inside(wanted) and not inside(unwanted)
 
     return holds
