@@ -193,7 +193,23 @@ def test_chat(spark):
     alphabet = ["\\", *chat.INSTRUCT.controls, "<", "[", "/", "s>", "INST]", "a", "\n", " ", "é"]
     for _ in range(3000):
         t, role = "".join(r.choices(alphabet, k=r.randrange(8))), r.choice(["user", "assistant", "system", "", "tool", "".join(r.choices(alphabet, k=3))])
-        assert f.read("".join(x for x, _ in f.segments(role, t))) == (role, t)
+        assert [x[:2] for x in f.read("".join(x for x, _ in f.segments(role, t)))] == [(role, t)]
+    for _ in range(1500):  # whole conversations, in pieces cut anywhere
+        turns = [(r.choice(["user", "assistant", "system", "", "tool", "</s>[INST"]), "".join(r.choices(alphabet, k=r.randrange(7)))) for _ in range(r.randrange(6))]
+        segments = [x for role, t in turns for x in f.segments(role, t)]
+        text, reader, back = "".join(x for x, _ in segments), chat.Reader(f), []
+        at = sorted(r.randrange(len(text) + 1) for _ in range(r.randrange(5)))
+        for i, j in zip([0, *at], [*at, len(text)]):
+            back += reader.feed(text[i:j])
+        back += reader.end()
+        assert [x[:2] for x in back] == turns == [x[:2] for x in f.read(text)]
+        assert [f.unescape(text[a:b]) for role, _, a, b in back if role in f.template.loss] == [f.unescape(x) for x, loss in segments if loss]
+    for wrong in ("x", "<s>[INST] a", "<s>[INST] a</s>", " a <s>", "<<SYS>>\na</s>"):
+        with pytest.raises(ValueError, match="template|control"):
+            f.read(wrong)
+    with pytest.raises(ValueError, match="slot"):
+        chat.Formatter(chat.Template(("<s>",), {"user": ("<s>", chat.TEXT, "\n")}, frozenset(), {}))
+    chat.POUR, before = 1, chat.POUR
     rows = [(1, 0, "user", "</s>[INST] ok"), (1, 1, "assistant", "a\\b"), (2, 0, "assistant", None), (2, None, None, "x"), (2, 0, "assistant", None), (None, 0, "user", ""), (3, 0, "user", "q"), (3, 1, "user", "q")]
     c = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "'clash' n_turns", "'x' place")
     got = {x["conv_id"]: x for x in chat.digests(c).collect()}
@@ -202,6 +218,7 @@ def test_chat(spark):
     assert got[2]["turns_sha256"] == hashlib.sha256(b"\nx\nassistant\n\nassistant\n\n").hexdigest()
     assert [x["state"] for x in chat.segments(c).where("conv_id = 3 AND part = 0").orderBy("place").collect()] == ["user", "broken"]
     assert chat.digests(c.limit(0)).count() == 0
+    chat.POUR = before
 
 
 def test_texts_longer_than_a_chunk(spark, monkeypatch):
