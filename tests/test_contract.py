@@ -2,8 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from graphloom.operators import recursion
 from graphloom.plans import local
+from graphloom.plans.fixpoint import bounded, few_broadcasts
 from graphloom.plans.contract import Rounds, chains, weighted
 
 
@@ -50,3 +54,23 @@ def test_chains(spark):
     assert [tuple(r) for r in c.tails.collect()] == [(5, 2)] and sorted(map(tuple, c.rings.collect())) == [(7, 7), (8, 7), (9, 7)]
     assert sorted((r["src"], r["dst"], r["w"]) for r in c.edges.collect()) == [(1, 2, 3), (2, 3, 1), (2, 6, 1)]
     assert chains(weighted(edges_of(spark, [(1, 2)])), Rounds()) is None
+
+
+def test_few_broadcasts(spark):
+    """Inside closures tables of more than BROADCAST bytes aren't broadcast; nested ones are cut once, and the session's limit comes back, also after errors."""
+    plans, limit = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    table = spark.range(100_000).withColumn("x", F.rand(1))
+
+    def joined(df):
+        out = df.join(df.select("id", F.col("x").alias("y")), "id")
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    assert "BroadcastHashJoin" in (joined(table) and plans.pop())
+    assert bounded(joined)(table).count() == 100_000 and "BroadcastHashJoin" not in plans.pop()
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit
+    with pytest.raises(ZeroDivisionError), few_broadcasts(spark) as outermost:
+        with few_broadcasts(spark) as inner:
+            assert outermost and not inner
+        1 / 0  # noqa: B018
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit
