@@ -74,3 +74,33 @@ def test_few_broadcasts(spark):
             assert outermost and not inner
         1 / 0  # noqa: B018
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == limit
+
+
+def _sent(spark, run) -> int:
+    """Bytes of task results that the driver is sent while run runs."""
+    context = spark.sparkContext
+    store, java = context._jsc.sc().statusStore(), context._jvm.java.util
+
+    def stages():
+        found = store.stageList(java.ArrayList(), False, False, context._gateway.new_array(context._jvm.double, 0), java.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.resultSize() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    run()
+    return sum(size for k, size in stages().items() if k not in before)
+
+
+def test_sent_to_the_driver(spark, monkeypatch):
+    """A loop's tables stay away from the driver, also those that the session would broadcast."""
+    edges = spark.range(1, 200_001).select(F.lit(0).cast("long").alias("src"), F.xxhash64("id").alias("dst"))
+    seeds = spark.range(1)
+    rows = []
+
+    def run():
+        rows.append(recursion.reachable(edges, seeds, small=False).count())
+
+    few = _sent(spark, run)
+    monkeypatch.setattr("graphloom.plans.fixpoint.BROADCAST", 10 << 20)
+    many = _sent(spark, run)
+    assert rows == [200_001, 200_001]
+    assert few < many / 3, (few, many)
